@@ -28,16 +28,14 @@ def value_bucket(column: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1e6) * 1024).cast("int")
 
 
-def draw(seed: int, row: Column, replicate: Column, size: Column) -> Column:
-    """Deterministic uniform pick in ``[0, size)``.
+def draw_digest(seed: int, block: Column, row: Column) -> Column:
+    """Digest of one (row, block); holds the draws of four replicates."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), block.cast("string"), row.cast("string")))
 
-    One md5 gives four 32-bit numbers, so four replicates share a digest.
-    """
-    digest = F.md5(
-        F.concat_ws("|", F.lit(str(seed)), F.floor(replicate / 4).cast("string"), row.cast("string"))
-    )
-    word = F.substr(digest, (replicate % 4 * 8 + 1).cast("int"), F.lit(8))
-    return F.conv(word, 16, 10).cast("long") % size
+
+def draw_word(digest: Column, word: int, size: Column) -> Column:
+    """Uniform pick in ``[0, size)`` from the given 32-bit word of a digest."""
+    return F.conv(F.substring(digest, word * 8 + 1, 8), 16, 10).cast("long") % size
 
 
 def right_closed(value: Column, bins) -> Column:

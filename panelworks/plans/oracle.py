@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from panelworks.plans import fixtures as X
+from panelworks.plans.raw import RAW_HISTORY_SQL
 
 _TABLES = {n: n for n in ("lineitem", "orders", "part", "customer")}
 _CODES = ", ".join(f"'{c}'" for c in X.WHITELIST)
@@ -22,6 +23,16 @@ CTES: dict[str, str] = {
     "fx_history": X.HISTORY_SQL.format(**_TABLES),
     "fx_students": X.STUDENTS_SQL.format(**_TABLES),
     "fx_progress": X.PROGRESS_SQL.format(**_TABLES),
+    "raw_history": RAW_HISTORY_SQL.format(fx_history="fx_history"),
+    "cleaned_history": """
+        SELECT academic_period, nullif(ID, '') AS legajo, COD_CARRERA, NOM_CARRERA, ANIO,
+          CASE TIPO_CURSADA WHEN '1° cuatrimestre' THEN '1C' WHEN '2° cuatrimestre' THEN '2C'
+               ELSE TIPO_CURSADA END AS TIPO_CURSADA,
+          COD_MATERIA, NOM_MATERIA, NRO_ACTA, ORIGEN,
+          try_cast(CASE NOTA WHEN 'A' THEN '7' WHEN 'R' THEN '1' WHEN 'NULL' THEN NULL ELSE NOTA END AS DOUBLE) AS NOTA,
+          strftime(coalesce(try_strptime(FECHA, '%d/%m/%Y'), try_strptime(FECHA, '%Y-%m-%d')), '%Y-%m-%d') AS FECHA,
+          FECHA_VIGENCIA, RESULTADO
+        FROM raw_history""",
     # canonical tables, business columns only
     "history": f"""
         SELECT DISTINCT * REPLACE ({CLEAN_ID.format(c='legajo')} AS legajo) FROM fx_history

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("panel",)
+_FAMILIES = ("panel", "ingest")
 
 
 def registry() -> dict:
