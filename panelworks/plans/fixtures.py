@@ -14,6 +14,9 @@ from panelworks.operators.panel import PanelSpec
 WHITELIST = tuple(f"Brand#{i}" for i in range(1, 24))
 SPEC = PanelSpec(first="1994_2C")
 LATEST = "2025_2C"
+CUTOFF = "1997_1C"
+COHORTS = ((1995, "<=1995"), (1997, "1996-1997"), (1998, "1998"), (2100, ">=1999"))
+ACTIVITY_BUCKETS = (("2024_2C", "before 2024_2C"), ("2025_2C", "2024_2C-2025_1C"))
 
 HISTORY_SQL = """
 SELECT CASE o_orderstatus WHEN 'F' THEN '2024_2C' WHEN 'O' THEN '2025_1C' ELSE '2025_2C' END AS academic_period,

@@ -147,6 +147,38 @@ CTES: dict[str, str] = {
         FROM (SELECT max(academic_period) AS academic_period,
                 CAST(left(max(academic_period), 4) AS INT) * 2 + CAST(substr(max(academic_period), 6, 1) AS INT) - 1 AS n
               FROM modelled) z GROUP BY n""",
+    "drift_rows": """
+        SELECT DISTINCT * REPLACE (promo_en_periodo::DOUBLE / nullif(materias_en_periodo, 0) AS promo_rate_period,
+            promo_win3::DOUBLE / nullif(materias_win3, 0) AS promo_rate_win3),
+          CASE WHEN academic_period <= (SELECT train_cutoff FROM cut) THEN 'ref' ELSE 'cur' END AS side
+        FROM panel WHERE at_risk = 1""",
+    "demo": """
+        SELECT legajo, upper(trim(sexo)) AS sexo, anio_nac, anio_ing, anio_ing - anio_nac AS edad_ingreso,
+          CASE WHEN anio_ing <= 1995 THEN '<=1995' WHEN anio_ing <= 1997 THEN '1996-1997'
+               WHEN anio_ing <= 1998 THEN '1998' ELSE '>=1999' END AS cohorte,
+          CASE WHEN anio_ing - anio_nac <= 0 THEN NULL WHEN anio_ing - anio_nac <= 20 THEN '<=20'
+               WHEN anio_ing - anio_nac <= 25 THEN '21-25' WHEN anio_ing - anio_nac <= 30 THEN '26-30'
+               WHEN anio_ing - anio_nac <= 120 THEN '>30' END AS grupo_edad
+        FROM (SELECT legajo, arg_min(sexo, fecha_inscripcion) AS sexo,
+                min(year(CAST(fecha_nacimiento AS DATE))) AS anio_nac,
+                min(year(CAST(fecha_inscripcion AS DATE))) AS anio_ing FROM students GROUP BY 1) z""",
+    "latest_rows": """
+        SELECT * EXCLUDE (r) FROM (
+          SELECT p.*, row_number() OVER (PARTITION BY p.legajo ORDER BY academic_period DESC) AS r
+          FROM panel p WHERE at_risk = 1 AND legajo IN (SELECT legajo FROM status WHERE status = 'estudiando')) z
+        WHERE r = 1""",
+    "preds": """
+        SELECT legajo, academic_period, cod_carrera, CAST(dropout_probability >= 0.5 AS INT) AS dropout_prediction,
+          dropout_probability, prediction_date, model_version FROM (
+          SELECT l.*, round(coalesce(dias_desde_ult_actividad, 0) / (coalesce(dias_desde_ult_actividad, 0) + 200.0)
+                   * 0.9 + (CAST(legajo AS BIGINT) % 100) / 1000.0, 6)::DOUBLE AS dropout_probability,
+            v.prediction_date, v.model_version
+          FROM latest_rows l JOIN (VALUES ('2025-06-01', '1', 1), ('2025-12-01', '2', 3)) v(prediction_date, model_version, m)
+            ON CAST(l.legajo AS BIGINT) % v.m = 0) z""",
+    "model_scores": """
+        SELECT academic_period AS cycle_period, 'recency' AS model_name, y, p FROM panel_scores
+        UNION ALL SELECT academic_period, 'promotion', y, 1 - coalesce(alt, 0.0::DOUBLE) FROM panel_scores
+        UNION ALL SELECT academic_period, 'blend', y, (p + (1 - coalesce(alt, 0.0::DOUBLE))) / 2 FROM panel_scores""",
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelworks.operators import scoring as SC
+from panelworks.operators.evaluation import several_scores
 from panelworks.plans import fixtures as X
 from panelworks.plans import marts as M
 
@@ -35,3 +37,23 @@ def all_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = document_scores(spark, folder).select(
         F.col("lang").alias("grp"), F.col("id").cast("string").alias("id"), "y", "p")
     return panel.unionByName(docs)
+
+
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Three deterministic candidates scored on every half-year (the cycle)."""
+    rows = panel_scores(spark, folder)
+    promo = 1 - F.coalesce("alt", F.lit(0.0))
+    scored = rows.select(F.col("academic_period").alias("cycle_period"), "y", F.col("p").alias("a"),
+                         promo.alias("b"), ((F.col("p") + promo) / 2).alias("c"))
+    return several_scores(scored, {"recency": "a", "promotion": "b", "blend": "c"})
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest rows of studying students scored on two dates, the second for every third student."""
+    rows = SC.latest_risk_rows(M.panel(spark, folder), SC.active_students(M.status(spark, folder)))
+    days, number = F.coalesce("dias_desde_ult_actividad", F.lit(0)), F.col("legajo").cast("long")
+    scored = rows.withColumn("_p", F.round(days / (days + 200.0) * 0.9 + (number % 100) / 1000.0, 6))
+    runs = F.array(F.struct(F.lit("2025-06-01").alias("_d"), F.lit("1").alias("_v")),
+                   F.when(number % 3 == 0, F.struct(F.lit("2025-12-01").alias("_d"), F.lit("2").alias("_v"))))
+    dated = scored.select("*", F.inline(F.filter(runs, lambda r: r.isNotNull())))
+    return SC.predictions(dated, F.col("_p"), F.col("_d"), F.col("_v"))
