@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
-from panelworks.functions.numeric import right_closed
+from panelworks.functions.numeric import right_closed, rounded
 from panelworks.operators import metrics as ME
 from panelworks.operators.ordered import null_safe_join
 
@@ -46,10 +46,10 @@ def subgroup_metrics(long: DataFrame, by: Sequence[str] = ("atributo", "valor"),
     out = null_safe_join(out, ME.calibration_fit(long, by), by)
     out = null_safe_join(out, top, by)
     return out.select(
-        *by, "n", F.round("prevalence", 4).alias("prevalencia"), F.round("auc", 4).alias("auc"),
-        F.round("tpr", 4).alias("tpr"), F.round("fpr", 4).alias("fpr"), F.round("precision", 4).alias("precision"),
-        F.round("calib_slope", 3).alias("calib_slope"), F.round("ece", 4).alias("ece"),
-        F.round("brier_score", 4).alias("brier"), F.round("p_at_10", 4).alias("p_at_10"))
+        *by, "n", rounded(F.col("prevalence"), 4).alias("prevalencia"), rounded(F.col("auc"), 4).alias("auc"),
+        rounded(F.col("tpr"), 4).alias("tpr"), rounded(F.col("fpr"), 4).alias("fpr"), rounded(F.col("precision"), 4).alias("precision"),
+        rounded(F.col("calib_slope"), 3).alias("calib_slope"), rounded(F.col("ece"), 4).alias("ece"),
+        rounded(F.col("brier_score"), 4).alias("brier"), rounded(F.col("p_at_10"), 4).alias("p_at_10"))
 
 
 def auc_spread(groups: DataFrame) -> DataFrame:

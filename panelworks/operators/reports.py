@@ -89,11 +89,12 @@ def completions_by_programme(status: DataFrame, progress: DataFrame, top: int =
     ).orderBy(F.desc("n_finalizacion"), F.asc_nulls_last("cod_carrera")).limit(top)
 
 
-def completion_anomalies(status: DataFrame, progress: DataFrame) -> DataFrame:
-    """Progress rows of 90 % or more whose student is not completed, by status and in total."""
-    high = progress.where(loose_number(F.col("porcentaje_avance")) >= 90).select("legajo")
-    odd = high.join(status.where(F.col("status") != K.STATUS_DONE), "legajo")
-    return odd.rollup("status").agg(_n().alias("n")).select(F.coalesce("status", F.lit("total")).alias("status"), "n")
+def completion_anomalies(status: DataFrame, progress: DataFrame, least: float = K.COMPLETION_THRESHOLD) -> DataFrame:
+    """Progress rows of ``least`` % or more whose student is not completed, by status and in total."""
+    high = progress.where(loose_number(F.col("porcentaje_avance")) >= least).select("legajo")
+    odd = high.join(status.where(F.col("status") != K.STATUS_DONE), "legajo").groupBy("status").agg(_n().alias("n"))
+    total = odd.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("status"), "n")
+    return odd.unionByName(total)
 
 
 def panel_composition(panel: DataFrame) -> DataFrame:

@@ -14,54 +14,57 @@ from pyspark.sql import functions as F
 from panelworks import constants as K
 from panelworks.functions.numeric import draw_digest, draw_word
 from panelworks.operators.metrics import auc_of_ranked
-from panelworks.operators.ordered import running_totals
+from panelworks.operators.ordered import null_safe_join, running_totals
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys numbered 0.. in md5 order, with the number of keys."""
-    keys = df.select(key).distinct().select(
-        key, F.md5(F.col(key).cast("string")).alias("_h"), F.lit(1).alias("n"))
+def numbered(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct keys of a group numbered 0.. in md5 order, with the number of keys."""
+    keys = df.select(*by, key).distinct().select(
+        *by, key, F.md5(F.col(key).cast("string")).alias("_h"), F.lit(1).alias("n"))
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    placed = running_totals(keys, [], "_h", ["n"], within=[key], bucket=bucket)
-    return placed.select(key, F.col("before_n").alias("place"), F.col("all_n").alias("size"))
+    placed = running_totals(keys, by, "_h", ["n"], within=[key], bucket=bucket)
+    return placed.select(*by, key, F.col("before_n").alias("place"), F.col("all_n").alias("size"))
 
 
-def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED) -> DataFrame:
+def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
     """(replicate, key, weight): how often each key is drawn in each replicate; zero weights left out."""
-    places = numbered(df, key)
+    by = list(by)
+    places = numbered(df, key, by)
     blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
-    digests = places.select("place", "size", F.explode(blocks).alias("_block")).select(
-        "size", "_block", draw_digest(seed, F.col("_block"), F.col("place")).alias("_d"))
+    digests = places.select(*by, "place", "size", F.explode(blocks).alias("_block")).select(
+        *by, "size", "_block", draw_digest(seed, F.col("_block"), F.col("place")).alias("_d"))
     words = F.array(*[
         F.struct((F.col("_block") * 4 + w).alias("replicate"), draw_word(F.col("_d"), w, F.col("size")).alias("place"))
         for w in range(4)
     ])
-    drawn = digests.select(F.inline(words)).where(F.col("replicate") < replicates)
-    weights = drawn.groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(places.select("place", key), "place").select("replicate", key, "weight")
+    drawn = digests.select(*by, F.inline(words)).where(F.col("replicate") < replicates)
+    weights = drawn.groupBy(*by, "replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
+    joined = null_safe_join(weights, places.select(*by, "place", key), [*by, "place"])
+    return joined.select(*by, "replicate", key, "weight")
 
 
 def bootstrap_auc(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, key: str = "id", y: str = "y",
-                  scores: Sequence[str] = ("p",), seed: int = K.SEED) -> DataFrame:
-    """AUC per (replicate, score name); one-class replicates are left out."""
-    names = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("p")) for c in scores])
-    long = scored.select(key, y, F.inline(names))
+                  scores: Sequence[str] = ("p",), seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
+    """AUC per (group, replicate, score name); one-class replicates are left out."""
+    by = list(by)
+    names = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("_s")) for c in scores])
+    long = scored.select(*by, key, y, F.inline(names))
     # rows of a student with the same score count together before they meet the weights
-    folded = long.groupBy(key, "score", "p").agg(
+    folded = long.groupBy(*by, key, "score", "_s").agg(
         F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
-    weighted = folded.join(draw_weights(scored, key, replicates, seed), key)
-    counts = weighted.groupBy("replicate", "score", "p").agg(
+    weighted = null_safe_join(folded, draw_weights(scored, key, replicates, seed, by), [*by, key])
+    group = [*by, "replicate", "score"]
+    counts = weighted.groupBy(*group, "_s").agg(
         F.sum(F.col("_pos") * F.col("weight")).alias("pos"), F.sum(F.col("_neg") * F.col("weight")).alias("neg"))
-    by = ["replicate", "score"]
-    ranked = running_totals(counts, by, "p", ["pos", "neg"])
-    return auc_of_ranked(ranked, by).where(F.col("auc").isNotNull())
+    ranked = running_totals(counts, group, "_s", ["pos", "neg"])
+    return auc_of_ranked(ranked, group).where(F.col("auc").isNotNull())
 
 
 def bootstrap_interval(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, key: str = "id",
-                       y: str = "y", p: str = "p", seed: int = K.SEED) -> DataFrame:
+                       y: str = "y", p: str = "p", seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
     """95 % percentile interval of the AUC; one value per replicate is all that is ranked."""
-    aucs = bootstrap_auc(scored, replicates, key, y, (p,), seed)
-    return aucs.agg(
+    aucs = bootstrap_auc(scored, replicates, key, y, (p,), seed, by)
+    return aucs.groupBy(*by).agg(
         F.percentile("auc", F.lit(0.025)).alias("auc_ci_low"), F.percentile("auc", F.lit(0.975)).alias("auc_ci_high"),
         F.count(F.lit(1)).alias("n_replicates"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("panel", "ingest", "metrics", "monitor")
+_FAMILIES = ("panel", "ingest", "metrics", "monitor", "reporting", "models")
 
 
 def registry() -> dict:
