@@ -39,12 +39,12 @@ def period_of_label(label: Column) -> Column:
 
 def period_label(index: Column) -> Column:
     half = F.when(index % 2 == 0, F.lit("_1C")).otherwise(F.lit("_2C"))
-    return F.concat(F.floor(index / 2).cast("string"), half)
+    return F.concat(F.shiftright(index.cast("int"), 1).cast("string"), half)
 
 
 def period_start(index: Column) -> Column:
     month = F.when(index % 2 == 0, F.lit(3)).otherwise(F.lit(9))
-    return F.make_date(F.floor(index / 2).cast("int"), month, F.lit(1))
+    return F.make_date(F.shiftright(index.cast("int"), 1), month, F.lit(1))
 
 
 def shift_period(label: Column, earlier: int | Column) -> Column:

@@ -129,13 +129,19 @@ def psi_categorical(rows: DataFrame, by: Sequence[str], value: str = "value", si
         F.coalesce(F.sum(F.when(both, (c - r) * F.ln(c / r))), F.lit(0.0)).alias("psi_value"))
 
 
-def drift_rows(panel: DataFrame, horizon: int = K.LABEL_HORIZON) -> DataFrame:
+def _risk_rows(panel: DataFrame, unique: bool) -> DataFrame:
+    rows = panel.where(F.col("at_risk") == 1)
+    return rows if unique else rows.distinct()
+
+
+def drift_rows(panel: DataFrame, horizon: int = K.LABEL_HORIZON, unique: bool = False) -> DataFrame:
     """At-risk rows, censored ones included, with ``side`` by the embargoed cutoff.
 
     Everything after the cutoff is current, the embargo gap too; promotion rates
-    are recomputed from their counts.
+    are recomputed from their counts. ``unique``: (student, half-year) is a key,
+    so there are no duplicates to remove.
     """
-    rows = panel.where(F.col("at_risk") == 1).distinct()
+    rows = _risk_rows(panel, unique)
     cutoff = embargo_bounds(rows, horizon).select("train_cutoff").scalar()
     rates = {
         "promo_rate_period": ratio(F.col("promo_en_periodo"), F.col("materias_en_periodo")),
@@ -230,9 +236,9 @@ def segment_drift(rows: DataFrame, segments: Sequence[str], numeric: Sequence[st
         "segmento", "n_ref", "n_act", *[f"psi_{c}" for c in numeric], binary.alias(f"psi_{label}"))
 
 
-def cycle_rows(panel: DataFrame, cycles: Sequence[tuple[str, str]]) -> DataFrame:
+def cycle_rows(panel: DataFrame, cycles: Sequence[tuple[str, str]], unique: bool = False) -> DataFrame:
     """Drift rows of several (cycle, cutoff) pairs at once, by ``cycle_period``."""
-    rows = panel.where(F.col("at_risk") == 1).distinct()
+    rows = _risk_rows(panel, unique)
     tags = F.array(*[
         F.struct(F.lit(c).alias("cycle_period"), F.lit(cut).alias("reference_period"),
                  F.when(F.col("academic_period") <= cut, "ref").otherwise("cur").alias("side"))

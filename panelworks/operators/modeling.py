@@ -62,9 +62,15 @@ def preparation_stages(prepared: Preparation, spec: TrainSpec) -> list:
 
 
 def training_table(train: DataFrame, spec: TrainSpec) -> DataFrame:
-    """The training columns, stored once: a fit passes over them many times."""
+    """The training columns, stored once: a fit passes over them many times.
+
+    Rows are placed and ordered by their content, so the seeded row sampling of a
+    fit does not depend on how the rows happened to be laid out before.
+    """
     columns = [*spec.numeric, *([spec.category] if spec.category else [])]
-    return materialise(train.select(*columns, F.col(spec.label).cast("double").alias("x_label")), "train")
+    rows = train.select(*columns, F.col(spec.label).cast("double").alias("x_label"))
+    placed = rows.repartition(F.xxhash64(*rows.columns)).sortWithinPartitions(*rows.columns)
+    return materialise(placed, "train")
 
 
 def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = TrainSpec(), stored: bool = False

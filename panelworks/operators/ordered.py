@@ -48,28 +48,28 @@ def running_totals(
     sort keys that break ties of ``value``.
     """
     by = list(by)
-    keys = by + ["_bucket"]
-    split = counts.withColumn("_bucket", bucket if bucket is not None else value_bucket(F.col(value)))
+    # one struct key: NULL groups match, and the window, the bucket sums and the join
+    # below all agree on one partitioning
+    group = F.struct(*by) if by else F.lit(0)
+    place = bucket if bucket is not None else value_bucket(F.col(value))
+    split = counts.withColumn("_cell", F.struct(group.alias("g"), place.alias("b")))
     inside = (
-        Window.partitionBy(*keys)
-        .orderBy(value, *within)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_cell").orderBy(value, *within).rowsBetween(Window.unboundedPreceding, -1)
     )
-    per_bucket = split.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
-    # at most one row per non-empty bucket: small whatever the group size
-    between = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    inner = split.select(
+        "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums]
     )
+    per_bucket = split.groupBy("_cell").agg(*[F.sum(s).alias(s) for s in sums])
+    # at most one row per non-empty bucket: small whatever the group size
+    order = Window.partitionBy("_cell.g").orderBy("_cell.b")
+    between = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_bucket.select(
-        *keys,
+        F.col("_cell").alias("_at"),
         *[F.coalesce(F.sum(s).over(between), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums],
     )
-    inner = split.select(
-        "*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums]
-    )
-    joined = null_safe_join(inner, offsets, keys)
+    joined = inner.join(offsets, F.col("_cell") == F.col("_at"))
     return joined.select(
         *counts.columns,
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"before_{s}") for s in sums],

@@ -49,7 +49,7 @@ def dated(history: DataFrame) -> DataFrame:
 
 def last_period(history: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     """One row: last half-year with activity, within the calendar."""
-    newest = dated(history).agg(F.max("period").alias("_m"))
+    newest = history.agg(F.max(P.period_of_day(iso_day(F.col("fecha")))).alias("_m"))
     return newest.select(F.least("_m", F.lit(spec.last_index)).alias("last_index"))
 
 
@@ -120,7 +120,9 @@ def course_cells(history: DataFrame) -> DataFrame:
         P.period_of_day(iso_day(F.col("fecha"))).alias("real"),
         P.period_of_label(_declared_term(history)).alias("declared"),
         "cod_carrera", "resultado", "nota",
-    ).where(F.col("real").isNotNull() | F.col("declared").isNotNull())
+    )
+    # rows with neither period end in a few cells and drop out with them; a filter
+    # here would parse every date a second time
     return keyed.groupBy("legajo", "real", "declared", "cod_carrera").agg(*_course_sums())
 
 

@@ -12,12 +12,11 @@ from panelworks.functions.numeric import ratio
 from panelworks.functions.text import blank, loose_number
 from panelworks.operators.ordered import exact_quantiles, melt, null_safe_join
 
-ONE = F.lit(1)
 PERIOD = "academic_period"
 
 
 def _n(condition: Column | None = None) -> Column:
-    return F.count(ONE) if condition is None else F.count_if(condition)
+    return F.count(F.lit(1)) if condition is None else F.count_if(condition)
 
 
 def modelling(panel: DataFrame) -> DataFrame:
@@ -31,7 +30,7 @@ def table_counts(spark: SparkSession, tables: dict[str, DataFrame | str | None])
         if isinstance(table, str):
             table = spark.table(table) if spark.catalog.tableExists(table) else None
         rows = (spark.range(1).select(F.lit(-1).cast("long").alias("n_rows")) if table is None
-                else table.agg(F.count(ONE).alias("n_rows")))
+                else table.agg(F.count(F.lit(1)).alias("n_rows")))
         rows = rows.select(F.lit(name).alias("table_name"), "n_rows")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -197,12 +196,12 @@ def cohort_retention(status: DataFrame, students: DataFrame, first_year: str = "
     entered = students.where(~blank(F.col("anio_academico")) & (F.col("anio_academico") >= first_year))
     # students with several programmes of one year count once
     once = entered.select("legajo", F.col("anio_academico").alias("cohorte")).distinct()
-    return _status_pivot(status.join(once, "legajo"), "cohorte", F.count(ONE))
+    return _status_pivot(status.join(once, "legajo"), "cohorte", F.count(F.lit(1)))
 
 
 def status_by_sex(status: DataFrame, students: DataFrame) -> DataFrame:
     known = students.where(~blank(F.col("sexo"))).select("legajo", "sexo")
-    return _status_pivot(status.join(known, "legajo"), "sexo", F.count(ONE))
+    return _status_pivot(status.join(known, "legajo"), "sexo", F.count(F.lit(1)))
 
 
 def top_values(df: DataFrame, column: str, top: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
@@ -14,9 +14,14 @@ from panelworks.operators.ordered import null_safe_join
 PERIOD = "academic_period"
 
 
-def modelling_rows(panel: DataFrame) -> DataFrame:
-    """At-risk rows with an observed label, exact duplicates removed, features numeric."""
-    rows = panel.where((F.col("at_risk") == 1) & F.col("dropout_next").isNotNull()).distinct()
+def modelling_rows(panel: DataFrame, unique: bool = False) -> DataFrame:
+    """At-risk rows with an observed label, exact duplicates removed, features numeric.
+
+    ``unique`` states that (student, half-year) is a key, as the panel operator
+    guarantees; the rows are then not shuffled to look for duplicates.
+    """
+    rows = panel.where((F.col("at_risk") == 1) & F.col("dropout_next").isNotNull())
+    rows = rows if unique else rows.distinct()
     numbers = [
         F.col(c).try_cast("double").alias(c) if c in K.NUMERIC_FEATURES else F.col(c)
         for c in rows.columns
@@ -50,8 +55,6 @@ def stratified_sample(
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     hashed = rows.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 4))
-    from pyspark.sql import Window
-
     cells = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(label).orderBy("_b")  # at most 65,536 prefixes
     cells = cells.select(

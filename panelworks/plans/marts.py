@@ -68,4 +68,4 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def modelled(spark: SparkSession, folder: str) -> DataFrame:
-    return SP.modelling_rows(panel(spark, folder))
+    return SP.modelling_rows(panel(spark, folder), unique=True)

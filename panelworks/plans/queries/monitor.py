@@ -25,7 +25,7 @@ _DOUBLES = ("psi_value", "mean_reference", "mean_current")
 
 
 def _melted(s, d):
-    return melt(DR.drift_rows(M.panel(s, d)), ["side"], K.DRIFT_FEATURES)
+    return melt(DR.drift_rows(M.panel(s, d), unique=True), ["side"], K.DRIFT_FEATURES)
 
 
 def drf_01(s, d):
@@ -51,26 +51,27 @@ def drf_03(s, d):
     side = F.when(F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp_ntz"), "ref").otherwise("cur")
     rows = X.table(s, d, "lineitem").select(
         F.lit("l_returnflag").alias("feature"), F.col("l_returnflag").alias("value"), side.alias("side"))
-    codes = DR.drift_rows(M.panel(s, d)).select(
+    codes = DR.drift_rows(M.panel(s, d), unique=True).select(
         F.lit("cod_carrera").alias("feature"), F.col("cod_carrera").alias("value"), "side")
     return r6(DR.psi_categorical(rows.unionByName(codes), ["feature"]), ["psi_value"])
 
 
 def drf_05(s, d):
-    return r6(DR.feature_drift(DR.drift_rows(M.panel(s, d))), _DOUBLES)
+    return r6(DR.feature_drift(DR.drift_rows(M.panel(s, d), unique=True)), _DOUBLES)
 
 
 def drf_04(s, d):
-    return DR.feature_drift(DR.drift_rows(M.panel(s, d))).select("feature_name", "drift_level")
+    return DR.feature_drift(DR.drift_rows(M.panel(s, d), unique=True)).select("feature_name", "drift_level")
 
 
 def drf_06(s, d):
-    out = DR.drift_summary(DR.feature_drift(DR.drift_rows(M.panel(s, d))))
+    out = DR.drift_summary(DR.feature_drift(DR.drift_rows(M.panel(s, d), unique=True)))
     return r6(out.withColumn("top3_features", F.concat_ws(",", "top3_features")), ["max_psi"])
 
 
 def drf_07(s, d):
-    out = DR.drift_rows(M.panel(s, d)).groupBy("side", "academic_period").agg(
+    doubled = M.panel(s, d).unionByName(M.panel(s, d))
+    out = DR.drift_rows(doubled).groupBy("side", "academic_period").agg(
         F.count(F.lit(1)).alias("n"), F.avg("promo_rate_win3").alias("mean_rate"))
     return r6(out, ["mean_rate"])
 
@@ -79,7 +80,7 @@ CYCLES = ("1998_1C", "1998_2C", "1999_1C")
 
 
 def cycle_drift(s, d):
-    rows = DR.cycle_rows(M.panel(s, d), DR.shifted_cycles(CYCLES))
+    rows = DR.cycle_rows(M.panel(s, d), DR.shifted_cycles(CYCLES), unique=True)
     return DR.feature_drift(rows, ["cycle_period", "reference_period"])
 
 
@@ -95,7 +96,7 @@ def drf_08(s, d):
 
 def drf_09(s, d):
     demo = FA.demographics(M.students(s, d), X.COHORTS).select("legajo", "sexo", "cohorte")
-    rows = DR.drift_rows(M.panel(s, d)).join(demo, "legajo", "left")
+    rows = DR.drift_rows(M.panel(s, d), unique=True).join(demo, "legajo", "left")
     out = DR.segment_drift(rows, ["sexo", "cohorte"], ["promo_rate_win3", "dias_desde_ult_actividad"])
     return r6(out, ["psi_promo_rate_win3", "psi_dias_desde_ult_actividad", "psi_dropout_next"])
 

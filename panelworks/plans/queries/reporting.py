@@ -27,7 +27,7 @@ _FEATS = K.NUMERIC_FEATURES
 # splits
 
 def spl_01(s, d):
-    rows = M.modelled(s, d)
+    rows = SP.modelling_rows(M.panel(s, d).unionByName(M.panel(s, d)))
     return r6(rows.select("legajo", "academic_period", "nota_win3", "promo_rate_win3", "dropout_next"),
               ["nota_win3", "promo_rate_win3"])
 
