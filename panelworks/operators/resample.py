@@ -15,6 +15,7 @@ from panelworks import constants as K
 from panelworks.functions.numeric import draw_digest, draw_word
 from panelworks.operators.metrics import auc_of_ranked
 from panelworks.operators.ordered import null_safe_join, running_totals
+from panelworks.session import fan_out
 
 
 def numbered(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -26,20 +27,27 @@ def numbered(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     return placed.select(*by, key, F.col("before_n").alias("place"), F.col("all_n").alias("size"))
 
 
-def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
-    """(replicate, key, weight): how often each key is drawn in each replicate; zero weights left out."""
+def place_weights(places: DataFrame, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
+    """(replicate, place, weight) from numbered keys; zero weights left out."""
     by = list(by)
-    places = numbered(df, key, by)
     blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
-    digests = places.select(*by, "place", "size", F.explode(blocks).alias("_block")).select(
+    spread = fan_out(places.select(*by, "place", "size"), "place")
+    digests = spread.select(*by, "place", "size", F.explode(blocks).alias("_block")).select(
         *by, "size", "_block", draw_digest(seed, F.col("_block"), F.col("place")).alias("_d"))
     words = F.array(*[
-        F.struct((F.col("_block") * 4 + w).alias("replicate"), draw_word(F.col("_d"), w, F.col("size")).alias("place"))
+        F.struct((F.col("_block") * 4 + w).cast("int").alias("replicate"),
+                 draw_word(F.col("_d"), w, F.col("size")).alias("place"))
         for w in range(4)
     ])
     drawn = digests.select(*by, F.inline(words)).where(F.col("replicate") < replicates)
-    weights = drawn.groupBy(*by, "replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
-    joined = null_safe_join(weights, places.select(*by, "place", key), [*by, "place"])
+    return drawn.groupBy(*by, "replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
+    """(replicate, key, weight): how often each key is drawn in each replicate."""
+    by = list(by)
+    places = numbered(df, key, by)
+    joined = null_safe_join(place_weights(places, replicates, seed, by), places.select(*by, "place", key), [*by, "place"])
     return joined.select(*by, "replicate", key, "weight")
 
 
@@ -47,15 +55,18 @@ def bootstrap_auc(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, k
                   scores: Sequence[str] = ("p",), seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
     """AUC per (group, replicate, score name); one-class replicates are left out."""
     by = list(by)
-    names = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("_s")) for c in scores])
-    long = scored.select(*by, key, y, F.inline(names))
-    # rows of a student with the same score count together before they meet the weights
-    folded = long.groupBy(*by, key, "score", "_s").agg(
+    places = numbered(scored, key, by)
+    # rows of a student with the same scores count together before they meet the weights
+    folded = scored.groupBy(*by, key, *[F.col(c).cast("double").alias(f"_s_{c}") for c in scores]).agg(
         F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
-    weighted = null_safe_join(folded, draw_weights(scored, key, replicates, seed, by), [*by, key])
+    located = null_safe_join(folded, places.select(*by, key, "place"), [*by, key])
+    weighted = null_safe_join(place_weights(places, replicates, seed, by), located.drop(key), [*by, "place"])
+    names = F.array(*[F.struct(F.lit(c).alias("score"), F.col(f"_s_{c}").alias("_s")) for c in scores])
+    long = weighted.select(
+        *by, "replicate", (F.col("_pos") * F.col("weight")).alias("_pos"),
+        (F.col("_neg") * F.col("weight")).alias("_neg"), F.inline(names))
     group = [*by, "replicate", "score"]
-    counts = weighted.groupBy(*group, "_s").agg(
-        F.sum(F.col("_pos") * F.col("weight")).alias("pos"), F.sum(F.col("_neg") * F.col("weight")).alias("neg"))
+    counts = long.groupBy(*group, "_s").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
     ranked = running_totals(counts, group, "_s", ["pos", "neg"])
     return auc_of_ranked(ranked, group).where(F.col("auc").isNotNull())
 

@@ -31,10 +31,13 @@ PROGRESS = CanonicalSpec(K.PROGRESS_KEYS, "cod_carrera", {"porcentaje_avance": d
 
 
 def flatten(staged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """JSON payload to one text column per key; an absent key gives NULL."""
-    schema = ", ".join(f"`{k}` STRING" for k in keys)
-    parsed = staged.select("academic_period", F.from_json("payload", schema).alias("p"))
-    return parsed.select("academic_period", *[F.col(f"p.`{k}`").alias(k.lower()) for k in keys])
+    """JSON payload to one text column per key; an absent key gives NULL.
+
+    A generator reads all keys in one pass over the payload, and filters on the
+    keys stay above it instead of parsing the payload again.
+    """
+    names = [k.lower() for k in keys]
+    return staged.select("academic_period", F.json_tuple("payload", *keys).alias(*names))
 
 
 def latest_delivery(df: DataFrame, tag: str = "academic_period") -> DataFrame:

@@ -34,11 +34,10 @@ def drf_01(s, d):
 
 
 def drf_01_lineitem(s, d):
-    """Second drift pair: quantities shipped before and after July 1998."""
+    """Second drift pair: quantities and prices shipped before and after July 1998."""
     side = F.when(F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp_ntz"), "ref").otherwise("cur")
-    rows = X.table(s, d, "lineitem").select(
-        F.lit("l_quantity").alias("feature"), F.col("l_quantity").alias("value"), side.alias("side"))
-    return r6(DR.psi_numeric(rows, ["feature"]), _DOUBLES)
+    rows = X.table(s, d, "lineitem").select("l_quantity", "l_extendedprice", side.alias("side"))
+    return r6(DR.psi_numeric(melt(rows, ["side"], ["l_quantity", "l_extendedprice"]), ["feature"]), _DOUBLES)
 
 
 def drf_02(s, d):
@@ -386,7 +385,8 @@ _RELAB = {**_IDX, "pi": """SELECT *, CAST(left(academic_period, 4) AS INT) * 2
 
 QUERIES = {
     "drf_01_psi_numeric": (drf_01, with_ctes(_PSI_OUT, **psi_ctes(_MELT))),
-    "drf_01_psi_shipments": (drf_01_lineitem, with_ctes(_PSI_OUT, **psi_ctes(_PAIR.format(c="l_quantity")))),
+    "drf_01_psi_shipments": (drf_01_lineitem, with_ctes(_PSI_OUT, **psi_ctes(
+        _PAIR.format(c="l_quantity") + " UNION ALL " + _PAIR.format(c="l_extendedprice")))),
     "drf_02_psi_bins": (drf_02, with_ctes("""
         SELECT feature, b AS bin, round(low, 6) AS bin_low, round(high, 6) AS bin_high, rc AS ref_count, cc AS cur_count,
           round(rp, 6) AS ref_pct, round(cp, 6) AS cur_pct, round((cp - rp) * ln(cp / rp), 6) + 0.0 AS psi_bin

@@ -47,3 +47,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a small table over all cores before it is multiplied.
+
+    A fixed partition count is not merged again at run time, so rows that each
+    turn into hundreds are not all multiplied in one task.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *columns)
