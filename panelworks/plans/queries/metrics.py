@@ -270,7 +270,7 @@ QUERIES = {
         SELECT grp, round(sum(pos::DOUBLE / ap * prec), 6) AS average_precision FROM prev GROUP BY 1""")),
     "met_05_brier": (met_05, with_ctes("""
         SELECT grp, n, round(brier, 6) AS brier_score,
-          round(1 - brier / (prevalence * (1 - prevalence)), 6) AS brier_skill_score FROM conf""",
+          round(1 - brier / nullif(prevalence * (1 - prevalence), 0), 6) AS brier_skill_score FROM conf""",
                      conf=_CONF.format(g="grp", t="all_scores"))),
     "met_06_ks": (_ranking_column("ks_statistic"), ranked_sql("""
         SELECT grp, round(max(abs(tp::DOUBLE / ap - fp::DOUBLE / an)), 6) AS ks_statistic FROM cum GROUP BY 1""")),

@@ -83,6 +83,11 @@ def cycle_drift(s, d):
     return DR.feature_drift(rows, ["cycle_period", "reference_period"])
 
 
+def stored_drift(s, d):
+    """The drift table of the cycles, stored once as the reports read it."""
+    return M._once(s, d, "drift_metrics", lambda: cycle_drift(s, d))
+
+
 def drf_08(s, d):
     """Store the drift of three cycles, re-run one of them, read the table."""
     path = scratch_path(s, "drift_metrics")

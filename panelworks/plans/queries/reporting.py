@@ -18,7 +18,7 @@ from panelworks.plans import scores as S
 from panelworks.plans.oracle import with_ctes
 from panelworks.plans.queries.common import as_text, r6
 from panelworks.plans.queries.metrics import _BIN_LEFT, _CONF, _RANK, histogram_sql, newton_ctes, top_sql
-from panelworks.plans.queries.monitor import CYCLES, DRIFT_SELECT, cycle_drift, cycle_drift_sql
+from panelworks.plans.queries.monitor import CYCLES, DRIFT_SELECT, cycle_drift_sql, stored_drift
 
 TESTS = ("1997_2C", "1998_1C", "1998_2C", "1999_1C")
 _FEATS = K.NUMERIC_FEATURES
@@ -214,15 +214,15 @@ def rep_27_winners(s, d):
 
 
 def rep_28(s, d):
-    return r6(RP.drift_report(cycle_drift(s, d), CYCLES[-1]), ["psi_value", "mean_reference", "mean_current"])
+    return r6(RP.drift_report(stored_drift(s, d), CYCLES[-1]), ["psi_value", "mean_reference", "mean_current"])
 
 
 def rep_29(s, d):
-    return RP.cycles(cycle_drift(s, d))
+    return RP.cycles(stored_drift(s, d))
 
 
 def drf_10(s, d):
-    return r6(RP.psi_evolution(cycle_drift(s, d)), ["psi_max"])
+    return r6(RP.psi_evolution(stored_drift(s, d)), ["psi_max"])
 
 
 def rep_30_models(s, d):
@@ -234,7 +234,7 @@ def rep_30_models(s, d):
 
 
 def rep_30_drift(s, d):
-    out = r6(RP.drift_summary_nested(cycle_drift(s, d)), ["psi_max"])
+    out = r6(RP.drift_summary_nested(stored_drift(s, d)), ["psi_max"])
     return out.withColumn("features", F.concat_ws(",", F.transform("features", lambda f: f["feature_name"])))
 
 

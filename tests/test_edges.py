@@ -274,3 +274,24 @@ def test_psi_loses_values_out_of_range(spark):
         DR.value_counts(_pair(spark, range(100), [1000.0] * 10 + [5.0] * 10), ["feature"], "value", **DR._sides("side")),
         ["feature"]).collect()]
     assert sum(counts) == 10 and out["n_current"] == 20
+
+
+def test_layout_from_a_nested_mapping(spark):
+    layout = CL.Layout.from_mapping({
+        "input": {"delimiter": "|", "encoding": "utf-8", "expected_columns": 2, "header_in_file": True},
+        "columns": {"source": ["codigo", "nota"], "rename": {"codigo": "COD_CARRERA", "nota": "NOTA"}, "drop": []},
+        "value_mappings": {"NOTA": {"A": 7, "R": 1}}, "types": {"NOTA": "float"}, "null_values": ["NULL", "null", ""],
+    })
+    rows = spark.createDataFrame([("X", "A"), ("Y", "")], "codigo string, nota string")
+    assert [tuple(r) for r in CL.clean(rows, layout, "history").collect()] == [("X", 7.0), ("Y", None)]
+
+
+def test_all_layouts_clean_an_empty_file(spark):
+    for (kind, delivery), layout in LAYOUTS.items():
+        rows = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in layout.source))
+        columns = CL.clean(rows, layout, kind).columns
+        assert not {"apellido", "nombres", "nro_documento", "email"} & set(columns), (kind, delivery)
+        if layout.target:
+            assert tuple(columns) == tuple(layout.target)
+        else:
+            assert {"legajo", "COD_CARRERA", "NOTA", "RESULTADO"} <= set(columns)
