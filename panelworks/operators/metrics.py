@@ -227,7 +227,8 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
     """Slope and intercept of a logistic fit on the logit of the score (L2 on the slope, C = 1).
 
     Newton steps over all groups at once: each step is one aggregate of five sums
-    over the distinct scores, so no group is ever fitted in a single task.
+    over the distinct scores, so no group is ever fitted in a single task. A
+    group with one class has no fit.
     """
     keys = list(by) or ["_all"]
     base = scored if by else scored.withColumn("_all", F.lit(0))
@@ -237,7 +238,9 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
     from panelworks.session import materialise
 
     points = materialise(points, "calibration_points")
-    params = points.select(*keys).distinct().select(*keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"))
+    groups = points.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    params = groups.where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
+        *keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"))
     w, b, x = F.col("slope"), F.col("intercept"), F.col("_x")
     for _ in range(steps):
         # the parameters are one row per group; without groups that is a single row
@@ -259,7 +262,8 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
             *keys, (w - ratio(bb * gw - wb * gb, det)).alias("slope"),
             (b - ratio(ww * gb - wb * gw, det)).alias("intercept"),
         )
-    return params.select(*by, F.col("slope").alias("calib_slope"), F.col("intercept").alias("calib_intercept"))
+    every = null_safe_join(groups.select(*keys), params, keys, "left")
+    return every.select(*by, F.col("slope").alias("calib_slope"), F.col("intercept").alias("calib_intercept"))
 
 
 def recency_scores(rows: DataFrame, recency: str = K.RECENCY_FEATURE, out: str = "p") -> DataFrame:

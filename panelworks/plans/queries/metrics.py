@@ -188,7 +188,8 @@ def newton_ctes(table: str, key: str, steps: int = 10) -> dict[str, str]:
     ctes = {
         "pts": f"""SELECT {key} AS k, ln(c / (1 - c)) AS x, sum(y) AS pos, count(*) AS n FROM (
             SELECT {key}, y, least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS c FROM {table}) z GROUP BY 1, 2""",
-        "st0": "SELECT DISTINCT k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM pts",
+        "st0": """SELECT k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b FROM pts GROUP BY k
+            HAVING sum(pos) > 0 AND sum(pos) < sum(n)""",
     }
     for i in range(steps):
         ctes[f"st{i + 1}"] = f"""
@@ -310,10 +311,11 @@ QUERIES = {
         SELECT grp, CAST({_BIN_RIGHT} AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_predicted,
           round(avg(y), 6) AS fraction_positive FROM all_scores GROUP BY 1, 2""")),
     "met_13_calibration_fit": (met_13, with_ctes(
-        "SELECT k AS grp, round(w, 4) AS calib_slope, round(b, 4) AS calib_intercept FROM st10",
+        "SELECT g.k AS grp, round(w, 4) + 0.0 AS calib_slope, round(b, 4) + 0.0 AS calib_intercept "
+        "FROM (SELECT DISTINCT k FROM pts) g LEFT JOIN st10 s ON s.k = g.k",
         **newton_ctes("all_scores", "grp"))),
     "met_13_calibration_fit_all": (met_13_global, with_ctes(
-        "SELECT round(w, 4) AS calib_slope, round(b, 4) AS calib_intercept FROM st10",
+        "SELECT round(w, 4) + 0.0 AS calib_slope, round(b, 4) + 0.0 AS calib_intercept FROM st10",
         **newton_ctes("doc_scores", "1"))),
     "met_14_bootstrap_draws": (met_14_draws, with_ctes("""
         SELECT replicate, count(*) AS n_students, CAST(sum(weight) AS BIGINT) AS n_draws, max(weight) AS max_weight
