@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import ratio
-from panelworks.operators.ordered import running_totals
+from panelworks.operators.ordered import exact_quantiles, running_totals
 
 MISSING = "<<NA>>"
 
@@ -125,9 +125,6 @@ def top_categories(values: DataFrame, totals: DataFrame, top: int = 10) -> DataF
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, missing share, mean, sample deviation, minimum, quartiles and maximum per column."""
-    from panelworks.operators.ordered import exact_quantiles, melt
-
-    names = ("columna", "v")
     pairs = F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).try_cast("double").alias("v")) for c in columns])
     long = df.select(F.inline(pairs))
     base = long.groupBy("columna").agg(

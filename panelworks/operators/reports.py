@@ -211,10 +211,6 @@ def top_values(df: DataFrame, column: str, top: int = 10) -> DataFrame:
     return best.withColumn("pct", F.col("n") / F.sum("n").over(whole) * 100).orderBy(F.desc("n"), column)
 
 
-def _pearson(x: str, y: str, ok: Column) -> Column:
-    return F.corr(F.when(ok, F.col(x)), F.when(ok, F.col(y)))
-
-
 def feature_statistics(rows: DataFrame, features: Sequence[str] = K.REPORT_FEATURES, positive_only: bool = False,
                        label: str = "dropout_next") -> DataFrame:
     """Count, mean, median, deviation, p90 and correlation with the label per feature."""
