@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
     importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from panelworks.llm import langid, quality, simhash
 from panelworks.llm.common import table
 
 
+def op1_pu_quality(spark, sf_dir):
+    return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
-    from panelworks.llm.simhash import simhash_groups
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
 
-    return simhash_groups(table(spark, sf_dir, "documents"))
+def op9_language_id(spark, sf_dir):
+    return langid.language_of(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_pu_quality": (op1_pu_quality, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
+    "op9_language_id": (op9_language_id, None),
 }
