@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from panelworks.llm import langid, quality, simhash
+from panelworks.llm import bpe, langid, quality, simhash, wavelet
 from panelworks.llm.common import table
+from panelworks.session import scratch_path
 
 
 def op1_pu_quality(spark, sf_dir):
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_wavelet_tokens(spark, sf_dir):
+    folder = scratch_path(spark, "token-shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), folder)
+    return wavelet.digests(wavelet.read_shards(spark, folder))
+
+
+def op6_fragment_bpe(spark, sf_dir):
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +31,8 @@ def op9_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
+    "op5_wavelet_tokens": (op5_wavelet_tokens, None),
+    "op6_fragment_bpe": (op6_fragment_bpe, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
 }
