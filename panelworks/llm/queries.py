@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelworks.llm import bpe, langid, quality, simhash, wavelet
+from panelworks.llm import bpe, langid, quality, secrets, simhash, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -11,6 +11,10 @@ def op1_pu_quality(spark, sf_dir):
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_trigram_secrets(spark, sf_dir):
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_wavelet_tokens(spark, sf_dir):
     folder = scratch_path(spark, "token-shards")
     wavelet.write_shards(table(spark, sf_dir, "documents"), folder)
@@ -31,6 +35,7 @@ def op9_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
+    "op4_trigram_secrets": (op4_trigram_secrets, secrets.oracle()),
     "op5_wavelet_tokens": (op5_wavelet_tokens, None),
     "op6_fragment_bpe": (op6_fragment_bpe, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
