@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelworks.llm import bpe, langid, quality, secrets, simhash, wavelet
+from panelworks.llm import bpe, langid, quality, secrets, simhash, templates, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -11,6 +11,10 @@ def op1_pu_quality(spark, sf_dir):
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_template_decontamination(spark, sf_dir):
+    return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_trigram_secrets(spark, sf_dir):
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -35,6 +39,7 @@ def op9_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
+    "op3_template_decontamination": (op3_template_decontamination, None),
     "op4_trigram_secrets": (op4_trigram_secrets, secrets.oracle()),
     "op5_wavelet_tokens": (op5_wavelet_tokens, None),
     "op6_fragment_bpe": (op6_fragment_bpe, None),
