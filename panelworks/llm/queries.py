@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelworks.llm import bpe, langid, quality, secrets, simhash, templates, wavelet
+from panelworks.llm import bpe, embeddings, langid, quality, secrets, simhash, suffixes, templates, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -29,6 +29,10 @@ def op6_fragment_bpe(spark, sf_dir):
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
+def op7_rotated_codes(spark, sf_dir):
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -37,12 +41,19 @@ def op9_language_id(spark, sf_dir):
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
     "op3_template_decontamination": (op3_template_decontamination, None),
     "op4_trigram_secrets": (op4_trigram_secrets, secrets.oracle()),
     "op5_wavelet_tokens": (op5_wavelet_tokens, None),
     "op6_fragment_bpe": (op6_fragment_bpe, None),
+    "op7_rotated_codes": (op7_rotated_codes, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
