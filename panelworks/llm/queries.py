@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from panelworks.llm import bpe, embeddings, langid, quality, secrets, simhash, suffixes, templates, wavelet
+import corpus_pipeline
+from panelworks.llm import bpe, chat, embeddings, langid, quality, secrets, simhash, suffixes, templates, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -11,6 +12,10 @@ def op1_pu_quality(spark, sf_dir):
     return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_snapshot_chat(spark, sf_dir):
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op3_template_decontamination(spark, sf_dir):
     return templates.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
+    "op2_snapshot_chat": (op2_snapshot_chat, chat.ORACLE),
     "op3_template_decontamination": (op3_template_decontamination, None),
     "op4_trigram_secrets": (op4_trigram_secrets, secrets.oracle()),
     "op5_wavelet_tokens": (op5_wavelet_tokens, None),
@@ -56,4 +62,5 @@ QUERIES = {
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
