@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import os
+import struct
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from panelworks.llm.common import blocks, in_arrow, packed
 
-CACHE = 300_000  # distinct fragments kept by a worker
+CACHE = 1_000_000  # distinct fragments kept by a worker
 SHORT = 64  # bytes of the longest fragment that is kept
 
 
@@ -38,6 +39,65 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece of each kind, and for every piece the place of its kind's piece among those.
+
+    Pieces of up to 16 bytes are told apart by all their bytes and their length;
+    every longer piece is a kind of its own.
+    """
+    size = end - start
+    half = [np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)]
+    for k in range(16):
+        there = np.nonzero(size > k)[0]
+        half[k // 8][there] |= data[start[there] + k].astype(np.uint64) << np.uint64(8 * (k % 8))
+    mixed = (half[0] * np.uint64(0x9E3779B97F4A7C15) ^ half[1]) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
+    mixed ^= mixed >> np.uint64(32)
+    own = size > 16
+    mixed[own] = np.arange(len(start), dtype=np.uint64)[own]
+    _, first, kind = np.unique(mixed, return_index=True, return_inverse=True)
+    of = first[kind]
+    if not ((size == size[of]) & (half[0] == half[0][of]) & (half[1] == half[1][of]) & (~own | (of == np.arange(len(of))))).all():
+        return np.arange(len(start)), np.arange(len(start))  # two kinds met in one hash: no kinds this time
+    return first, kind
+
+
+class PieceCache:
+    """Ids of pieces of text; a piece is encoded once per worker while there is room for it."""
+
+    def __init__(self, encode: Callable[[list[bytes]], dict[bytes, bytes]]):
+        self.encode, self.known = encode, {}
+
+    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, and the n+1 places where each piece starts in it."""
+        first, kind = alike(data, start, end)
+        whole = data.tobytes()
+        parts = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        found = list(map(self.known.get, parts))
+        missing = list({p: None for p, ids in zip(parts, found) if ids is None})
+        if missing:
+            fresh = self.encode(missing)
+            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
+            if len(self.known) + len(fresh) > CACHE:
+                self.known.clear()
+            self.known |= {p: ids for p, ids in fresh.items() if len(p) <= SHORT}
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        place = np.cumsum(size) - size
+        each = size[kind]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return flat[np.arange(ends[-1]) + np.repeat(place[kind] - ends[:-1], each)], ends
+
+
+def coded(tokenizer, parts: list[bytes]) -> dict[bytes, bytes]:
+    """Little-endian 32-bit ids of each part."""
+    out = {}
+    for start in range(0, len(parts), 10_000):
+        some = parts[start : start + 10_000]
+        found = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+        out |= {p: struct.pack(f"<{len(ids)}I", *ids) for p, ids in zip(some, (c.ids for c in found))}
+    return out
+
+
 class FragmentBpe:
     """One tokenizer of a worker: cut table, cache of encoded fragments, bytes of each token."""
 
@@ -64,7 +124,7 @@ class FragmentBpe:
         cut[:, (after & 0xC0) == 0x80] = False
         cut[:, ord("'")] = False
         self.cut = cut.reshape(-1)
-        self.known: dict[bytes, list[int]] = {}
+        self.cache = PieceCache(lambda parts: coded(self.tokenizer, parts))
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """First byte of every fragment of the packed documents."""
@@ -90,20 +150,7 @@ class FragmentBpe:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         start = self.starts(data, offsets)
-        whole = data.tobytes()
-        places = start.tolist()
-        parts = [whole[a:b] for a, b in zip(places, [*places[1:], len(whole)])]
-        found = list(map(self.known.get, parts))
-        missing = {p: None for p, ids in zip(parts, found) if ids is None}
-        if missing:
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
-            fresh = {p: c.ids for p, c in zip(missing, coded)}
-            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-            if len(self.known) + len(fresh) > CACHE:
-                self.known.clear()
-            self.known |= {p: ids for p, ids in fresh.items() if len(p) <= SHORT}
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))
+        ids, ends = self.cache.ids(data, start, np.append(start[1:], len(data)))
         return ids, ends[np.searchsorted(start, offsets)]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -124,11 +171,11 @@ def _round_trip(path: str):
             raw, at = packed(batch.column("text"))
             for a, b in blocks(at):
                 ids, place = bpe.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                little = ids.astype("<u4").tobytes()
-                coded = [little[4 * i : 4 * j] for i, j in zip(place[:-1], place[1:])]
+                little = ids.tobytes()
+                codes = [little[4 * i : 4 * j] for i, j in zip(place[:-1], place[1:])]
                 texts = [bpe.decode(ids[i:j].tolist()) for i, j in zip(place[:-1], place[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(coded, pa.binary()),
+                    [batch.column("doc_id").slice(a, b - a), pa.array(codes, pa.binary()),
                      pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
     return fn
 

@@ -8,9 +8,10 @@ they answer access, rank and select without the ids themselves.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -18,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelworks.llm.bpe import PieceCache, coded
 from panelworks.llm.common import blocks, in_arrow, packed
-from panelworks.llm.textstats import words
+from panelworks.llm.textstats import LOWER, words
 
 BLOCK = 512  # bits between two stored counts
 SHARD_TOKENS = 4_000_000
-CACHE = 300_000
-SHORT = 64
 END = 2
 
 
@@ -37,9 +37,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         depth = max(1, int(ids.max(initial=0)).bit_length())
-        planes, counts, zeros, rest = [], [], [], ids.astype(np.uint32)
+        kind = np.uint16 if depth <= 16 else np.uint32
+        planes, counts, zeros, rest = [], [], [], ids.astype(kind)
         for level in range(depth):
-            ones = (rest >> np.uint32(depth - 1 - level) & np.uint32(1)).astype(bool)
+            ones = rest & kind(1 << (depth - 1 - level)) != 0
             bits = np.packbits(ones, bitorder="little")
             padded = np.zeros(-(-len(ids) // BLOCK) * BLOCK // 8, np.uint8)
             padded[: len(bits)] = bits
@@ -111,18 +112,38 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """The whole sequence, put together from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in reversed(range(len(self.planes))):
             ones = np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             higher = np.empty_like(out)
             higher[~ones] = out[: self.zeros[level]]
-            higher[ones] = out[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            higher[ones] = out[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             out = higher
-        return out
+        return out.astype(np.uint32)
+
+
+# ASCII letters and digits, and ASCII signs but the apostrophe, which can bind to a letter behind it
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[b for b in range(33, 127) if not _KIND[b] and b != 39]] = 2
+# runs of small ASCII and Latin-1 letters, one word each
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the words, cut further between ASCII letters or digits and ASCII signs."""
+    start, end = words(data, offsets)
+    kind = _KIND[data]
+    cut = np.nonzero(kind[:-1] + kind[1:] == 3)[0]
+    cut = cut[(kind[cut] > 0) & (kind[cut + 1] > 0)] + 1
+    # a border between documents separates words already
+    cut = cut[offsets[np.searchsorted(offsets, cut)] != cut]
+    return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
 
 
 class WordBpe:
-    """A tokenizer that drops white space: words are encoded apart, each distinct short one once."""
+    """A tokenizer that drops white space and case: pieces of words are encoded apart, each distinct short one once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -131,26 +152,45 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, list[int]] = {}
+        # small letters need no normalizing and no pattern: the same model behind a split at spaces
+        spec = json.loads(self.tokenizer.to_str())
+        split = {"type": "CharDelimiterSplit", "delimiter": " "}
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, letters]}}
+        self.letters = Tokenizer.from_str(json.dumps(spec))
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = PieceCache(self._fresh)
+
+    def _fresh(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each part. Runs of small letters go in lines of many, as each ends with the one id that ends a word."""
+        plain = [p for p in parts if p.isalpha() and p.islower() or _LETTERS.fullmatch(p)]
+        lines = [plain[a : a + 500] for a in range(0, len(plain), 500)]
+        out: dict[bytes, bytes] = {}
+        for line, found in zip(lines, self.letters.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            stop = (4 * (np.nonzero(self.last[ids])[0] + 1)).tolist()
+            if len(stop) == len(line):
+                little = ids.tobytes()
+                out |= {p: little[a:b] for p, a, b in zip(line, [0, *stop], stop)}
+        rest = [p for p in parts if p not in out]
+        return out | coded(self.tokenizer, rest)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all packed documents in one array, and the n+1 places where they start in it."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        start, end = words(data, offsets)
-        whole = data.tobytes()
-        parts = [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
-        found = list(map(self.known.get, parts))
-        missing = {p: None for p, ids in zip(parts, found) if ids is None}
-        if missing:
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)
-            fresh = {p: c.ids for p, c in zip(missing, coded)}
-            found = [fresh[p] if ids is None else ids for p, ids in zip(parts, found)]
-            if len(self.known) + len(fresh) > CACHE:
-                self.known.clear()
-            self.known |= {p: ids for p, ids in fresh.items() if len(p) <= SHORT}
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))
+        low = LOWER[data]
+        whole = low.tobytes()
+        if any(word in whole for word in self.added):  # told by case and taken out before anything else
+            start, end = words(data, offsets)
+        else:
+            data, (start, end) = low, pieces(data, offsets)
+        ids, ends = self.cache.ids(data, start, end)
         return ids, ends[np.searchsorted(start, offsets)]
 
 
@@ -185,9 +225,9 @@ def _build(path: str, end: int, most: int):
             names = batch.column("doc_id").to_pylist()
             place = batch.column("place")[0].as_py() if place is None and len(names) else place
             for a, b in blocks(at):
-                coded, where = bpe.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                ids_here, where = bpe.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 for k in range(b - a):
-                    part = coded[where[k] : where[k + 1]]
+                    part = ids_here[where[k] : where[k + 1]]
                     if docs and held + len(part) + 1 > most:
                         yield shard(number, place, docs, ids)
                         docs, ids, held, number = [], [], 0, number + 1
