@@ -1,8 +1,9 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled good; unlabelled web text is drawn from
-the whole table. The share of good text in it is estimated from the scores of a
-first, plain positive-against-unlabelled fit. The final linear model minimises the non-negative unbiased risk
+the whole table. The share of good text in it is estimated from the scores of
+plain positive-against-unlabelled fits on the other half of the sample. The final
+linear model minimises the non-negative unbiased risk
 
     prior * E+[loss(f)] + max(0, Eu[loss(-f)] - prior * E+[loss(-f)])
 
@@ -36,7 +37,7 @@ class QualitySpec:
     epochs: int = 60
     rate: float = 0.05
     batch: int = 256
-    decay: float = 1e-4
+    decay: float = 1e-3
     beta: float = 0.0
     threshold: float = 0.3
     seed: int = 11
@@ -142,17 +143,28 @@ def class_prior(good: np.ndarray, mixed: np.ndarray) -> float:
     """Share of good rows in ``mixed``, from scores of both (higher: likelier good).
 
     Among rows above any score, mixed text holds at least prior * share of the
-    good ones, so the least ratio of the two shares bounds the prior; shares are
-    widened by their sampling error, and only upper parts with a tenth of the
-    good rows or more are looked at.
+    good ones, so the least ratio of the two shares bounds the prior from above.
+    Upper parts with half of the good rows or more are looked at, and the ratio
+    is taken at its lower limit, two standard errors down, as a prior that is too
+    high leaves the risk nothing to learn the other class from.
     """
     good, mixed = np.sort(good), np.sort(mixed)
-    marks = np.quantile(good, np.linspace(0.0, 0.9, 181))
+    marks = np.quantile(good, np.linspace(0.0, 0.5, 101))
     above_good = 1 - np.searchsorted(good, marks, "left") / len(good)
     above_mixed = 1 - np.searchsorted(mixed, marks, "left") / len(mixed)
-    upper = above_mixed + np.sqrt(above_mixed * (1 - above_mixed) / len(mixed))
-    lower = above_good - np.sqrt(above_good * (1 - above_good) / len(good))
-    return float(np.clip((upper / np.maximum(lower, 1e-9)).min(), 0.05, 0.98))
+    low = above_mixed - 2 * np.sqrt(above_mixed * (1 - above_mixed) / len(mixed))
+    high = above_good + 2 * np.sqrt(above_good * (1 - above_good) / len(good))
+    return float(np.clip((low / high).min(), 0.05, 0.98))
+
+
+def _cross_scores(good: np.ndarray, mixed: np.ndarray, spec: QualitySpec) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every row by a plain fit on the half that it is not in."""
+    out = np.zeros(len(good)), np.zeros(len(mixed))
+    for k in range(2):
+        weight, bias = _minimise(good[k::2], mixed[k::2], None, spec)
+        for rows, scores in zip((good, mixed), out):
+            scores[1 - k :: 2] = rows[1 - k :: 2] @ weight + bias
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec()) -> QualityModel | None:
@@ -189,8 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec()) -
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread = np.where(spread < 1e-4, 1.0, spread)
     x = np.clip((x - mean) / spread, -6, 6)
-    weight, bias = _minimise(x[good], x[~good], None, spec)
-    prior = class_prior(x[good] @ weight + bias, x[~good] @ weight + bias)
+    # the rows are ordered by their features, so the halves must be drawn
+    drawn = np.random.default_rng(spec.seed).permutation(len(x))
+    x, good = x[drawn], good[drawn]
+    prior = class_prior(*_cross_scores(x[good], x[~good], spec))
     weight, bias = _minimise(x[good], x[~good], prior, spec)
     return QualityModel(mean, spread, weight, bias, prior)
 
