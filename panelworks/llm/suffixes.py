@@ -189,12 +189,13 @@ def _hashes_by_bucket(buckets: int):
             groups = batch.column("g").to_numpy()
             place, hashed, _, _ = anchors(raw, at)
             of = groups[np.searchsorted(at, place, "right") - 1]
-            order = np.lexsort((of, hashed))
-            hashed, of = hashed[order], of[order]
+            # an anchor's hash is the least of many, so its leading bits are uneven; the trailing ones are not
+            bucket = ((hashed & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((of, hashed, bucket))
+            hashed, of, bucket = hashed[order], of[order], bucket[order]
             new = np.ones(len(order), bool)
             new[1:] = (hashed[1:] != hashed[:-1]) | (of[1:] != of[:-1])
-            hashed, of = hashed[new], of[new]
-            bucket = ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            hashed, of, bucket = hashed[new], of[new], bucket[new]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.nonzero(np.diff(edge))[0]
             yield pa.RecordBatch.from_arrays(
