@@ -20,12 +20,14 @@ def value_bucket(column: Column) -> Column:
     """Monotone bucket number of a numeric value.
 
     Logarithmic on both signs, linear near zero: a bucket spans about 0.1 % of
-    the value, [0, 1] spans some 14,000 buckets and all doubles stay below
-    ±750,000. Order is kept whatever the distribution, so ordered work can be
-    split by bucket without knowing the range first.
+    the value, [0, 1] spans some 14,000 buckets and all finite doubles stay
+    below ±750,000; infinite values and NaN have end buckets of their own. Order
+    is kept whatever the distribution, so ordered work can be split by bucket
+    without knowing the range first.
     """
     value = column.cast("double")
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1e6) * 1024).cast("int")
+    size = F.least(F.log1p(F.abs(value) * 1e6) * 1024, F.lit(800_000.0))
+    return F.when(F.isnan(value), 900_000).otherwise(F.floor(F.signum(value) * size).cast("int"))
 
 
 def draw_digest(seed: int, block: Column, row: Column) -> Column:

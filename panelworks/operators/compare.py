@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import ratio
 from panelworks.operators.ordered import exact_quantiles, running_totals
+from panelworks.session import materialise
 
 MISSING = "<<NA>>"
 
 
 def value_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(columna, valor, n_a, n_b) over the union of columns; empty text counts as missing.
+    """(columna, valor, n_a, n_b) over the union of columns; empty text and a not-a-number count as missing.
 
     A column one side lacks has no rows on that side.
     """
     names = sorted(columns or set(a.columns) | set(b.columns))
 
+    def present(c: str):
+        text = F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
+        return F.when(~F.isnan(F.coalesce(text.try_cast("double"), F.lit(0.0))), text)
+
     def long(df: DataFrame, side: str) -> DataFrame:
         pairs = F.array(*[
-            F.struct(F.lit(c).alias("columna"), F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias("valor"))
-            for c in names if c in df.columns
+            F.struct(F.lit(c).alias("columna"), present(c).alias("valor")) for c in names if c in df.columns
         ])
         return df.select(F.inline(pairs)).withColumn("_side", F.lit(side))
 
@@ -36,11 +40,17 @@ def value_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None
         F.count_if(F.col("_side") == "a").alias("n_a"), F.count_if(F.col("_side") == "b").alias("n_b"))
 
 
-def column_totals(values: DataFrame) -> DataFrame:
+def date_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    """Columns that side A (side B when A lacks them) types as a date or time."""
+    types = dict(b.dtypes) | dict(a.dtypes)
+    return sorted(c for c, kind in types.items() if kind in ("date", "timestamp", "timestamp_ntz"))
+
+
+def column_totals(values: DataFrame, dates: Sequence[str] = ()) -> DataFrame:
     """Per column: rows, missing and distinct texts per side, and the kind inferred from side A.
 
     A column is numeric when every present value of side A (of side B when A
-    lacks the column) is a number.
+    lacks the column) is a number, and a date when it is one of ``dates``.
     """
     present = F.col("valor").isNotNull()
     number = F.col("valor").try_cast("double").isNotNull()
@@ -54,17 +64,18 @@ def column_totals(values: DataFrame) -> DataFrame:
         F.sum(F.when(present & ~number, F.col("n_b")).otherwise(0)).alias("_odd_b"),
     )
     odd = F.when(F.col("rows_a") > 0, F.col("_odd_a")).otherwise(F.col("_odd_b"))
-    return out.withColumn("tipo", F.when(odd == 0, "numeric").otherwise("categorical")).drop("_odd_a", "_odd_b")
+    kind = F.when(F.col("columna").isin(list(dates)), "datetime").when(odd == 0, "numeric").otherwise("categorical")
+    return out.withColumn("tipo", kind).drop("_odd_a", "_odd_b")
 
 
-def _of_kind(values: DataFrame, totals: DataFrame, kind: str) -> DataFrame:
+def _of_kind(values: DataFrame, totals: DataFrame, numeric: bool) -> DataFrame:
     # one row per column name: bounded by the schema
-    return values.join(F.broadcast(totals.where(F.col("tipo") == kind)), "columna")
+    return values.join(F.broadcast(totals.where((F.col("tipo") == "numeric") == numeric)), "columna")
 
 
 def numeric_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
     """Two-sample KS distance per numeric column; NULL when a side has no values."""
-    numbers = _of_kind(values, totals, "numeric").select(
+    numbers = _of_kind(values, totals, True).select(
         "columna", F.col("valor").try_cast("double").alias("v"), "n_a", "n_b").where(F.col("v").isNotNull())
     counts = numbers.groupBy("columna", "v").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
     ranked = running_totals(counts, ["columna"], "v", ["n_a", "n_b"])
@@ -76,8 +87,8 @@ def numeric_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def categorical_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
-    """Total variation distance per categorical column, missing values being a category."""
-    at = _of_kind(values, totals, "categorical")
+    """Total variation distance per column that is no number, missing values being a category."""
+    at = _of_kind(values, totals, False)
     gap = F.abs(F.coalesce(ratio(F.col("n_a"), F.col("rows_a")), F.lit(0.0))
                 - F.coalesce(ratio(F.col("n_b"), F.col("rows_b")), F.lit(0.0)))
     return at.groupBy("columna").agg(
@@ -86,8 +97,9 @@ def categorical_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
 
 def comparison_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column, largest distance first, unknown distance last."""
-    values = value_table(a, b, columns)
-    totals = column_totals(values)
+    # stored: totals and both distances read the counts, the tables are passed over once
+    values = materialise(value_table(a, b, columns), "comparison_values")
+    totals = column_totals(values, date_columns(a, b))
     parts = numeric_distance(values, totals).unionByName(categorical_distance(values, totals))
     joined = totals.join(parts, "columna", "left")
 
@@ -104,7 +116,7 @@ def comparison_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None =
 
 def top_categories(values: DataFrame, totals: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent categories of either side: share of each side and difference in points."""
-    at = _of_kind(values, totals, "categorical").select(
+    at = _of_kind(values, totals, False).select(
         "columna", F.coalesce("valor", F.lit(MISSING)).alias("valor"), "n_a", "n_b", "rows_a", "rows_b")
 
     def best(side: str) -> DataFrame:

@@ -11,6 +11,7 @@ from panelworks import constants as K
 from panelworks.functions.numeric import right_closed, rounded
 from panelworks.operators import metrics as ME
 from panelworks.operators.ordered import null_safe_join
+from panelworks.session import materialise
 
 
 def demographics(students: DataFrame, cohorts=K.COHORT_BINS, ages=K.AGE_BINS) -> DataFrame:
@@ -39,6 +40,7 @@ def by_attribute(scored: DataFrame, attributes: dict[str, str], keep: Sequence[s
 def subgroup_metrics(long: DataFrame, by: Sequence[str] = ("atributo", "valor"), least: int = 150) -> DataFrame:
     """Metrics of every subgroup of at least ``least`` rows with both classes."""
     by = list(by)
+    long = materialise(long.select(*by, "id", "y", "p"), "subgroup_rows")  # four families of metrics read it
     flat = ME.threshold_metrics(long, by).where(
         (F.col("n") >= least) & (F.col("prevalence") > 0) & (F.col("prevalence") < 1))
     top = ME.top_share(long, by, shares=(10,), at_least_one=True).select(*by, F.col("precision_at").alias("p_at_10"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from panelworks import constants as K
 from panelworks.functions.numeric import ratio
-from panelworks.operators.ordered import null_safe_join, running_totals, value_counts
+from panelworks.operators.ordered import exact_quantiles, null_safe_join, running_totals, value_counts
+from panelworks.session import materialise
 
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
@@ -223,53 +224,68 @@ def calibration_curve(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p
 
 
 def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
-                    steps: int = 10, clip: float = 1e-6) -> DataFrame:
+                    tolerance: float = 1e-9, clip: float = 1e-6, most_steps: int = 200) -> DataFrame:
     """Slope and intercept of a logistic fit on the logit of the score (L2 on the slope, C = 1).
 
-    Newton steps over all groups at once: each step is one aggregate of five sums
-    over the distinct scores, so no group is ever fitted in a single task. A
-    group with one class has no fit.
+    Newton steps over all groups at once, until the gradient of every group is
+    below ``tolerance`` per row; a step that raises the loss is halved. Each step
+    is one stored aggregate of a few sums over the distinct scores, so no group is
+    ever fitted in a single task. A group with one class has no fit. Raises when
+    ``most_steps`` do not suffice.
     """
     keys = list(by) or ["_all"]
     base = scored if by else scored.withColumn("_all", F.lit(0))
     counts = score_counts(base, keys, y, p)
     bounded = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))
-    points = counts.select(*keys, F.ln(bounded / (1 - bounded)).alias("_x"), "pos", "neg")
-    from panelworks.session import materialise
-
-    points = materialise(points, "calibration_points")
+    points = materialise(
+        counts.select(*keys, F.ln(bounded / (1 - bounded)).alias("_x"), "pos", "neg"), "calibration_points")
     groups = points.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    params = groups.where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
-        *keys, F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"))
+    zero = F.lit(0.0)
+    # slope, intercept: where the sums are taken; w0, b0, loss0: the best place so far; dw, db: the step from there
+    trial = materialise(groups.where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
+        *keys, *[zero.alias(c) for c in ("slope", "intercept", "w0", "b0", "dw", "db")],
+        F.lit(float("inf")).alias("loss0")), "calibration_step")
     w, b, x = F.col("slope"), F.col("intercept"), F.col("_x")
-    for _ in range(steps):
+    for _ in range(most_steps):
         # the parameters are one row per group; without groups that is a single row
-        right = params if by else F.broadcast(params)
-        at = null_safe_join(points, right, keys)
-        mu = 1 / (1 + F.exp(-(w * x + b)))
-        n = F.col("pos") + F.col("neg")
-        s = n * mu * (1 - mu)
-        err = n * mu - F.col("pos")
+        at = null_safe_join(points, trial if by else F.broadcast(trial), keys)
+        z = w * x + b
+        n, mu = F.col("pos") + F.col("neg"), 1 / (1 + F.exp(-z))
+        s, err = n * mu * (1 - mu), n * mu - F.col("pos")
+        # log(1 + exp(z)) without overflow
+        loss = n * (F.greatest(z, zero) + F.log1p(F.exp(-F.abs(z)))) - F.col("pos") * z
+        kept = ("slope", "intercept", "w0", "b0", "dw", "db", "loss0")
         sums = at.groupBy(*keys).agg(
-            F.max("slope").alias("slope"), F.max("intercept").alias("intercept"),
+            *[F.max(c).alias(c) for c in kept], F.sum(n).alias("_rows"), F.sum(loss).alias("_loss"),
             F.sum(err * x).alias("_gw"), F.sum(err).alias("_gb"),
             F.sum(s * x * x).alias("_ww"), F.sum(s * x).alias("_wb"), F.sum(s).alias("_bb"),
         )
         gw, gb = F.col("_gw") + w, F.col("_gb")
         ww, wb, bb = F.col("_ww") + 1, F.col("_wb"), F.col("_bb")
         det = ww * bb - wb * wb
-        params = sums.select(
-            *keys, (w - ratio(bb * gw - wb * gb, det)).alias("slope"),
-            (b - ratio(ww * gb - wb * gw, det)).alias("intercept"),
+        total = F.col("_loss") + w * w / 2
+        better = total <= F.col("loss0") * (1 + 1e-12)
+        done = F.greatest(F.abs(gw), F.abs(gb)) <= tolerance * F.col("_rows")
+        judged = sums.select(
+            *keys, done.alias("done"), F.when(better, w).otherwise(F.col("w0")).alias("w0"),
+            F.when(better, b).otherwise(F.col("b0")).alias("b0"), F.when(better, total).otherwise(F.col("loss0")).alias("loss0"),
+            F.when(done, 0.0).when(better, -ratio(bb * gw - wb * gb, det)).otherwise(F.col("dw") / 2).alias("dw"),
+            F.when(done, 0.0).when(better, -ratio(ww * gb - wb * gw, det)).otherwise(F.col("db") / 2).alias("db"),
+            F.when(done, w).alias("_w"), F.when(done, b).alias("_b"),
         )
-    every = null_safe_join(groups.select(*keys), params, keys, "left")
+        trial = materialise(judged.select(
+            *keys, "w0", "b0", "dw", "db", "loss0", "done", F.coalesce("_w", F.col("w0") + F.col("dw")).alias("slope"),
+            F.coalesce("_b", F.col("b0") + F.col("db")).alias("intercept")), "calibration_step")
+        if not trial.where(~F.col("done")).limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"the calibration fit did not settle in {most_steps} steps")
+    every = null_safe_join(groups.select(*keys), trial.select(*keys, "slope", "intercept"), keys, "left")
     return every.select(*by, F.col("slope").alias("calib_slope"), F.col("intercept").alias("calib_intercept"))
 
 
 def recency_scores(rows: DataFrame, recency: str = K.RECENCY_FEATURE, out: str = "p") -> DataFrame:
     """Days since last activity as the score; a missing value takes the median."""
-    from panelworks.operators.ordered import exact_quantiles
-
     middle = exact_quantiles(rows, [], recency, {"m": 0.5}).scalar()
     return rows.withColumn(out, F.coalesce(F.col(recency).cast("double"), middle))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import value_bucket
 
+CELL_ROWS = 4096
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; keeps the left key columns."""
@@ -34,6 +36,24 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -
     return kept.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
+def with_cells(counts: DataFrame, group: Column, value: str) -> DataFrame:
+    """Add ``_cell``: group, value bucket and, in a bucket of many rows, its part by the bucket's own range.
+
+    Values far from zero share a bucket (epoch seconds, large ids); such a bucket
+    is cut evenly between its least and greatest value into parts of some 4,096 rows.
+    """
+    number = F.col(value).cast("double")
+    placed = counts.withColumn("_wide", F.struct(group.alias("g"), value_bucket(number).alias("b")))
+    heavy = placed.groupBy(F.col("_wide").alias("_at")).agg(
+        F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_rows")
+    ).where((F.col("_rows") > CELL_ROWS) & (F.col("_low") < F.col("_high")))
+    joined = placed.join(heavy, F.col("_wide") == F.col("_at"), "left")
+    parts = F.ceil(F.col("_rows") / CELL_ROWS)
+    part = F.least(F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts), parts - 1)
+    cell = F.struct(F.col("_wide.g").alias("g"), F.col("_wide.b").alias("b"), F.coalesce(part, F.lit(0)).cast("long").alias("part"))
+    return joined.select(*counts.columns, cell.alias("_cell"))
+
+
 def running_totals(
     counts: DataFrame,
     by: Sequence[str],
@@ -51,8 +71,8 @@ def running_totals(
     # one struct key: NULL groups match, and the window, the bucket sums and the join
     # below all agree on one partitioning
     group = F.struct(*by) if by else F.lit(0)
-    place = bucket if bucket is not None else value_bucket(F.col(value))
-    split = counts.withColumn("_cell", F.struct(group.alias("g"), place.alias("b")))
+    split = with_cells(counts, group, value) if bucket is None else counts.withColumn(
+        "_cell", F.struct(group.alias("g"), bucket.alias("b"), F.lit(0).cast("long").alias("part")))
     inside = (
         Window.partitionBy("_cell").orderBy(value, *within).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -61,7 +81,7 @@ def running_totals(
     )
     per_bucket = split.groupBy("_cell").agg(*[F.sum(s).alias(s) for s in sums])
     # at most one row per non-empty bucket: small whatever the group size
-    order = Window.partitionBy("_cell.g").orderBy("_cell.b")
+    order = Window.partitionBy("_cell.g").orderBy("_cell.b", "_cell.part")
     between = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_bucket.select(

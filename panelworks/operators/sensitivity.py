@@ -57,18 +57,16 @@ def horizon_table(active: DataFrame, completed: DataFrame, horizons: Sequence[in
 def relabelled(panel: DataFrame, active: DataFrame, completed: DataFrame, horizon: int = K.LABEL_HORIZON) -> DataFrame:
     """Both label variants recomputed from the activity set alone.
 
-    Every (student, period, k-th later period) is looked up with an equi-join;
-    no window is shared with the panel, so the two can check each other.
+    A student's active periods, at most one per half-year of the data, come along
+    as one array; no window is shared with the panel, so the two can check each other.
     """
     end = active.agg(F.max("period").alias("m")).scalar()
     rows = panel.withColumn("period", P.period_of_label(F.col("academic_period")))
-    ahead = rows.select(
-        "legajo", "period", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_k")
-    ).select("legajo", F.col("period").alias("_at"), (F.col("period") + F.col("_k")).alias("period"))
-    seen = ahead.join(active, ["legajo", "period"]).select(
-        "legajo", F.col("_at").alias("period"), F.lit(1).alias("_back")).distinct()
+    seen = active.groupBy("legajo").agg(F.collect_set("period").alias("_seen"))
     done = completed.select("legajo", F.lit(1).alias("_done"))
-    joined = rows.join(seen, ["legajo", "period"], "left").join(done, "legajo", "left")
+    joined = rows.join(seen, "legajo", "left").join(done, "legajo", "left")
+    back = F.exists("_seen", lambda x: (x > F.col("period")) & (x <= F.col("period") + horizon))
+    joined = joined.withColumn("_back", back.cast("int"))
     open_end = end - F.col("period") < horizon
     label = F.when(open_end, F.lit(None).cast("int")).when(F.col("_back") == 1, 0)
     return joined.select(

@@ -65,9 +65,11 @@ def stratified_sample(
                 * F.lit(fraction) + 0.5).alias("_take"),
     ).where(F.col("_before") < F.col("_take"))
     joined = null_safe_join(hashed, cells, [label, "_b"])
+    whole = F.col("_before") + F.col("_n") <= F.col("_take")
     inside = Window.partitionBy(label, "_b").orderBy("_h", *key)
-    picked = joined.withColumn("_r", F.row_number().over(inside))
-    return picked.where(F.col("_before") + F.col("_r") <= F.col("_take")).select(*rows.columns)
+    cut = joined.where(~whole).withColumn("_r", F.row_number().over(inside)).where(
+        F.col("_before") + F.col("_r") <= F.col("_take"))
+    return joined.where(whole).select(*rows.columns).unionByName(cut.select(*rows.columns))
 
 
 def origins(tests: Sequence[str], horizon: int = K.LABEL_HORIZON) -> list[tuple[str, str]]:

@@ -97,7 +97,7 @@ def met_14(s, d):
 
 def met_14_draws(s, d):
     """How often each student is drawn, summarised per replicate."""
-    weights = RS.draw_weights(S.panel_scores(s, d), "id", 40)
+    weights = RS.draw_weights(S.panel_scores(s, d), "id", 300)
     return weights.groupBy("replicate").agg(
         F.count(F.lit(1)).alias("n_students"), F.sum("weight").alias("n_draws"), F.max("weight").alias("max_weight"))
 
@@ -184,7 +184,7 @@ def weighted_auc(rows: str, keys: str) -> str:
         GROUP BY {keys}"""
 
 
-def newton_ctes(table: str, key: str, steps: int = 10) -> dict[str, str]:
+def newton_ctes(table: str, key: str, steps: int = 30) -> dict[str, str]:
     ctes = {
         "pts": f"""SELECT {key} AS k, ln(c / (1 - c)) AS x, sum(y) AS pos, count(*) AS n FROM (
             SELECT {key}, y, least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS c FROM {table}) z GROUP BY 1, 2""",
@@ -319,7 +319,7 @@ QUERIES = {
         **newton_ctes("doc_scores", "1"))),
     "met_14_bootstrap_draws": (met_14_draws, with_ctes("""
         SELECT replicate, count(*) AS n_students, CAST(sum(weight) AS BIGINT) AS n_draws, max(weight) AS max_weight
-        FROM weights GROUP BY 1""", **bootstrap_ctes("panel_scores", 40))),
+        FROM weights GROUP BY 1""", **bootstrap_ctes("panel_scores", 300))),
     "met_14_bootstrap_auc": (met_14, with_ctes(f"""
         SELECT round(quantile_cont(auc, 0.025), 6) AS auc_ci_low, round(quantile_cont(auc, 0.975), 6) AS auc_ci_high,
           count(*) AS n_replicates FROM ({weighted_auc(

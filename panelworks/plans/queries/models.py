@@ -16,10 +16,10 @@ from panelworks.operators import status as ST
 from panelworks.plans import fixtures as X
 from panelworks.plans import marts as M
 from panelworks.plans.queries.reporting import TESTS
-from panelworks.session import scratch_path
+from panelworks.session import materialise, scratch_path
 
-# the development size of the candidates; the full size is the default of TrainSpec
-TREES = 30
+# the full size of the candidates
+TREES = 100
 SPEC = MO.TrainSpec(trees=TREES)
 TEST = TESTS[-1]
 
@@ -150,7 +150,6 @@ def fai_model(s, d):
     demo = FA.demographics(M.students(s, d), X.COHORTS).withColumnRenamed("legajo", "id")
     scored = MO.score(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d)).select(
         F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "cod_carrera")
-    from panelworks.session import materialise
 
     stored = materialise(scored, "fairness_scores").join(demo, "id", "left")
     return FA.subgroup_metrics(FA.by_attribute(stored, {

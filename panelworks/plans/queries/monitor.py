@@ -92,10 +92,11 @@ def drf_08(s, d):
     """Store the drift of three cycles, re-run one of them, read the table."""
     path = scratch_path(s, "drift_metrics")
     keys = ["cycle_period", "reference_period"]
-    rows = cycle_drift(s, d)
+    rows = stored_drift(s, d)
     SK.replace_by_key(rows, path, keys)
-    SK.replace_by_key(rows.where(F.col("cycle_period") == CYCLES[1]), path, keys)
-    return r6(SK.read_table(s, path).withColumns({k: F.col(k).cast("string") for k in keys}), _DOUBLES)
+    again = DR.cycle_rows(M.panel(s, d), DR.shifted_cycles(CYCLES[1:2]), unique=True)
+    SK.replace_by_key(DR.feature_drift(again, keys), path, keys)
+    return r6(SK.read_table(s, path, rows.schema), _DOUBLES)
 
 
 def drf_09(s, d):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_SCRATCH = "/tmp/panelworks"
+_claimed: set[str] = set()
+
 
 def build_session(app: str = "panelworks", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; cluster sizing stays with the cluster."""
@@ -24,18 +26,28 @@ def build_session(app: str = "panelworks", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when none is set."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share.
+
+    Only a local master may do without: there one machine holds all executors.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="panelworks-")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path in the shared folder."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/panelworks/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    top = f"{shared_folder(spark)}/panelworks/{spark.sparkContext.applicationId}"
+    if top not in _claimed:  # the application's own tables go when it ends
+        _claimed.add(top)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -31,12 +31,12 @@ def utf8_or_latin1(raw: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8", header: bool = False) -> DataFrame:
-    """One column ``value``; splittable, any line end. A header line is left out by its text."""
-    raw = spark.read.text(path)
+    """One column ``value``; splittable, any line end. With ``header`` the first line of every file is left out."""
     if header:
-        first = raw.head()  # one line of one file
-        if first is not None:
-            raw = raw.where(F.col("value") != F.lit(first[0]))
+        # a field sign that no line holds and no quotes: whole lines, without each file's first
+        raw = spark.read.option("sep", "\x01").option("quote", "").option("header", True).schema("value STRING").csv(path)
+    else:
+        raw = spark.read.text(path)
     return raw.select(decoded(F.col("value"), encoding).alias("value"))
 
 
@@ -115,7 +115,7 @@ def read_csv_text(
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Rows where at least one cell is more than white space."""
-    content = F.concat_ws("", *[F.regexp_replace(F.col(c).cast("string"), r"\s+", "") for c in df.columns])
+    content = F.concat_ws("", *[F.regexp_replace(F.col(c).cast("string"), r"(?U)\s+", "") for c in df.columns])
     return df.where(content != "")
 
 

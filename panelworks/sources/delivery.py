@@ -41,6 +41,18 @@ def list_csv(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for n in names if n.lower().endswith(".csv"))
 
 
+def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Paths with the same first line together; one job reads the first lines of all."""
+    if len(paths) == 1:
+        return [paths]
+    lines = spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in lines.groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths")).orderBy("header").collect():
+        groups[row["header"]] = row["paths"]
+    return list(groups.values())
+
+
 def load_delivery(spark: SparkSession, root: str, period: str) -> dict[str, DataFrame]:
     """Dataset -> staged rows of one delivery; one read per file layout."""
     found: dict[str, list[str]] = {}
@@ -53,8 +65,8 @@ def load_delivery(spark: SparkSession, root: str, period: str) -> dict[str, Data
             found.setdefault(dataset, []).append(path)
     staged: dict[str, DataFrame] = {}
     for dataset, paths in found.items():
-        for path in paths:
-            rows = stage(read_csv_text(spark, path), period)
+        for same in by_header(spark, paths):
+            rows = stage(read_csv_text(spark, same), period)
             staged[dataset] = staged[dataset].unionByName(rows) if dataset in staged else rows
     return staged
 

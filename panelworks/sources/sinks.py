@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", encoding: str = "utf-8", header: bool = True) -> None:
@@ -29,10 +28,9 @@ def replace_by_key(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Replace only the partitions of the keys present in ``df``.
 
     Each partition is swapped as a whole, so a repeated run gives the same table.
+    Rows are brought together by key and a heavy key is split by size at run time.
     """
-    # a row-dependent salt keeps a heavy key in several files and is the same on a retry
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    (df.repartition(*keys, salt).write.mode("overwrite")
+    (df.hint("rebalance", *keys).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
@@ -41,6 +39,7 @@ def replaced_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str]) ->
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    # partition values stay text: half-year labels must not be inferred as numbers
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A stored table; with its schema partition values keep their type (half-years are text)."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
