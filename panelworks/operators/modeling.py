@@ -28,6 +28,8 @@ class TrainSpec:
     numeric: tuple[str, ...] = K.NUMERIC_FEATURES
     category: str | None = K.CATEGORY_FEATURE
     label: str = LABEL
+    keys: tuple[str, ...] = ("legajo", "academic_period")
+    parts: int = 32
     seed: int = K.SEED
     candidates: tuple[str, ...] = field(default=("GradientBoosting", "RandomForest", "LogisticRegression"))
 
@@ -63,19 +65,27 @@ def preparation_stages(prepared: Preparation, spec: TrainSpec) -> list:
 def training_table(train: DataFrame, spec: TrainSpec) -> DataFrame:
     """The training columns, stored once: a fit passes over them many times.
 
-    Rows are placed and ordered by their content, so the seeded row sampling of a
-    fit does not depend on how the rows happened to be laid out before.
+    Rows are placed by a hash of their key (student and half-year), so equal
+    feature rows are spread, in ``spec.parts`` parts whatever the cluster, and
+    ordered inside a part. ``fit`` deals them out by part again.
     """
     columns = [*spec.numeric, *([spec.category] if spec.category else [])]
-    rows = train.select(*columns, F.col(spec.label).cast("double").alias("x_label"))
-    placed = rows.repartition(F.xxhash64(*rows.columns)).sortWithinPartitions(*rows.columns)
-    return materialise(placed, "train")
+    keys = [c for c in spec.keys if c in train.columns] or columns
+    part = F.pmod(F.xxhash64(*keys), F.lit(spec.parts)).cast("int")
+    rows = train.select(*columns, F.col(spec.label).cast("double").alias("x_label"), part.alias("x_part"), F.xxhash64(*keys).alias("x_row"))
+    return materialise(rows, "train")
+
+
+def _dealt(rows: DataFrame, spec: TrainSpec) -> DataFrame:
+    """Training rows in the same partitions and order on any number of cores: fits sample by partition."""
+    order = [c for c in rows.columns if c != "x_part"]
+    return rows.repartition(spec.parts, "x_part").sortWithinPartitions("x_part", "x_row", *[c for c in order if c != "x_row"])
 
 
 def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = TrainSpec(), stored: bool = False
         ) -> PipelineModel:
     """Fit one candidate; preparation parameters come from the training rows only."""
-    rows = train if stored else training_table(train, spec)
+    rows = _dealt(train if stored else training_table(train, spec), spec)
     prepared = Preparation.fit(rows, spec.numeric, spec.category)
     stages = [*preparation_stages(prepared, spec), classifier(name, spec, rows.count())]
     return Pipeline(stages=stages).fit(rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
+from panelworks.functions import periods as P
 from panelworks.operators import experiments as EX
 from panelworks.operators import fairness as FA
 from panelworks.operators import metrics as ME
@@ -12,16 +14,19 @@ from panelworks.operators import modeling as MO
 from panelworks.operators import panel as PN
 from panelworks.operators import scoring as SC
 from panelworks.operators import sensitivity as SN
+from panelworks.operators import splits as SP
 from panelworks.operators import status as ST
 from panelworks.plans import fixtures as X
 from panelworks.plans import marts as M
+from panelworks.plans.oracle import with_ctes
 from panelworks.plans.queries.reporting import TESTS
 from panelworks.session import materialise, scratch_path
 
 # the full size of the candidates
 TREES = 100
-SPEC = MO.TrainSpec(trees=TREES)
+SPEC = MO.TrainSpec(trees=TREES, parts=8)
 TEST = TESTS[-1]
+CUTOFFS = ["1995_2C", "1996_1C", "1996_2C", "1997_1C"]
 
 _fitted: dict[tuple, object] = {}
 
@@ -64,14 +69,39 @@ def _candidate(name):
 
 
 def mod_04(s, d):
-    table, _ = MO.compete(_train(s, d), _test(s, d), X.LATEST, SPEC)
-    return table
+    return M._once(s, d, "mod_04", lambda: MO.compete(_train(s, d), _test(s, d), X.LATEST, SPEC)[0])
+
+
+def mod_04_sizes(s, d):
+    """Candidates, their training rows, and whether one is selected and all areas lie in [0, 1]."""
+    return mod_04(s, d).select(
+        "model_name", "train_size", F.col("roc_auc").between(0, 1).alias("auc_in_range"),
+        (F.sum(F.col("is_selected_model").cast("int")).over(Window.partitionBy(F.lit(1))) == 1).alias("one_selected"))
+
+
+def _counts(scored):
+    """Rows, positives and valid probabilities per half-year."""
+    return scored.groupBy("academic_period").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("dropout_next") == 1).alias("n_pos"),
+        F.count_if(F.col("p").between(0, 1)).alias("n_valid"))
+
+
+def mod_scored(s, d):
+    """Size of the test rows each candidate has scored."""
+    parts = [_counts(_candidate(name)(s, d)).withColumn("model_name", F.lit(name)) for name in MO.TrainSpec().candidates]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def mod_06(s, d):
     return MO.importances(_fit(s, d)(_train(s, d), X.CUTOFF), SPEC, s)
 
 
+def mod_06_features(s, d):
+    """Every input has an importance of its own and they add up to one."""
+    whole = Window.partitionBy(F.lit(1))
+    return mod_06(s, d).select("feature", (F.round(F.sum("importance").over(whole), 6) == 1).alias("adds_up"))
+
+
 def mod_07(s, d):
     """Save two versions, load the newest, score: version and rows per period."""
     path = scratch_path(s, "models")
@@ -83,6 +113,10 @@ def mod_07(s, d):
         F.lit(version).alias("version"), F.count("p").alias("n"), F.avg("p").alias("mean_p"))
 
 
+def mod_07_versions(s, d):
+    return mod_07(s, d).select("academic_period", F.col("version").cast("long").alias("version"), "n")
+
+
 def sco_03(s, d):
     """Whole scoring run: latest rows of studying students, class and probability."""
     rows = SC.latest_risk_rows(M.panel(s, d), SC.active_students(M.status(s, d)))
@@ -90,16 +124,37 @@ def sco_03(s, d):
     return SC.predictions(scored, F.col("p"), F.current_timestamp(), F.lit("1"))
 
 
+def sco_03_keys(s, d):
+    """Who is scored on which row, and whether the class follows from the probability."""
+    p = F.col("dropout_probability")
+    return sco_03(s, d).select(
+        "legajo", "academic_period", p.between(0, 1).alias("valid"),
+        ((p >= 0.5).cast("int") == F.col("dropout_prediction")).alias("class_ok"))
+
+
 def bkt_01(s, d):
-    return EX.rolling_backtest(M.modelled(s, d), TESTS, _fit(s, d))
+    return M._once(s, d, "bkt_01", lambda: EX.rolling_backtest(M.modelled(s, d), TESTS, _fit(s, d)))
+
+
+def bkt_01_sizes(s, d):
+    return bkt_01(s, d).select("origin", "test_period", "n_train", "n_test", "prevalence")
 
 
 def bkt_02(s, d):
-    return EX.incremental_training(M.modelled(s, d), ["1995_2C", "1996_1C", "1996_2C", "1997_1C"], TEST, _fit(s, d))
+    return M._once(s, d, "bkt_02", lambda: EX.incremental_training(M.modelled(s, d), CUTOFFS, TEST, _fit(s, d)))
+
+
+def bkt_02_sizes(s, d):
+    return bkt_02(s, d).select("train_cutoff", "test_period", "n_train", "n_test")
 
 
 def bkt_03(s, d):
-    return EX.unseen_students(M.modelled(s, d), TEST, _fit(s, d))
+    return M._once(s, d, "bkt_03", lambda: EX.unseen_students(M.modelled(s, d), TEST, _fit(s, d)))
+
+
+def bkt_03_sizes(s, d):
+    return bkt_03(s, d).select(
+        "test_period", "train_cutoff", "n_test", "n_test_seen", "n_test_new", "n_train_full", "n_train_grouped")
 
 
 def _ablation(s, d):
@@ -108,7 +163,7 @@ def _ablation(s, d):
         def fit_with(train, features, name):
             if features == K.NUMERIC_FEATURES and name == "GradientBoosting":
                 return _fit(s, d)(train, X.CUTOFF)
-            return MO.fit(train, name, MO.TrainSpec(trees=TREES, numeric=features))
+            return MO.fit(train, name, MO.TrainSpec(trees=TREES, parts=8, numeric=features))
 
         _fitted[key] = EX.ablation_scores(_train(s, d), _test(s, d), fit_with)
     return _fitted[key]
@@ -118,13 +173,21 @@ def abl_01(s, d):
     return EX.ablation_table(_ablation(s, d))
 
 
+def abl_01_features(s, d):
+    return abl_01(s, d).select("variante", F.col("n_features").cast("long").alias("n_features"), F.col("auc").between(0, 1).alias("valid"))
+
+
 def abl_paired(s, d):
     return EX.paired_table(_ablation(s, d))
 
 
 def prm_01(s, d):
     features = [*K.NUMERIC_FEATURES, K.CATEGORY_FEATURE]
-    return EX.permutation_importance(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d), features)
+    return M._once(s, d, "prm_01", lambda: EX.permutation_importance(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d), features))
+
+
+def prm_01_features(s, d):
+    return prm_01(s, d).select("feature", F.col("caida_auc_media").between(-1, 1).alias("valid"))
 
 
 def _versions(s, d):
@@ -137,6 +200,10 @@ def scm_01(s, d):
     return EX.version_summary(_versions(s, d))
 
 
+def scm_01_sizes(s, d):
+    return scm_01(s, d).select("version", "n", F.round("prevalence", 6).alias("prevalence"))
+
+
 def scm_01_roc(s, d):
     return ME.roc_points(_versions(s, d), ["version"])
 
@@ -163,8 +230,72 @@ def sen_08(s, d):
     return parts[0].unionByName(parts[1])
 
 
+def sen_08_sizes(s, d):
+    return M._once(s, d, "sen_08", lambda: sen_08(s, d)).select(
+        "etiqueta", "n_filas_etiquetadas", "n_train", "n_test", "prevalencia_global", "prevalencia_test")
+
+
+_ORIGINS = " UNION ALL ".join(f"SELECT '{c}' AS origin, '{t}' AS test_period" for c, t in SP.origins(TESTS))
+_NAMES = " UNION ALL ".join(f"SELECT '{n}' AS model_name" for n in MO.TrainSpec().candidates)
+_FEATURES = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in [*K.NUMERIC_FEATURES, K.CATEGORY_FEATURE])
+_N = len(K.NUMERIC_FEATURES)
+_HELD = P.shift_label(TEST, K.LABEL_HORIZON)
+# both label definitions from the activity alone
+_RELABELLED = """
+    SELECT p.legajo, p.academic_period, p.at_risk,
+      CASE WHEN p.n_ahead < 4 THEN NULL WHEN coalesce(p.max_ahead, 0) = 1 THEN 0
+           WHEN c.legajo IS NOT NULL THEN 0 ELSE 1 END AS lab_con_grad,
+      CASE WHEN p.n_ahead < 4 THEN NULL WHEN coalesce(p.max_ahead, 0) = 1 THEN 0 ELSE 1 END AS lab_sin_grad
+    FROM panel_raw p LEFT JOIN completed c ON c.legajo = p.legajo"""
+_LABEL_SIZES = " UNION ALL ".join(f"""
+    SELECT '{lab}' AS etiqueta, count(*) AS n_filas_etiquetadas, count(*) FILTER (WHERE academic_period <= '{X.CUTOFF}') AS n_train,
+      count(*) FILTER (WHERE academic_period = '{TEST}') AS n_test, round(avg({lab}), 4) AS prevalencia_global,
+      round(avg({lab}) FILTER (WHERE academic_period = '{TEST}'), 4) AS prevalencia_test
+    FROM relabelled WHERE at_risk = 1 AND {lab} IS NOT NULL""" for lab in ("lab_con_grad", "lab_sin_grad"))
+
 QUERIES = {
-    "fea_04_one_hot": (fea_04, None),
+    "fea_04_one_hot": (fea_04, with_ctes(f"""
+        SELECT cod_carrera, (SELECT count(DISTINCT cod_carrera) FROM known) AS width,
+          max(CASE WHEN cod_carrera IN (SELECT cod_carrera FROM known) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ones
+        FROM modelled WHERE academic_period = '{TEST}' GROUP BY 1""", known=f"""
+        SELECT cod_carrera FROM modelled WHERE academic_period <= '{X.CUTOFF}' AND cod_carrera <> 'Brand#7'""")),
+    "mod_01_to_03_scored": (mod_scored, with_ctes(f"""
+        SELECT model_name, academic_period, count(*) AS n, count(*) FILTER (WHERE dropout_next = 1) AS n_pos, count(*) AS n_valid
+        FROM modelled, ({_NAMES}) m WHERE academic_period = '{TEST}' GROUP BY 1, 2""")),
+    "mod_04_sizes": (mod_04_sizes, with_ctes(f"""
+        SELECT model_name, (SELECT count(*) FROM modelled WHERE academic_period <= '{X.CUTOFF}') AS train_size,
+          true AS auc_in_range, true AS one_selected FROM ({_NAMES}) m""")),
+    "mod_06_features": (mod_06_features, f"SELECT feature, true AS adds_up FROM ({_FEATURES}) f"),
+    "mod_07_versions": (mod_07_versions, with_ctes(f"""
+        SELECT academic_period, 2::BIGINT AS version, count(*) AS n FROM modelled WHERE academic_period = '{TEST}' GROUP BY 1""")),
+    "sco_03_keys": (sco_03_keys, with_ctes("""
+        SELECT legajo, max(academic_period) AS academic_period, true AS valid, true AS class_ok FROM panel
+        WHERE at_risk = 1 AND legajo IN (SELECT legajo FROM status WHERE status = 'estudiando') GROUP BY 1""")),
+    "bkt_01_sizes": (bkt_01_sizes, with_ctes(f"""
+        SELECT origin, test_period, count(*) FILTER (WHERE academic_period <= origin) AS n_train,
+          count(*) FILTER (WHERE academic_period = test_period) AS n_test,
+          round(avg(dropout_next) FILTER (WHERE academic_period = test_period), 4) AS prevalence
+        FROM modelled, ({_ORIGINS}) o GROUP BY 1, 2""")),
+    "bkt_02_sizes": (bkt_02_sizes, with_ctes(f"""
+        SELECT c AS train_cutoff, '{TEST}' AS test_period, count(*) FILTER (WHERE academic_period <= c) AS n_train,
+          count(*) FILTER (WHERE academic_period = '{TEST}') AS n_test
+        FROM modelled, (SELECT unnest({CUTOFFS!r}) AS c) o GROUP BY 1""")),
+    "bkt_03_sizes": (bkt_03_sizes, with_ctes(f"""
+        SELECT '{TEST}' AS test_period, '{_HELD}' AS train_cutoff, (SELECT count(*) FROM tested) AS n_test,
+          (SELECT count(*) FROM tested WHERE legajo IN (SELECT legajo FROM trained)) AS n_test_seen,
+          (SELECT count(*) FROM tested WHERE legajo NOT IN (SELECT legajo FROM trained)) AS n_test_new,
+          (SELECT count(*) FROM trained) AS n_train_full,
+          (SELECT count(*) FROM trained WHERE legajo NOT IN (SELECT legajo FROM tested)) AS n_train_grouped""",
+        trained=f"SELECT * FROM modelled WHERE academic_period <= '{_HELD}'",
+        tested=f"SELECT * FROM modelled WHERE academic_period = '{TEST}'")),
+    "abl_01_features": (abl_01_features, " UNION ALL ".join(
+        f"SELECT '{v}' AS variante, {len(f) + 1}::BIGINT AS n_features, true AS valid" for v, f in EX.ABLATIONS.items())
+        + " UNION ALL SELECT 'baseline recencia (solo dias)', 1::BIGINT, true"),
+    "prm_01_features": (prm_01_features, f"SELECT feature, true AS valid FROM ({_FEATURES}) f"),
+    "scm_01_sizes": (scm_01_sizes, with_ctes(f"""
+        SELECT v AS version, count(*) AS n, round(avg(dropout_next), 6) AS prevalence
+        FROM modelled, (SELECT unnest(['1995_2C', '1996_2C', '1997_1C']) AS v) o WHERE academic_period = '{TEST}' GROUP BY 1""")),
+    "sen_08_sizes": (sen_08_sizes, with_ctes(_LABEL_SIZES, relabelled=_RELABELLED)),
     "mod_01_gradient_boosting": (_candidate("GradientBoosting"), None),
     "mod_02_random_forest": (_candidate("RandomForest"), None),
     "mod_03_logistic_regression": (_candidate("LogisticRegression"), None),
