@@ -61,6 +61,8 @@ def _near(radius: int):
             out_a, out_b = [], []
             cols = [batch.column(c) for c in ("fps", "ids", "other_fps", "other_ids", "same")]
             for fps, ids, other_fps, other_ids, same in zip(*cols):
+                if same.as_py():  # one tile with itself: its other copy may come in another order
+                    other_fps, other_ids = fps, ids
                 x, y = fps.values.to_numpy().view(np.uint64), other_fps.values.to_numpy().view(np.uint64)
                 i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
                 if same.as_py():
@@ -89,7 +91,8 @@ def near_links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFram
     sizes = marked.groupBy("sig").agg(F.ceil(F.count("*") / tile).alias("parts"))
     tiles = (
         marked.join(sizes, "sig").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
-        .groupBy("sig", "part").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("ids"))
+        .groupBy("sig", "part").agg(F.array_sort(F.collect_list(F.struct("fp", "rep"))).alias("rows"))
+        .select("sig", "part", F.col("rows.fp").alias("fps"), F.col("rows.rep").alias("ids"))
     )
     steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
     ahead = [s for s in (sum(x * 32**i for i, x in enumerate(d)) for d in steps) if s >= 0]

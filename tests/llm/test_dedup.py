@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import documents, rows
@@ -81,6 +82,16 @@ def test_near_links_connect_all(spark, radius):
     assert {r["node"]: r["component"] for r in found} == {i: want[i] for i in linked}
 
 
+def test_a_tile_meets_itself_in_any_order():
+    """The two copies of one tile need not come in the same order."""
+    prints, ids = [5, 1 << 40, 7, 1 << 60], [10, 11, 12, 13]  # the first and third, second and fourth are near
+    kinds = [pa.list_(pa.int64())] * 4
+    data = [[prints], [ids], [prints[::-1]], [ids[::-1]]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, data, kinds), pa.array([True])], ["fps", "ids", "other_fps", "other_ids", "same"])
+    links = [(r["a"], r["b"]) for out in simhash._near(2)([batch]) for r in out.to_pylist()]
+    assert sorted(links) == [(12, 10), (13, 11)]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 300)]
     random.Random(1).shuffle(path)
