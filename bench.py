@@ -24,6 +24,7 @@ HEADLINE = (
     "mod_05_evaluations", "fai_02_subgroups", "drf_05_feature_drift", "drf_08_stored_cycles", "drf_09_segment_psi",
     "cmp_07_comparison", "prf_01_profile", "sen_04_horizons", "sen_05_relabel", "rep_11_overview",
     "rep_17_progress_by_status", "rep_22_feature_stats", "rep_25_dropout_top20", "mod_01_gradient_boosting",
+    "mod_04_competition",
 )
 
 
