@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelworks.session import materialise
 
 ROOT = str(Path(__file__).resolve().parents[2])
+FILTER_BITS = 24
 
 
 def importable(spark: SparkSession) -> None:
@@ -56,6 +57,24 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         start = stop
 
 
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids``; a null doc_id stays.
+
+    A filter of fixed size, at most ``2**FILTER_BITS / 64`` rows of 64 bits
+    whatever the tables hold, is broadcast and lets the rows pass that surely
+    stay. Only the others are shuffled with their texts, to an exact anti-join.
+    """
+    gone = materialise(ids.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct(), name)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    spots = {"word": F.shiftright(place, 6), "bit": (place % 64).cast("int")}
+    words = gone.withColumns(spots).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).withColumns(spots)
+    marked = rows.join(F.broadcast(words), "word", "left")
+    seen = F.coalesce(F.getbit("bits", "bit") == 1, F.lit(False))
+    checked = marked.where(seen).select("row", "id").join(gone, "id", "left_anti")
+    return marked.where(~seen).select("row").unionByName(checked.select("row")).select("row.*")
+
+
 def local_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of ``n`` nodes over the given links."""
     label = np.arange(n)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import components, in_arrow, local_labels, packed
+from panelworks.llm.common import components, in_arrow, local_labels, packed, without
 from panelworks.session import materialise
 
 SEED = 42
@@ -127,5 +127,4 @@ def simhash_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their group; null ids stay."""
     groups = simhash_groups(docs, radius)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, groups.where("component_id <> doc_id"), "simhash-gone")

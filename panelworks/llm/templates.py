@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import blocks, in_arrow, packed
+from panelworks.llm.common import blocks, in_arrow, packed, without
 from panelworks.llm.textstats import LOWER, word_hashes, words
 from panelworks.session import materialise
 
@@ -217,5 +217,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no part of a benchmark item; a null doc_id stays."""
-    gone = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contamination(docs, benchmark), "template-gone")
