@@ -60,6 +60,23 @@ def test_simhash_edge_rows(spark):
         i for i, _, _ in given if i in heads)
 
 
+@pytest.mark.parametrize("bits", [24, 7])
+def test_without_ids_is_the_exact_anti_join(spark, bits, monkeypatch):
+    """Null and repeated ids, columns named like the helper's own, and a filter too small to tell rows apart."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    docs = spark.range(3000).selectExpr(
+        "cast(if(id % 50 = 0, null, id % 2000) as int) AS doc_id", "id AS word", "cast(id AS string) AS bits", "id AS row", "1 AS id")
+    gone = spark.range(0, 3000, 7).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "id AS row")
+    got = common.without(docs, gone, "test-gone")
+    assert got.schema == docs.schema
+    want = {i for i in range(0, 3000, 7) if i % 3}
+    ids = [(r["doc_id"], r["word"]) for r in got.select("doc_id", "word").collect()]
+    assert sorted(ids, key=repr) == sorted(
+        ((None if i % 50 == 0 else i % 2000, i) for i in range(3000) if i % 50 == 0 or i % 2000 not in want), key=repr)
+    assert common.without(docs, gone.limit(0), "test-gone").count() == 3000
+    assert common.without(docs.limit(0), gone, "test-gone").count() == 0
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_near_links_connect_all(spark, radius):
     rng = np.random.default_rng(radius)
