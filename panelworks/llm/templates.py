@@ -2,7 +2,8 @@
 
 Words are lower-cased and freed of punctuation at their ends; numbers, names
 (capitalised words inside a sentence) and units behind a number become typed
-placeholders. Windows of eight such words are joined by their hash. A filter of
+placeholders. Windows of eight such words are joined by their hash, and beside
+them all windows by the words themselves, whatever their letter case. A filter of
 fixed size, two megabytes whatever the tables hold, keeps most document windows
 out of the shuffle before the join. Along one alignment of a document with an
 item, every slot value of the item must always meet the same value of the
@@ -11,9 +12,12 @@ document and the reverse; only alignments that pass count as a hit.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +110,39 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return canon, own, owner
 
 
-def windows(canon: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``size`` words from each word on, and whether they are one usable window.
+def _hashes(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
+    total = np.full(n, np.uint64(size))
+    for column in columns:
+        total = total * np.uint64(0x9E3779B97F4A7C15) + column
+        total ^= total >> np.uint64(31)
+    return total
+
 
-    A window counts when it lies in one document and half its words or more are literal.
+def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple]:
+    """(exact, starts, hashes, slots) of the windows of ``size`` words in one document, for each way to read them.
+
+    Every window is read by its own words. One with slots is also read as a
+    template, and so with its names left literal, as letter case may differ; a
+    template counts when half its words or more are literal. ``slots`` takes
+    places in ``starts`` and gives which words of these windows are slots.
     """
-    n = len(canon) - size + 1
+    n = len(own) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    total = np.full(n, np.uint64(size))
-    for k in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + canon[k : k + n]
-        total ^= total >> np.uint64(31)
-    slots = np.concatenate([[0], np.cumsum(np.isin(canon, SLOTS))])
-    usable = (owner[size - 1 :] == owner[:n]) & (2 * (slots[size:] - slots[:-size])[:n] <= size)
-    return total, usable
+        return
+    inside = owner[size - 1 :] == owner[:n]
+    starts = np.nonzero(inside)[0]
+    yield True, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.ones((len(at), size), bool)
+    names = canon == NAME
+    for read, wanted in ((canon, None), (np.where(names, own, canon), names)):
+        slot = np.isin(read, SLOTS)
+        count = np.concatenate([[0], np.cumsum(slot)])
+        count = (count[size:] - count[:-size])[:n]
+        usable = inside & (count > 0) & (2 * count <= size)
+        if wanted is not None:
+            usable &= sliding_window_view(wanted, size).any(axis=1)
+        starts = np.nonzero(usable)[0]
+        masks = sliding_window_view(slot, size)
+        yield False, starts, _hashes((read[starts + k] for k in range(size)), len(starts), size), lambda at, s=starts, m=masks: m[s[at]]
 
 
 def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
@@ -133,36 +155,38 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                 canon, own, owner = template(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 first = np.searchsorted(owner, np.arange(b - a))
                 number = np.bincount(owner, minlength=b - a)
-                slot = np.isin(canon, SLOTS)
-                ids, sizes_out, hashes, places, lengths, values = [], [], [], [], [], []
+                ids, sizes_out, kinds, hashes, places, lengths, values = [], [], [], [], [], [], []
                 for size in sizes:
-                    total, usable = windows(canon, owner, size)
-                    if whole_items:
-                        n_words = number[owner[: len(total)]]
-                        usable &= (n_words >= WINDOW) if size == WINDOW else (n_words == size)
-                    if chosen is not None:
-                        key = (total >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        usable &= chosen[key >> 3] >> (key & 7).astype(np.uint8) & 1 == 1
-                    at_word = np.nonzero(usable)[0]
-                    of = owner[at_word]
-                    ids.append(of)
-                    sizes_out.append(np.full(len(of), size, np.int32))
-                    hashes.append(total[at_word].view(np.int64))
-                    places.append(at_word - first[of])
-                    lengths.append(number[of])
-                    values += [own[w : w + size][slot[w : w + size]].view(np.int64) for w in at_word.tolist()]
-                of = np.concatenate(ids)
+                    for exact, starts, total, slots in readings(canon, own, owner, size):
+                        usable = np.ones(len(starts), bool)
+                        if whole_items:
+                            n_words = number[owner[starts]]
+                            usable &= (n_words >= WINDOW) if size == WINDOW else (n_words == size)
+                        if chosen is not None:
+                            key = (total >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                            usable &= chosen[key >> 3] >> (key & 7).astype(np.uint8) & 1 == 1
+                        used = np.nonzero(usable)[0]
+                        at_word = starts[used]
+                        of = owner[at_word]
+                        ids.append(of)
+                        sizes_out.append(np.full(len(of), size, np.int32))
+                        kinds.append(np.full(len(of), exact))
+                        hashes.append(total[used].view(np.int64))
+                        places.append(at_word - first[of])
+                        lengths.append(number[of])
+                        values += [own[w : w + size][m].view(np.int64) for w, m in zip(at_word.tolist(), slots(used))]
+                of = np.concatenate([np.zeros(0, np.int64), *ids])
                 counts = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int64), *values])
+                joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(a, b - a).take(pa.array(of)), pa.array(np.concatenate(sizes_out)), pa.array(np.concatenate(hashes)),
-                     pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(lengths).astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))],
-                    ["id", "size", "hash", "place", "n_words", "slots"])
+                    [names.slice(a, b - a).take(pa.array(of)), joined(sizes_out, np.int32), joined(kinds, bool), joined(hashes, np.int64),
+                     joined(places, np.int64), joined(lengths, np.int64), pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))],
+                    ["id", "size", "exact", "hash", "place", "n_words", "slots"])
     return fn
 
 
-_WINDOW = "id long, size int, hash long, place long, n_words long, slots array<long>"
+_WINDOW = "id long, size int, exact boolean, hash long, place long, n_words long, slots array<long>"
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -184,7 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     words. An item of 5 to 7 words is one window; a shorter one matches
     nothing. Null texts and ids match nothing; repeated rows of either table
     count once. Only doc_id, item_id and text are read. Windows of which more
-    than half are placeholders are not used, on either side.
+    than half are placeholders match by their own words only.
     """
     texts = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("id"), "text")
     items = in_arrow(texts, _emit([WINDOW, *range(LEAST, WINDOW)], None, True), _WINDOW).distinct()
@@ -193,14 +217,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = in_arrow(rows, _emit(sizes, _filter(items), False), _WINDOW)
     right = items.select(
-        "size", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"),
+        "size", "exact", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"),
         (F.col("n_words") - F.col("size") + 1).alias("of"))
-    same = found.withColumnRenamed("id", "doc_id").join(right, ["size", "hash"]).where("size(slots) = size(item_slots)")
+    same = found.withColumnRenamed("id", "doc_id").join(right, ["size", "exact", "hash"]).where("size(slots) = size(item_slots)")
     same = materialise(same.select(
-        "doc_id", "item_id", (F.col("place") - F.col("item_word")).alias("shift"), "place", "item_word", "of",
+        "doc_id", "item_id", (F.col("place") - F.col("item_word")).alias("shift"), "place", "item_word", "of", "exact",
         F.arrays_zip(F.col("slots").alias("mine"), F.col("item_slots").alias("theirs")).alias("slots")), "template-pairs")
     line = ["doc_id", "item_id", "shift"]
-    pairs = same.where("size(slots) > 0").select(*line, F.inline("slots")).distinct()
+    pairs = same.where("not exact").select(*line, F.inline("slots")).distinct()
     torn = pairs.groupBy(*line).agg(
         F.count("*").alias("n"), F.count_distinct("mine").alias("m"), F.count_distinct("theirs").alias("t")).where("n > m or n > t")
     sound = same.join(torn, line, "left_anti")

@@ -90,6 +90,17 @@ def test_templates_catch_changed_numbers_and_names(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= {2, 3, 4, 7, None} and kept.where("doc_id in (1, 6)").count() == 0
 
 
+def test_templates_whatever_the_letter_case(spark):
+    item = "A train leaves the station at 9 with Anna on board and covers 120 km before Anna gets off the train at noon."
+    more = item.replace("9", "7").replace("120", "95")
+    names = "Then Anna met Otto and Ida beside Emil and Olga near Berlin."
+    docs = documents(spark, [(1, item.upper(), None), (2, item.title(), None), (3, names.lower(), None), (4, names.upper(), None), (5, more.upper(), None),
+                             (6, names.replace("near", "behind").replace("beside", "without").lower(), None)])
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in templates.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)} and {got[k] for k in got if k[0] < 5} == {1.0}
+
+
 def test_templates_short_items(spark):
     docs = documents(spark, [(1, "say please mind the closing doors now", None), (2, "mind the doors", None)])
     bench = spark.createDataFrame([(1, "Mind the closing doors now!"), (2, "mind the doors")], "item_id long, text string")
