@@ -7,7 +7,10 @@ them all windows by the words themselves, whatever their letter case. A filter o
 fixed size, two megabytes whatever the tables hold, keeps most document windows
 out of the shuffle before the join. Along one alignment of a document with an
 item, every slot value of the item must always meet the same value of the
-document and the reverse; only alignments that pass count as a hit.
+document. A value that meets two is torn: a template window that holds it does
+not count. All others do, and so do windows equal word for word. A torn alignment
+is no hit when only one template window is left, or only one window word for
+word that holds a torn value, or one of each.
 """
 
 from __future__ import annotations
@@ -124,14 +127,14 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -
     Every window is read by its own words. One with slots is also read as a
     template, and so with its names left literal, as letter case may differ; a
     template counts when half its words or more are literal. ``slots`` takes
-    places in ``starts`` and gives which words of these windows are slots.
+    places in ``starts`` and gives which words of these windows it reads as slots.
     """
     n = len(own) - size + 1
     if n <= 0:
         return
     inside = owner[size - 1 :] == owner[:n]
     starts = np.nonzero(inside)[0]
-    yield True, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.ones((len(at), size), bool)
+    yield True, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.zeros((len(at), size), bool)
     names = canon == NAME
     for read, wanted in ((canon, None), (np.where(names, own, canon), names)):
         slot = np.isin(read, SLOTS)
@@ -145,6 +148,11 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -
         yield False, starts, _hashes((read[starts + k] for k in range(size)), len(starts), size), lambda at, s=starts, m=masks: m[s[at]]
 
 
+def _lists(values: list) -> pa.ListArray:
+    counts = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int64)))
+
+
 def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
     """Windows of each text: all of an item's, or those of a document that pass the filter."""
     def fn(batches):
@@ -153,9 +161,10 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
             names = batch.column("id")
             for a, b in blocks(at):
                 canon, own, owner = template(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                slot = np.isin(canon, SLOTS)
                 first = np.searchsorted(owner, np.arange(b - a))
                 number = np.bincount(owner, minlength=b - a)
-                ids, sizes_out, kinds, hashes, places, lengths, values = [], [], [], [], [], [], []
+                ids, sizes_out, kinds, hashes, places, lengths, values, held = [], [], [], [], [], [], [], []
                 for size in sizes:
                     for exact, starts, total, slots in readings(canon, own, owner, size):
                         usable = np.ones(len(starts), bool)
@@ -174,19 +183,20 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                         hashes.append(total[used].view(np.int64))
                         places.append(at_word - first[of])
                         lengths.append(number[of])
-                        values += [own[w : w + size][m].view(np.int64) for w, m in zip(at_word.tolist(), slots(used))]
+                        marks = slots(used)
+                        values += [own[w : w + size][m].view(np.int64) for w, m in zip(at_word.tolist(), marks)]
+                        if whole_items:
+                            held += [own[w : w + size][m | slot[w : w + size]].view(np.int64) for w, m in zip(at_word.tolist(), marks)]
                 of = np.concatenate([np.zeros(0, np.int64), *ids])
-                counts = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int64), *values])
                 joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(a, b - a).take(pa.array(of)), joined(sizes_out, np.int32), joined(kinds, bool), joined(hashes, np.int64),
-                     joined(places, np.int64), joined(lengths, np.int64), pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))],
-                    ["id", "size", "exact", "hash", "place", "n_words", "slots"])
+                     joined(places, np.int64), joined(lengths, np.int64), _lists(values), _lists(held or [[]] * len(of))],
+                    ["id", "size", "exact", "hash", "place", "n_words", "slots", "held"])
     return fn
 
 
-_WINDOW = "id long, size int, exact boolean, hash long, place long, n_words long, slots array<long>"
+_WINDOW = "id long, size int, exact boolean, hash long, place long, n_words long, slots array<long>, held array<long>"
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -215,22 +225,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     items = materialise(items, "template-items")
     sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True) or [WINDOW]
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = in_arrow(rows, _emit(sizes, _filter(items), False), _WINDOW)
+    found = in_arrow(rows, _emit(sizes, _filter(items), False), _WINDOW).drop("held")
     right = items.select(
-        "size", "exact", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"),
+        "size", "exact", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"), F.col("held").alias("item_held"),
         (F.col("n_words") - F.col("size") + 1).alias("of"))
     same = found.withColumnRenamed("id", "doc_id").join(right, ["size", "exact", "hash"]).where("size(slots) = size(item_slots)")
     same = materialise(same.select(
         "doc_id", "item_id", (F.col("place") - F.col("item_word")).alias("shift"), "place", "item_word", "of", "exact",
-        F.arrays_zip(F.col("slots").alias("mine"), F.col("item_slots").alias("theirs")).alias("slots")), "template-pairs")
+        F.col("slots").alias("mine"), F.col("item_slots").alias("theirs"), "item_held"), "template-pairs")
     line = ["doc_id", "item_id", "shift"]
-    pairs = same.where("not exact").select(*line, F.inline("slots")).distinct()
-    torn = pairs.groupBy(*line).agg(
-        F.count("*").alias("n"), F.count_distinct("mine").alias("m"), F.count_distinct("theirs").alias("t")).where("n > m or n > t")
-    sound = same.join(torn, line, "left_anti")
-    runs = sound.groupBy(*line).agg(
-        F.count_distinct("place").alias("n_windows"), F.min("place").alias("doc_word"), F.min("item_word").alias("item_word"),
-        F.max("of").alias("of"))
+    pairs = same.where("not exact").select(*line, F.inline(F.arrays_zip("mine", "theirs"))).distinct()
+    torn = pairs.groupBy(*line, "theirs").agg(F.count("*").alias("n")).where("n > 1").groupBy(*line).agg(F.collect_set("theirs").alias("torn"))
+    held = F.coalesce(F.arrays_overlap("item_held", "torn"), F.lit(False))
+    # one row per place: a window is sound by its own words or when it holds no torn slot
+    places = same.join(torn, line, "left").groupBy(*line, "place").agg(
+        F.bool_or("exact").alias("exact"), F.bool_or(~held).alias("clear"), F.min("item_word").alias("item_word"), F.max("of").alias("of"),
+        F.bool_or(F.col("torn").isNotNull()).alias("torn"))
+    runs = places.where("exact or clear").groupBy(*line).agg(
+        F.count("*").alias("n_windows"), F.min("place").alias("doc_word"), F.min("item_word").alias("item_word"), F.max("of").alias("of"),
+        F.bool_or(F.expr("exact and clear")).alias("firm"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_clear"),
+        F.bool_or("torn").alias("torn")).where("not torn or firm or n_exact > 1 or n_clear > 1")
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_windows"), "doc_word", "shift")
     return (
         runs.withColumn("share", F.col("n_windows") / F.col("of")).where(F.col("share") >= least_share)

@@ -101,6 +101,17 @@ def test_templates_whatever_the_letter_case(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 1)} and {got[k] for k in got if k[0] < 5} == {1.0}
 
 
+def test_templates_one_torn_slot_costs_its_windows_only(spark):
+    item = ("Anna went to the market early and bought a basket of ripe plums for her mother before the rain began, then "
+            "she walked home along the river where 12 boats lay waiting, and Then Anna gave 12 plums to the man with the boat.")
+    apples = "Today Tom has 3 apples and 5 pears in his bag, so how many fruits does he carry home with him?"
+    docs = documents(spark, [(1, item.replace("gave 12", "gave 13"), None), (2, item.replace("12 boats", "40 boats").replace("gave 12", "gave 41"), None),
+                             (3, apples.replace("3", "4").replace("5", "4").replace("Tom", "Max"), None)])
+    bench = spark.createDataFrame([(1, item), (2, apples)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in templates.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)} and got[3, 2] == 1.0 and got[1, 1] > got[2, 1] > 0.3
+
+
 def test_templates_short_items(spark):
     docs = documents(spark, [(1, "say please mind the closing doors now", None), (2, "mind the doors", None)])
     bench = spark.createDataFrame([(1, "Mind the closing doors now!"), (2, "mind the doors")], "item_id long, text string")
