@@ -29,7 +29,8 @@ from panelworks.llm.textstats import LOWER, word_hashes, words
 from panelworks.session import materialise
 
 WINDOW = 8
-LEAST = 5  # an item with fewer words is told from chance by nothing
+LEAST = 5  # an item with fewer words has no template
+SHORTEST = 4  # an item with fewer words is told from chance by nothing
 FILTER_BITS = 24
 
 # fixed values: units that are a slot when they follow a number
@@ -135,6 +136,8 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -
     inside = owner[size - 1 :] == owner[:n]
     starts = np.nonzero(inside)[0]
     yield True, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.zeros((len(at), size), bool)
+    if size < LEAST:
+        return
     names = canon == NAME
     for read, wanted in ((canon, None), (np.where(names, own, canon), names)):
         slot = np.isin(read, SLOTS)
@@ -215,13 +218,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
 
     One row per pair, for its best alignment: the number of matching windows,
     their share of the item's windows, and where the first of them starts in
-    words. An item of 5 to 7 words is one window; a shorter one matches
-    nothing. Null texts and ids match nothing; repeated rows of either table
+    words. An item of 5 to 7 words is one window; one of 4 words
+    matches word for word, a shorter one nothing. Null texts and ids match nothing; repeated rows of either table
     count once. Only doc_id, item_id and text are read. Windows of which more
     than half are placeholders match by their own words only.
     """
     texts = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("id"), "text")
-    items = in_arrow(texts, _emit([WINDOW, *range(LEAST, WINDOW)], None, True), _WINDOW).distinct()
+    items = in_arrow(texts, _emit([WINDOW, *range(SHORTEST, WINDOW)], None, True), _WINDOW).distinct()
     items = materialise(items, "template-items")
     sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True) or [WINDOW]
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")

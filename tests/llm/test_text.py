@@ -112,6 +112,15 @@ def test_templates_one_torn_slot_costs_its_windows_only(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 2)} and got[3, 2] == 1.0 and got[1, 1] > got[2, 1] > 0.3
 
 
+def test_templates_refused_windows_and_four_words_match_literally(spark):
+    figures = "Add 3 5 8 13 and 21 34 55 89 144 to 233"
+    docs = documents(spark, [(1, f"so {figures.lower()} now", None), (2, figures.replace("21", "22"), None), (3, "he said: mind the closing doors!", None),
+                             (4, "mind the opening doors", None), (5, "see 7 12 Anna 9 kg 8 there", None)])
+    bench = spark.createDataFrame([(1, figures), (2, "Mind the closing doors"), (3, "7 12 Anna 9 kg 8"), (4, "7 3 Otto 9")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in templates.contamination(docs, bench).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (5, 3): 1.0}
+
+
 def test_templates_short_items(spark):
     docs = documents(spark, [(1, "say please mind the closing doors now", None), (2, "mind the doors", None)])
     bench = spark.createDataFrame([(1, "Mind the closing doors now!"), (2, "mind the doors")], "item_id long, text string")
