@@ -2,7 +2,7 @@
 
 Words are lower-cased and freed of punctuation at their ends; numbers, names
 (capitalised words inside a sentence) and units behind a number become typed
-placeholders. Windows of eight such words are joined by their hash, and beside
+placeholders; a capitalised word that opens a sentence is read both ways. Windows of eight such words are joined by their hash, and beside
 them all windows by the words themselves, whatever their letter case. A filter of
 fixed size, two megabytes whatever the tables hold, keeps most document windows
 out of the shuffle before the join. Along one alignment of a document with an
@@ -75,8 +75,8 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical hash, own hash and document of every word with a letter or digit."""
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical hash, own hash and document of every word with a letter or digit, and whether it may be a name that opens a sentence."""
     start, end = words(data, offsets)
     alnum = _ALNUM[data]
     place = np.arange(len(data) + 1)
@@ -95,7 +95,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     opens[1:] = ended[:-1] | new_line[1:] | (owner[1:] != owner[:-1])
     start, end, owner, opens = first[real], last[real], owner[real], opens[real]
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), owner
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), owner, real[:0]
     own = word_hashes(lowered(data), start, end)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     numeric = np.concatenate([[0], np.cumsum(_NUMERIC[data])])
@@ -111,7 +111,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     canon[unit] = UNIT
     canon[quantity] = QUANTITY
     canon[number] = NUMBER
-    return canon, own, owner
+    return canon, own, owner, capital & opens & ~(unit | quantity | number)
 
 
 def _hashes(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
@@ -122,12 +122,13 @@ def _hashes(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
     return total
 
 
-def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple]:
-    """(exact, starts, hashes, slots) of the windows of ``size`` words in one document, for each way to read them.
+def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.ndarray, size: int) -> Iterator[tuple]:
+    """(exact, opened, starts, hashes, slots) of the windows of ``size`` words in one document, for each way to read them.
 
     Every window is read by its own words. One with slots is also read as a
     template, and so with its names left literal, as letter case may differ; a
-    template counts when half its words or more are literal. ``slots`` takes
+    template counts when half its words or more are literal. Capitalised words
+    that open a sentence are literal or names, in every combination (``opened``). ``slots`` takes
     places in ``starts`` and gives which words of these windows it reads as slots.
     """
     n = len(own) - size + 1
@@ -135,7 +136,7 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -
         return
     inside = owner[size - 1 :] == owner[:n]
     starts = np.nonzero(inside)[0]
-    yield True, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.zeros((len(at), size), bool)
+    yield True, False, starts, _hashes((own[k : k + n] for k in range(size)), n, size)[starts], lambda at: np.zeros((len(at), size), bool)
     if size < LEAST:
         return
     names = canon == NAME
@@ -148,7 +149,19 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, size: int) -
             usable &= sliding_window_view(wanted, size).any(axis=1)
         starts = np.nonzero(usable)[0]
         masks = sliding_window_view(slot, size)
-        yield False, starts, _hashes((read[starts + k] for k in range(size)), len(starts), size), lambda at, s=starts, m=masks: m[s[at]]
+        yield False, False, starts, _hashes((read[starts + k] for k in range(size)), len(starts), size), lambda at, s=starts, m=masks: m[s[at]]
+    slot = np.isin(canon, SLOTS)
+    rank, count = (np.concatenate([[0], np.cumsum(x)]) for x in (opener, slot))
+    openers, count = (rank[size:] - rank[:-size])[:n], (count[size:] - count[:-size])[:n]
+    having = [np.nonzero(inside & (openers >= k) & (2 * (count + 1) <= size))[0] for k in range(size + 1)]
+    for choice in range(1, 1 << max((k for k in range(size + 1) if len(having[k])), default=0)):
+        starts = having[choice.bit_length()]
+        starts = starts[2 * (count[starts] + choice.bit_count()) <= size]
+        if len(starts):
+            chosen = np.stack([opener[starts + k] & (choice >> (rank[starts + k] - rank[starts]) & 1 == 1) for k in range(size)])
+            total = _hashes((np.where(chosen[k], NAME, canon[starts + k]) for k in range(size)), len(starts), size)
+            masks = chosen.T | sliding_window_view(slot, size)[starts]
+            yield False, True, starts, total, lambda at, m=masks: m[at]
 
 
 def _lists(values: list) -> pa.ListArray:
@@ -163,13 +176,13 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
             raw, at = packed(batch.column("text"))
             names = batch.column("id")
             for a, b in blocks(at):
-                canon, own, owner = template(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                canon, own, owner, opener = template(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 slot = np.isin(canon, SLOTS)
                 first = np.searchsorted(owner, np.arange(b - a))
                 number = np.bincount(owner, minlength=b - a)
-                ids, sizes_out, kinds, hashes, places, lengths, values, held = [], [], [], [], [], [], [], []
+                ids, sizes_out, kinds, opens, hashes, places, lengths, values, held = [], [], [], [], [], [], [], [], []
                 for size in sizes:
-                    for exact, starts, total, slots in readings(canon, own, owner, size):
+                    for exact, opened, starts, total, slots in readings(canon, own, owner, opener, size):
                         usable = np.ones(len(starts), bool)
                         if whole_items:
                             n_words = number[owner[starts]]
@@ -183,6 +196,7 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                         ids.append(of)
                         sizes_out.append(np.full(len(of), size, np.int32))
                         kinds.append(np.full(len(of), exact))
+                        opens.append(np.full(len(of), opened))
                         hashes.append(total[used].view(np.int64))
                         places.append(at_word - first[of])
                         lengths.append(number[of])
@@ -193,13 +207,13 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                 of = np.concatenate([np.zeros(0, np.int64), *ids])
                 joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(a, b - a).take(pa.array(of)), joined(sizes_out, np.int32), joined(kinds, bool), joined(hashes, np.int64),
-                     joined(places, np.int64), joined(lengths, np.int64), _lists(values), _lists(held or [[]] * len(of))],
-                    ["id", "size", "exact", "hash", "place", "n_words", "slots", "held"])
+                    [names.slice(a, b - a).take(pa.array(of)), joined(sizes_out, np.int32), joined(kinds, bool), joined(opens, bool),
+                     joined(hashes, np.int64), joined(places, np.int64), joined(lengths, np.int64), _lists(values), _lists(held or [[]] * len(of))],
+                    ["id", "size", "exact", "opened", "hash", "place", "n_words", "slots", "held"])
     return fn
 
 
-_WINDOW = "id long, size int, exact boolean, hash long, place long, n_words long, slots array<long>, held array<long>"
+_WINDOW = "id long, size int, exact boolean, opened boolean, hash long, place long, n_words long, slots array<long>, held array<long>"
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -230,20 +244,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     found = in_arrow(rows, _emit(sizes, _filter(items), False), _WINDOW).drop("held")
     right = items.select(
-        "size", "exact", "hash", F.col("id").alias("item_id"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"), F.col("held").alias("item_held"),
+        "size", "exact", "hash", F.col("id").alias("item_id"), F.col("opened").alias("item_opened"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"), F.col("held").alias("item_held"),
         (F.col("n_words") - F.col("size") + 1).alias("of"))
     same = found.withColumnRenamed("id", "doc_id").join(right, ["size", "exact", "hash"]).where("size(slots) = size(item_slots)")
     same = materialise(same.select(
         "doc_id", "item_id", (F.col("place") - F.col("item_word")).alias("shift"), "place", "item_word", "of", "exact",
-        F.col("slots").alias("mine"), F.col("item_slots").alias("theirs"), "item_held"), "template-pairs")
+        F.expr("opened or item_opened").alias("opened"), F.col("slots").alias("mine"), F.col("item_slots").alias("theirs"), "item_held"), "template-pairs")
     line = ["doc_id", "item_id", "shift"]
-    pairs = same.where("not exact").select(*line, F.inline(F.arrays_zip("mine", "theirs"))).distinct()
-    torn = pairs.groupBy(*line, "theirs").agg(F.count("*").alias("n")).where("n > 1").groupBy(*line).agg(F.collect_set("theirs").alias("torn"))
-    held = F.coalesce(F.arrays_overlap("item_held", "torn"), F.lit(False))
+    pairs = same.where("not exact").select(*line, "opened", F.inline(F.arrays_zip("mine", "theirs")))
+    pairs = pairs.groupBy(*line, "theirs", "mine").agg(F.bool_and("opened").alias("opened"))
+    torn = pairs.groupBy(*line, "theirs").agg(F.count("*").alias("n"), F.count_if(~F.col("opened")).alias("inner")).where("n > 1")
+    # what only the openers of sentences tear counts against windows that read an opener as a name
+    torn = torn.groupBy(*line).agg(F.collect_set("theirs").alias("any_torn"), F.collect_set(F.expr("if(inner > 1, theirs, null)")).alias("torn"))
+    held = F.coalesce(F.arrays_overlap("item_held", F.when(F.col("opened"), F.col("any_torn")).otherwise(F.col("torn"))), F.lit(False))
     # one row per place: a window is sound by its own words or when it holds no torn slot
     places = same.join(torn, line, "left").groupBy(*line, "place").agg(
         F.bool_or("exact").alias("exact"), F.bool_or(~held).alias("clear"), F.min("item_word").alias("item_word"), F.max("of").alias("of"),
-        F.bool_or(F.col("torn").isNotNull()).alias("torn"))
+        F.bool_or(F.expr("coalesce(size(torn), 0) > 0")).alias("torn"))
     runs = places.where("exact or clear").groupBy(*line).agg(
         F.count("*").alias("n_windows"), F.min("place").alias("doc_word"), F.min("item_word").alias("item_word"), F.max("of").alias("of"),
         F.bool_or(F.expr("exact and clear")).alias("firm"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_clear"),

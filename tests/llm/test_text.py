@@ -121,6 +121,17 @@ def test_templates_refused_windows_and_four_words_match_literally(spark):
     assert got == {(1, 1): 1.0, (3, 2): 1.0, (5, 3): 1.0}
 
 
+def test_templates_names_that_open_a_sentence(spark):
+    item, short = "Anna owns 4 cats. Anna buys 3 more. Anna sells 2.", "Anna owns 4 cats and 5 dogs."
+    other = "Now the boat is gone. Anna has left it there."
+    docs = documents(spark, [(1, item.replace("Anna", "Otto").replace("4", "6"), None), (2, short.replace("Anna", "Otto"), None),
+                             (3, "Otto owns 4 cats. Ida buys 3 more. Otto sells 2.", None), (4, "He says: now the boat is gone. Otto has left it there.", None),
+                             (5, "List\nOf\nWords\nIn\nLines\nWith\nNo\nEnd\nAt\nAll", None)])
+    bench = spark.createDataFrame([(1, item), (2, short), (3, other)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in templates.contamination(docs, bench).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (4, 3): 1.0}
+
+
 def test_templates_short_items(spark):
     docs = documents(spark, [(1, "say please mind the closing doors now", None), (2, "mind the doors", None)])
     bench = spark.createDataFrame([(1, "Mind the closing doors now!"), (2, "mind the doors")], "item_id long, text string")
