@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +43,17 @@ def list_csv(spark: SparkSession, folder: str) -> list[str]:
 
 
 def by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Paths with the same first line together; one job reads the first lines of all."""
+    """Paths with the same first line together; one job reads the first lines of all.
+
+    Files are read splittably: the first line is the first row of a file's first block.
+    """
     if len(paths) == 1:
         return [paths]
-    lines = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("header"))
-    groups: dict[str, list[str]] = {}
-    for row in lines.groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths")).orderBy("header").collect():
-        groups[row["header"]] = row["paths"]
-    return list(groups.values())
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("row"))
+    headers = lines.groupBy("path").agg(F.min_by("value", "row").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths")).orderBy("header").collect()
+    return [[unquote(path) for path in row["paths"]] for row in groups] or [paths]
 
 
 def load_delivery(spark: SparkSession, root: str, period: str) -> dict[str, DataFrame]:

@@ -118,6 +118,26 @@ def test_a_delivery_is_read_once_per_header(spark, tmp_path):
     assert sorted(len(g) for g in groups) == [1, 2]
 
 
+def test_headers_of_large_files_are_read_in_parts(spark, tmp_path):
+    for name, head in (("x 1.csv", "a,b"), ("x2.csv", "a,b"), ("x3.csv", "b,a")):
+        (tmp_path / name).write_text(head + "\r\n" + "b,a\n" * 200_000)
+    (tmp_path / "x4.csv").write_text("")
+    paths, sc = [str(tmp_path / n) for n in ("x 1.csv", "x2.csv", "x3.csv", "x4.csv")], spark.sparkContext
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    sc.setJobGroup("headers-in-parts", "")
+    try:
+        groups = DV.by_header(spark, paths)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [[p.rsplit("/", 1)[-1] for p in g] for g in groups] == [["x 1.csv", "x2.csv"], ["x3.csv"]]
+    status = sc.statusTracker()
+    stages = [i for j in status.getJobIdsForGroup("headers-in-parts") for i in status.getJobInfo(j).stageIds]
+    assert max(status.getStageInfo(i).numTasks for i in stages if status.getStageInfo(i)) >= 20
+    assert {tuple(read.columns): read.count() for read in (DL.read_csv_text(spark, g) for g in groups)} == {("a", "b"): 400_000, ("b", "a"): 200_000}
+
+
 def test_profile_of_a_table_with_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, None)], "n int, t string")
     found = {(r["columna"] if "columna" in r else r[0]): r for r in table_profile(df).collect()}
