@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from panelworks.llm import bpe, chat, embeddings, langid, quality, secrets, simhash, suffixes, templates, wavelet
+from panelworks.llm import bpe, chat, embeddings, langid, quality, runs, secrets, simhash, suffixes, templates, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -51,6 +51,10 @@ def op10_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return runs.digests(runs.periodic_runs(runs.looped(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_pu_quality": (op1_pu_quality, None),
     "op2_snapshot_chat": (op2_snapshot_chat, chat.ORACLE),
@@ -62,5 +66,6 @@ QUERIES = {
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
