@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from panelworks.llm import bpe, chat, embeddings, langid, quality, runs, secrets, simhash, suffixes, templates, topk, wavelet
+from panelworks.llm import bpe, chat, embeddings, langid, quality, runs, secrets, simhash, spelling, suffixes, templates, topk, wavelet
 from panelworks.llm.common import table
 from panelworks.session import scratch_path
 
@@ -51,6 +51,10 @@ def op10_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_pivot_search(spark, sf_dir):
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_spelling_variants": (op11_spelling_variants, spelling.ORACLE),
     "op12_pivot_search": (op12_pivot_search, topk.ORACLE),
     "op13_periodic_runs": (op13_periodic_runs, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),

@@ -314,11 +314,11 @@ def _reach(centres: dict[int, np.ndarray]):
 #: the same search in plain SQL, every query against every row
 ORACLE = """
 WITH v AS (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS iv FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS iv FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
 s AS (
-  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.iv, c.iv), z -> z[1] * z[2]))::BIGINT AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] for z in list_zip(q.iv, c.iv)])::BIGINT AS score
   FROM v q JOIN v c ON q.r <> c.r AND len(q.iv) = len(c.iv) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
