@@ -1,14 +1,16 @@
 """Comparison of two versions of a table: missing values, distinct values, distance.
 
-Every column of both versions is melted to text and counted per value in one
-shuffle; all figures of the comparison derive from those counts.
+A first aggregate over whole rows, one row per side, tells the kind of every
+column. Then all columns are melted and counted per value in one shuffle whose
+keys have a fixed width: a number, or a 128-bit digest of a text. The counts are
+stored, and all figures of the comparison derive from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import ratio
@@ -18,26 +20,14 @@ from panelworks.session import materialise
 MISSING = "<<NA>>"
 
 
-def value_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(columna, valor, n_a, n_b) over the union of columns; empty text and a not-a-number count as missing.
+def _names(a: DataFrame, b: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    return sorted(columns or set(a.columns) | set(b.columns))
 
-    A column one side lacks has no rows on that side.
-    """
-    names = sorted(columns or set(a.columns) | set(b.columns))
-
-    def present(c: str):
-        text = F.nullif(F.col(f"`{c}`").cast("string"), F.lit(""))
-        return F.when(~F.isnan(F.coalesce(text.try_cast("double"), F.lit(0.0))), text)
-
-    def long(df: DataFrame, side: str) -> DataFrame:
-        pairs = F.array(*[
-            F.struct(F.lit(c).alias("columna"), present(c).alias("valor")) for c in names if c in df.columns
-        ])
-        return df.select(F.inline(pairs)).withColumn("_side", F.lit(side))
 
-    both = long(a, "a").unionByName(long(b, "b"))
-    return both.groupBy("columna", "valor").agg(
-        F.count_if(F.col("_side") == "a").alias("n_a"), F.count_if(F.col("_side") == "b").alias("n_b"))
+def _present(column: str) -> Column:
+    """Text of a cell; empty text and a not-a-number count as missing."""
+    text = F.nullif(F.col(f"`{column}`").cast("string"), F.lit(""))
+    return F.when(~F.isnan(F.coalesce(text.try_cast("double"), F.lit(0.0))), text)
 
 
 def date_columns(a: DataFrame, b: DataFrame) -> list[str]:
@@ -46,39 +36,86 @@ def date_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return sorted(c for c, kind in types.items() if kind in ("date", "timestamp", "timestamp_ntz"))
 
 
-def column_totals(values: DataFrame, dates: Sequence[str] = ()) -> DataFrame:
-    """Per column: rows, missing and distinct texts per side, and the kind inferred from side A.
+def column_kinds(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(columna, rows_a, rows_b, null_a, null_b, tipo) over the union of columns, stored: one row per column.
 
-    A column is numeric when every present value of side A (of side B when A
-    lacks the column) is a number, and a date when it is one of ``dates``.
+    A column one side lacks has no rows on that side. A column is numeric when every
+    present value of side A (of side B when A lacks the column, or has no rows) is a
+    number, and a date when its type says so. No cell is shuffled.
     """
-    present = F.col("valor").isNotNull()
-    number = F.col("valor").try_cast("double").isNotNull()
-    out = values.groupBy("columna").agg(
-        F.sum("n_a").alias("rows_a"), F.sum("n_b").alias("rows_b"),
-        F.sum(F.when(~present, F.col("n_a")).otherwise(0)).alias("null_a"),
-        F.sum(F.when(~present, F.col("n_b")).otherwise(0)).alias("null_b"),
-        F.count_if(present & (F.col("n_a") > 0)).alias("texts_a"),
-        F.count_if(present & (F.col("n_b") > 0)).alias("texts_b"),
-        F.sum(F.when(present & ~number, F.col("n_a")).otherwise(0)).alias("_odd_a"),
-        F.sum(F.when(present & ~number, F.col("n_b")).otherwise(0)).alias("_odd_b"),
-    )
+    names = _names(a, b, columns)
+
+    def totals(df: DataFrame, side: str) -> DataFrame:
+        own = [c for c in names if c in df.columns]
+        sums = [F.count(F.lit(1)).alias("_n")]
+        for i, c in enumerate(own):
+            text = _present(c)
+            sums += [F.count(text).alias(f"_k{i}"), F.count_if(text.isNotNull() & text.try_cast("double").isNull()).alias(f"_o{i}")]
+        cells = [F.struct(F.lit(c).alias("columna"), F.col("_n").alias("n"), (F.col("_n") - F.col(f"_k{i}")).alias("missing"),
+                          F.col(f"_o{i}").alias("odd")) for i, c in enumerate(own)]
+        return df.agg(*sums).select(F.lit(side).alias("side"), F.inline(F.array(*cells)))
+
+    both = totals(a, "a").unionByName(totals(b, "b"))
+
+    def of(side: str, what: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col(what))), F.lit(0))
+
+    out = both.groupBy("columna").agg(*[
+        of(side, what).alias(f"{name}_{side}") for what, name in (("n", "rows"), ("missing", "null"), ("odd", "_odd")) for side in "ab"])
     odd = F.when(F.col("rows_a") > 0, F.col("_odd_a")).otherwise(F.col("_odd_b"))
-    kind = F.when(F.col("columna").isin(list(dates)), "datetime").when(odd == 0, "numeric").otherwise("categorical")
-    return out.withColumn("tipo", kind).drop("_odd_a", "_odd_b")
+    kind = F.when(F.col("columna").isin(date_columns(a, b)), "datetime").when(odd == 0, "numeric").otherwise("categorical")
+    return materialise(out.withColumn("tipo", kind).drop("_odd_a", "_odd_b"), "comparison-kinds")
+
+
+def _melted(df: DataFrame, names: list[str], cell, side: str) -> DataFrame:
+    pairs = F.array(*[cell(i, c) for i, c in enumerate(names) if c in df.columns])
+    return df.select(F.inline(pairs), F.lit(int(side == "a")).alias("_a"), F.lit(int(side == "b")).alias("_b"))
+
+
+def _counted(a: DataFrame, b: DataFrame, names: list[str], cell, keys: Sequence[str]) -> DataFrame:
+    both = _melted(a, names, cell, "a").unionByName(_melted(b, names, cell, "b"))
+    counts = both.groupBy("_c", *keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    columna = F.element_at(F.array(*map(F.lit, names)), F.col("_c") + 1)
+    return counts.select(columna.alias("columna"), *keys, "n_a", "n_b")
 
 
-def _of_kind(values: DataFrame, totals: DataFrame, numeric: bool) -> DataFrame:
+def cell_counts(a: DataFrame, b: DataFrame, kinds: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(columna, v, h1, h2, n_a, n_b), stored: numeric columns by value, others by the digest of their text.
+
+    A missing cell has neither.
+    """
+    numeric = {r[0] for r in kinds.where("tipo = 'numeric'").select("columna").collect()}  # one row per column
+
+    def cell(i: int, c: str) -> Column:
+        text = _present(c)
+        if c in numeric:
+            v, one, two = text.try_cast("double"), F.lit(None).cast("long"), F.lit(None).cast("long")
+        else:
+            v = F.lit(None).cast("double")
+            one, two = (F.when(text.isNotNull(), h) for h in (F.xxhash64(text), F.xxhash64(F.lit("other seed"), text)))
+        return F.struct(F.lit(i).alias("_c"), v.alias("v"), one.alias("h1"), two.alias("h2"))
+
+    return materialise(_counted(a, b, _names(a, b, columns), cell, ["v", "h1", "h2"]), "comparison-counts")
+
+
+def text_counts(a: DataFrame, b: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(columna, valor, n_a, n_b) of the columns that are no numbers, with the texts themselves, stored."""
+    names = sorted(r[0] for r in kinds.where("tipo <> 'numeric'").select("columna").collect())
+    if not names:
+        return a.sparkSession.createDataFrame([], "columna string, valor string, n_a long, n_b long")
+    cell = lambda i, c: F.struct(F.lit(i).alias("_c"), _present(c).alias("valor"))
+    return materialise(_counted(a, b, names, cell, ["valor"]), "comparison-texts")
+
+
+def _of_kind(counts: DataFrame, kinds: DataFrame, numeric: bool) -> DataFrame:
     # one row per column name: bounded by the schema
-    return values.join(F.broadcast(totals.where((F.col("tipo") == "numeric") == numeric)), "columna")
+    return counts.join(F.broadcast(kinds.where((F.col("tipo") == "numeric") == numeric)), "columna")
 
 
-def numeric_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
+def numeric_distance(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     """Two-sample KS distance per numeric column; NULL when a side has no values."""
-    numbers = _of_kind(values, totals, True).select(
-        "columna", F.col("valor").try_cast("double").alias("v"), "n_a", "n_b").where(F.col("v").isNotNull())
-    counts = numbers.groupBy("columna", "v").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    ranked = running_totals(counts, ["columna"], "v", ["n_a", "n_b"])
+    numbers = _of_kind(counts, kinds, True).where(F.col("v").isNotNull()).select("columna", "v", "n_a", "n_b")
+    ranked = running_totals(numbers, ["columna"], "v", ["n_a", "n_b"])
     cdf_a = ratio(F.col("before_n_a") + F.col("n_a"), F.col("all_n_a"))
     cdf_b = ratio(F.col("before_n_b") + F.col("n_b"), F.col("all_n_b"))
     return ranked.groupBy("columna").agg(
@@ -86,22 +123,26 @@ def numeric_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
         F.count_if(F.col("n_a") > 0).alias("unique_a"), F.count_if(F.col("n_b") > 0).alias("unique_b"))
 
 
-def categorical_distance(values: DataFrame, totals: DataFrame) -> DataFrame:
+def categorical_distance(counts: DataFrame, kinds: DataFrame) -> DataFrame:
     """Total variation distance per column that is no number, missing values being a category."""
-    at = _of_kind(values, totals, False)
+    at, present = _of_kind(counts, kinds, False), F.col("h1").isNotNull()
     gap = F.abs(F.coalesce(ratio(F.col("n_a"), F.col("rows_a")), F.lit(0.0))
                 - F.coalesce(ratio(F.col("n_b"), F.col("rows_b")), F.lit(0.0)))
     return at.groupBy("columna").agg(
-        (F.sum(gap) * 0.5).alias("distancia"), F.max("texts_a").alias("unique_a"), F.max("texts_b").alias("unique_b"))
+        (F.sum(gap) * 0.5).alias("distancia"), F.count_if(present & (F.col("n_a") > 0)).alias("unique_a"),
+        F.count_if(present & (F.col("n_b") > 0)).alias("unique_b"))
 
 
 def comparison_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column, largest distance first, unknown distance last."""
-    # stored: totals and both distances read the counts, the tables are passed over once
-    values = materialise(value_table(a, b, columns), "comparison_values")
-    totals = column_totals(values, date_columns(a, b))
-    parts = numeric_distance(values, totals).unionByName(categorical_distance(values, totals))
-    joined = totals.join(parts, "columna", "left")
+    kinds = column_kinds(a, b, columns)
+    return compared(cell_counts(a, b, kinds, columns), kinds)
+
+
+def compared(counts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The comparison table from stored counts."""
+    parts = numeric_distance(counts, kinds).unionByName(categorical_distance(counts, kinds))
+    joined = kinds.join(parts, "columna", "left")
 
     def missing(side: str):
         return F.when(F.col(f"rows_{side}") == 0, F.lit(100.0)).otherwise(
@@ -114,9 +155,9 @@ def comparison_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None =
     ).orderBy(F.desc_nulls_last("distancia"), "columna")
 
 
-def top_categories(values: DataFrame, totals: DataFrame, top: int = 10) -> DataFrame:
+def top_categories(values: DataFrame, kinds: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent categories of either side: share of each side and difference in points."""
-    at = _of_kind(values, totals, False).select(
+    at = _of_kind(values, kinds, False).select(
         "columna", F.coalesce("valor", F.lit(MISSING)).alias("valor"), "n_a", "n_b", "rows_a", "rows_b")
 
     def best(side: str) -> DataFrame:

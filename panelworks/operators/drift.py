@@ -1,8 +1,9 @@
 """Population drift: PSI per feature, overall and by segment.
 
-All numeric features are melted to (feature, value) and counted once per side;
-edges, bins and means come from those counts, so the number of features does
-not change the number of jobs.
+All features are melted to (feature, value) and counted once per side; edges,
+bins and means come from those counts, so the number of features does not change
+the number of jobs. For many cycles the counts are kept per half-year as a cube:
+both sides of any cycle are sums over its half-years, and the panel is read once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from panelworks import constants as K
 from panelworks.functions import periods as P
 from panelworks.functions.numeric import ratio
-from panelworks.operators.ordered import melt, null_safe_join, quantiles_of_counts, value_counts
+from panelworks.operators.ordered import null_safe_join, quantiles_of_counts, value_counts
 from panelworks.operators.splits import embargo_bounds
+from panelworks.session import materialise
 
 
 def drift_level(psi: Column) -> Column:
@@ -97,8 +99,13 @@ def psi_numeric(rows: DataFrame, by: Sequence[str], value: str = "value", side:
     Degenerate references give 0; under the segment rules they, and sides with
     fewer than ``least`` values, give NULL.
     """
+    return psi_of_counts(value_counts(rows, by, value, **_sides(side)), by, value, bins, segment_rules, least)
+
+
+def psi_of_counts(counts: DataFrame, by: Sequence[str], value: str = "value", bins: int = K.PSI_BINS,
+                  segment_rules: bool = False, least: int = 50) -> DataFrame:
+    """``psi_numeric`` from (group, value, n_ref, n_cur) rows without null values."""
     by = list(by)
-    counts = value_counts(rows, by, value, **_sides(side))
     v = F.col(value).cast("double")
     base = counts.groupBy(*by).agg(
         F.sum("n_ref").alias("n_reference"), F.sum("n_cur").alias("n_current"),
@@ -115,9 +122,14 @@ def psi_numeric(rows: DataFrame, by: Sequence[str], value: str = "value", side:
 
 def psi_categorical(rows: DataFrame, by: Sequence[str], value: str = "value", side: str = "side") -> DataFrame:
     """PSI over the union of categories per group; an empty side gives 0."""
-    by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(c).alias(n) for n, c in _sides(side).items()])
+    return psi_of_classes(counts, by)
+
+
+def psi_of_classes(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``psi_categorical`` from (group, category, n_ref, n_cur) rows."""
+    by = list(by)
     totals = counts.groupBy(*by).agg(F.sum("n_ref").alias("n_reference"), F.sum("n_cur").alias("n_current"))
     at = _join_small(counts, totals, by)
     floor = F.lit(K.PSI_FLOOR)
@@ -129,6 +141,13 @@ def psi_categorical(rows: DataFrame, by: Sequence[str], value: str = "value", si
         F.coalesce(F.sum(F.when(both, (c - r) * F.ln(c / r))), F.lit(0.0)).alias("psi_value"))
 
 
+def _rates() -> dict[str, Column]:
+    return {
+        "promo_rate_period": ratio(F.col("promo_en_periodo"), F.col("materias_en_periodo")),
+        "promo_rate_win3": ratio(F.col("promo_win3"), F.col("materias_win3")),
+    }
+
+
 def _risk_rows(panel: DataFrame, unique: bool) -> DataFrame:
     rows = panel.where(F.col("at_risk") == 1)
     return rows if unique else rows.distinct()
@@ -143,21 +162,24 @@ def drift_rows(panel: DataFrame, horizon: int = K.LABEL_HORIZON, unique: bool =
     """
     rows = _risk_rows(panel, unique)
     cutoff = embargo_bounds(rows, horizon).select("train_cutoff").scalar()
-    rates = {
-        "promo_rate_period": ratio(F.col("promo_en_periodo"), F.col("materias_en_periodo")),
-        "promo_rate_win3": ratio(F.col("promo_win3"), F.col("materias_win3")),
-    }
     side = F.when(F.col("academic_period") <= cutoff, "ref").otherwise("cur")
-    return rows.withColumns(rates).withColumn("side", side)
+    return rows.withColumns(_rates()).withColumn("side", side)
 
 
-def feature_drift(rows: DataFrame, by: Sequence[str] = (), numeric: Sequence[str] = K.DRIFT_FEATURES,
-                  categorical: Sequence[str] = (K.CATEGORY_FEATURE,), label: str | None = "dropout_next",
-                  side: str = "side") -> DataFrame:
-    """PSI, level, means and counts per feature; NULL labels are no category.
+def _melted(numeric: Sequence[str], texts: Sequence[str]) -> Column:
+    """Columns as (feature, number, text) rows: numbers as double, others as text."""
+    none_n, none_t = F.lit(None).cast("double"), F.lit(None).cast("string")
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("number"), none_t.alias("text")) for c in numeric]
+    pairs += [F.struct(F.lit(c).alias("feature"), none_n.alias("number"), F.col(c).cast("string").alias("text")) for c in texts]
+    return F.inline(F.array(*pairs))
 
-    The level follows the unrounded PSI.
-    """
+
+def _with_value(kinds: Column) -> Column:
+    return (kinds & F.col("number").isNotNull() & ~F.isnan("number")) | (~kinds & F.col("text").isNotNull())
+
+
+def drift_of_counts(counts: DataFrame, by: Sequence[str], numeric: Sequence[str], label: str | None) -> DataFrame:
+    """Drift table from (group, feature, number, text, n_ref, n_cur) rows without null values."""
     by = list(by)
     keys = [*by, "feature"]
     columns = [*by, "feature_name", "feature_type", "psi_value", "drift_level", "mean_reference",
@@ -170,14 +192,15 @@ def feature_drift(rows: DataFrame, by: Sequence[str] = (), numeric: Sequence[str
             F.col("mean_reference"), F.col("mean_current"), "n_reference", "n_current",
         ).select(*columns)
 
-    numbers = psi_numeric(melt(rows, [*by, side], numeric), keys, side=side)
-    texts = [*categorical, *([label] if label else [])]
-    coded = melt(rows, [*by, side], texts, "string")
-    classes = psi_categorical(coded, keys, side=side)
+    is_number = F.col("feature").isin(*numeric)
+    numbers = psi_of_counts(counts.where(is_number).select(*keys, F.col("number").alias("value"), "n_ref", "n_cur"), keys)
+    coded = counts.where(~is_number).select(*keys, F.col("text").alias("value"), "n_ref", "n_cur")
+    classes = psi_of_classes(coded, keys)
     if label:
-        means = coded.where((F.col("feature") == label) & F.col("value").isNotNull()).groupBy(*keys).agg(
-            F.avg(F.when(F.col(side) == "ref", F.col("value").cast("double"))).alias("mean_reference"),
-            F.avg(F.when(F.col(side) == "cur", F.col("value").cast("double"))).alias("mean_current"))
+        v = F.col("value").cast("double")
+        means = coded.where(F.col("feature") == label).groupBy(*keys).agg(
+            ratio(F.sum(v * F.col("n_ref")), F.sum("n_ref")).alias("mean_reference"),
+            ratio(F.sum(v * F.col("n_cur")), F.sum("n_cur")).alias("mean_current"))
         classes = null_safe_join(classes, means, keys, "left")
     else:
         classes = classes.withColumns({c: F.lit(None).cast("double") for c in ("mean_reference", "mean_current")})
@@ -186,6 +209,47 @@ def feature_drift(rows: DataFrame, by: Sequence[str] = (), numeric: Sequence[str
         *by, F.desc("psi_value"), "feature_name")
 
 
+def feature_drift(rows: DataFrame, by: Sequence[str] = (), numeric: Sequence[str] = K.DRIFT_FEATURES,
+                  categorical: Sequence[str] = (K.CATEGORY_FEATURE,), label: str | None = "dropout_next",
+                  side: str = "side") -> DataFrame:
+    """PSI, level, means and counts per feature; NULL labels are no category.
+
+    The level follows the unrounded PSI. One pass counts all features; the counts
+    are stored and everything else is read from them.
+    """
+    by = list(by)
+    texts = [*categorical, *([label] if label else [])]
+    long = rows.select(*by, side, _melted(numeric, texts)).where(_with_value(F.col("feature").isin(*numeric)))
+    counts = long.groupBy(*by, "feature", "number", "text").agg(*[F.sum(c).alias(n) for n, c in _sides(side).items()])
+    return drift_of_counts(materialise(counts, "drift-counts"), by, numeric, label)
+
+
+def drift_cube(panel: DataFrame, numeric: Sequence[str] = K.DRIFT_FEATURES, categorical: Sequence[str] = (K.CATEGORY_FEATURE,),
+               label: str | None = "dropout_next", unique: bool = False) -> DataFrame:
+    """Rows per (feature, value, half-year) of the at-risk rows: all that the drift of any cycle needs.
+
+    Promotion rates are recomputed from their counts, as in ``drift_rows``.
+    """
+    rows = _risk_rows(panel, unique).withColumns(_rates())
+    texts = [*categorical, *([label] if label else [])]
+    long = rows.select("academic_period", _melted(numeric, texts)).where(_with_value(F.col("feature").isin(*numeric)))
+    return long.groupBy("feature", "number", "text", "academic_period").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cube_drift(cube: DataFrame, cycles: Sequence[tuple[str, str]], numeric: Sequence[str] = K.DRIFT_FEATURES,
+               label: str | None = "dropout_next") -> DataFrame:
+    """Drift table of several (cycle, cutoff) pairs from a stored cube; the panel is not read."""
+    by = ["cycle_period", "reference_period"]
+    period = F.col("academic_period")
+    tags = F.array(*[F.when(period <= c, F.struct(
+        F.lit(c).alias("cycle_period"), F.lit(cut).alias("reference_period"),
+        F.when(period <= cut, F.col("n")).otherwise(0).alias("n_ref"), F.when(period > cut, F.col("n")).otherwise(0).alias("n_cur")))
+        for c, cut in cycles])
+    sides = cube.select("feature", "number", "text", F.inline(F.filter(tags, lambda t: t.isNotNull())))
+    counts = sides.groupBy(*by, "feature", "number", "text").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    return drift_of_counts(materialise(counts, "drift-counts"), by, numeric, label)
+
+
 def drift_summary(drift: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Worst level, highest PSI, counts per level and the three worst features of a drift table."""
     by = list(by)
@@ -216,10 +280,17 @@ def segment_drift(rows: DataFrame, segments: Sequence[str], numeric: Sequence[st
     """PSI of some features and the label by segment value; small segments are left out."""
     named = F.array(*[F.struct(F.concat(F.lit(f"{c}="), F.col(c)).alias("segmento")) for c in segments])
     long = rows.select(side, label, *numeric, F.inline(named)).where(F.col("segmento").isNotNull())
-    sizes = long.groupBy("segmento").agg(
-        F.count_if(F.col(side) == "ref").alias("n_ref"), F.count_if(F.col(side) == "cur").alias("n_act"),
-        F.avg(F.when(F.col(side) == "ref", F.col(label).cast("double"))).alias("_r"),
-        F.avg(F.when(F.col(side) == "cur", F.col(label).cast("double"))).alias("_c"),
+    # one pass: the label's counts keep its nulls, so they hold the number of rows as well
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in (*numeric, label)])
+    counts = materialise(long.select("segmento", side, F.inline(pairs)).groupBy("segmento", "feature", "value").agg(
+        *[F.sum(c).alias(n) for n, c in _sides(side).items()]), "segment-counts")
+    of_label, v = counts.where(F.col("feature") == label), F.col("value")
+
+    def mean(n: str) -> Column:
+        return ratio(F.sum(v * F.col(n)), F.sum(F.when(v.isNotNull(), F.col(n))))
+
+    sizes = of_label.groupBy("segmento").agg(
+        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_act"), mean("n_ref").alias("_r"), mean("n_cur").alias("_c"),
     ).where((F.col("n_ref") >= least_rows) & (F.col("n_act") >= least_rows))
     floor = F.lit(K.PSI_FLOOR)
 
@@ -229,24 +300,13 @@ def segment_drift(rows: DataFrame, segments: Sequence[str], numeric: Sequence[st
 
     known = F.col("_r").isNotNull() & F.col("_c").isNotNull()
     binary = F.when(known, part(1 - F.col("_r"), 1 - F.col("_c")) + part(F.col("_r"), F.col("_c")))
-    psi = psi_numeric(melt(long, ["segmento", side], numeric), ["segmento", "feature"], side=side, segment_rules=True)
+    known_values = counts.where(F.col("feature").isin(*numeric) & v.isNotNull() & ~F.isnan(v))
+    psi = psi_of_counts(known_values, ["segmento", "feature"], segment_rules=True)
     wide = psi.groupBy("segmento").agg(*[
         F.max(F.when(F.col("feature") == c, F.col("psi_value"))).alias(f"psi_{c}") for c in numeric])
     return sizes.join(wide, "segmento", "left").select(
         "segmento", "n_ref", "n_act", *[f"psi_{c}" for c in numeric], binary.alias(f"psi_{label}"))
 
 
-def cycle_rows(panel: DataFrame, cycles: Sequence[tuple[str, str]], unique: bool = False) -> DataFrame:
-    """Drift rows of several (cycle, cutoff) pairs at once, by ``cycle_period``."""
-    rows = _risk_rows(panel, unique)
-    tags = F.array(*[
-        F.struct(F.lit(c).alias("cycle_period"), F.lit(cut).alias("reference_period"),
-                 F.when(F.col("academic_period") <= cut, "ref").otherwise("cur").alias("side"))
-        for c, cut in cycles
-    ])
-    keep = F.transform(tags, lambda t: F.when(F.col("academic_period") <= t["cycle_period"], t))
-    return rows.select("*", F.inline(F.filter(keep, lambda t: t.isNotNull())))
-
-
 def shifted_cycles(cycles: Sequence[str], horizon: int = K.LABEL_HORIZON) -> list[tuple[str, str]]:
     return [(c, P.shift_label(c, horizon)) for c in cycles]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from panelworks.operators import resample as RS
 from panelworks.operators import splits as SP
 from panelworks.operators.evaluation import several_scores
 from panelworks.operators.ordered import exact_quantiles, null_safe_join, running_totals
-from panelworks.session import materialise
+from panelworks.session import concurrently, materialise
 
 Fit = Callable[[DataFrame, str], PipelineModel]
 PERIOD = SP.PERIOD
@@ -38,10 +39,10 @@ def _at(rows: DataFrame, period: str) -> DataFrame:
 
 def scored_pairs(rows: DataFrame, pairs: Sequence[tuple[str, str]], fit: Fit) -> DataFrame:
     """Test rows of each (cutoff, test period) scored by the model of that cutoff, as one stored table."""
+    models = concurrently(rows.sparkSession, {c: partial(fit, _upto(rows, c), c) for c, _ in pairs})
     out = None
     for cutoff, test in pairs:
-        model = fit(_upto(rows, cutoff), cutoff)
-        part = MO.score(model, _at(rows, test)).select(
+        part = MO.score(models[cutoff], _at(rows, test)).select(
             F.lit(cutoff).alias("origin"), F.lit(test).alias("test_period"), F.col("legajo").alias("id"),
             F.col("dropout_next").alias("y"), "p", F.col(K.RECENCY_FEATURE).alias("days"))
         out = part if out is None else out.unionByName(part)
@@ -103,8 +104,10 @@ def unseen_students(rows: DataFrame, test: str, fit: Fit, horizon: int = K.LABEL
     cutoff = P.shift_label(test, horizon)
     train, tested = _upto(rows, cutoff), _at(rows, test)
     strict = SP.without_students_of(train, tested)
-    full = MO.score(fit(train, cutoff), SP.mark_seen(tested, train))
-    apart = MO.score(fit(strict, f"{cutoff}-strict"), SP.mark_seen(tested, train))
+    tags = {cutoff: train, f"{cutoff}-strict": strict}
+    models = concurrently(rows.sparkSession, {tag: partial(fit, part, tag) for tag, part in tags.items()})
+    full = MO.score(models[cutoff], SP.mark_seen(tested, train))
+    apart = MO.score(models[f"{cutoff}-strict"], SP.mark_seen(tested, train))
     columns = [F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "seen"]
     both = full.select(F.lit("full").alias("kind"), *columns).unionByName(
         apart.select(F.lit("grouped").alias("kind"), *columns))
@@ -137,24 +140,26 @@ ABLATIONS = {
 }
 
 
+BASELINE = "baseline recencia (solo dias)"
+ABLATION_SCORES = dict(zip([*ABLATIONS, BASELINE], ["p_full", "p_no_days", "p_no_recency", "p_base"]))
+
+
 def ablation_scores(train: DataFrame, test: DataFrame, fit_with: Callable[[DataFrame, tuple[str, ...], str], PipelineModel]
                     ) -> DataFrame:
     """Test rows with one score column per variant, the recency baseline and the linear model."""
     rows = ME.recency_scores(test, out="p_base")
-    names = {"completo": "p_full", "sin dias_desde_ult_actividad": "p_no_days", "sin recencia inmediata": "p_no_recency"}
-    for variant, features in ABLATIONS.items():
-        rows = MO.score(fit_with(train, features, "GradientBoosting"), rows, names[variant])
-    rows = MO.score(fit_with(train, K.NUMERIC_FEATURES, "LogisticRegression"), rows, "p_linear")
+    jobs = {ABLATION_SCORES[v]: partial(fit_with, train, f, "GradientBoosting") for v, f in ABLATIONS.items()}
+    jobs["p_linear"] = partial(fit_with, train, K.NUMERIC_FEATURES, "LogisticRegression")
+    for column, model in concurrently(train.sparkSession, jobs).items():
+        rows = MO.score(model, rows, column)
     return materialise(rows.select(
-        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), *names.values(), "p_base", "p_linear"), "ablation")
+        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), *jobs, "p_base"), "ablation")
 
 
 def ablation_table(scores: DataFrame) -> DataFrame:
     """AUC and precision among the top tenth per variant."""
-    named = {"completo": "p_full", "sin dias_desde_ult_actividad": "p_no_days", "sin recencia inmediata": "p_no_recency",
-             "baseline recencia (solo dias)": "p_base"}
-    long = several_scores(scores.drop("p_linear"), named, "variante")
-    n = F.when(F.col("variante") == "baseline recencia (solo dias)", 1)
+    long = several_scores(scores.drop("p_linear"), ABLATION_SCORES, "variante")
+    n = F.when(F.col("variante") == BASELINE, 1)
     for v, f in ABLATIONS.items():
         n = n.when(F.col("variante") == v, len(f) + 1)
     top = ME.top_share(long, ["variante"], shares=(10,), at_least_one=True)

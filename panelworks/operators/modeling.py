@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from panelworks import constants as K
 from panelworks.operators.evaluation import evaluations
 from panelworks.operators.features import Preparation
-from panelworks.session import materialise
+from panelworks.session import concurrently, materialise
 
 LABEL = "dropout_next"
 
@@ -85,10 +87,14 @@ def _dealt(rows: DataFrame, spec: TrainSpec) -> DataFrame:
 def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = TrainSpec(), stored: bool = False
         ) -> PipelineModel:
     """Fit one candidate; preparation parameters come from the training rows only."""
-    rows = _dealt(train if stored else training_table(train, spec), spec)
-    prepared = Preparation.fit(rows, spec.numeric, spec.category)
-    stages = [*preparation_stages(prepared, spec), classifier(name, spec, rows.count())]
-    return Pipeline(stages=stages).fit(rows)
+    # dealt once for all passes of this fit; a lost part is dealt again from the stored table
+    rows = _dealt(train if stored else training_table(train, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        prepared = Preparation.fit(rows, spec.numeric, spec.category)
+        stages = [*preparation_stages(prepared, spec), classifier(name, spec, rows.count())]
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
@@ -99,16 +105,20 @@ def score(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
 
 def compete(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = TrainSpec()
             ) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Fit every candidate, evaluate all on the same rows, mark the best AUC."""
+    """Fit the candidates side by side, evaluate all on the same rows, mark the best AUC."""
     rows = training_table(train, spec)
     n_train = rows.count()
-    models: dict[str, PipelineModel] = {}
-    scored, times = None, []
-    for name in spec.candidates:
+
+    def timed(name: str) -> tuple[PipelineModel, float]:
         start = time.time()
-        models[name] = fit(rows, name, spec, stored=True)
-        times.append(F.struct(F.lit(name).alias("model_name"), F.lit(time.time() - start).alias("training_time_seconds")))
-        part = score(models[name], val).select(
+        return fit(rows, name, spec, stored=True), time.time() - start
+
+    done = concurrently(train.sparkSession, {name: partial(timed, name) for name in spec.candidates})
+    models = {name: model for name, (model, _) in done.items()}
+    scored, times = None, []
+    for name, (model, seconds) in done.items():
+        times.append(F.struct(F.lit(name).alias("model_name"), F.lit(seconds).alias("training_time_seconds")))
+        part = score(model, val).select(
             F.lit(cycle).alias("cycle_period"), F.lit(name).alias("model_name"), F.col(spec.label).alias("y"), "p")
         scored = part if scored is None else scored.unionByName(part)
     table = evaluations(materialise(scored, "candidates"))

@@ -2,8 +2,8 @@
 
 A plain ``Window.orderBy`` over a group sends the whole group to one task. Here
 a group is first collapsed to its distinct values, the values are split into
-order-preserving buckets, and running totals are taken inside a bucket and
-between buckets separately. One group may hold any share of the rows.
+order-preserving cells of bounded size, and running totals are taken inside a cell
+and between cells separately. One group may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import value_bucket
+from panelworks.session import materialise
 
 CELL_ROWS = 4096
 
@@ -37,21 +38,31 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -
 
 
 def with_cells(counts: DataFrame, group: Column, value: str) -> DataFrame:
-    """Add ``_cell``: group, value bucket and, in a bucket of many rows, its part by the bucket's own range.
-
-    Values far from zero share a bucket (epoch seconds, large ids); such a bucket
-    is cut evenly between its least and greatest value into parts of some 4,096 rows.
+    """Add ``_cell``: the group and a path of cuts, in the order of the values.
+
+    The first cut is a value bucket. A cell of more than ``CELL_ROWS`` rows is cut
+    evenly between its own least and greatest value, and its parts again as long as
+    one of them is too large, so one outlier costs one round. Every round divides
+    the range of a cell by 256 at least, and a double has 52 bits within a bucket,
+    so rounds are few whatever the values. Only rows of equal value share a cell
+    beyond that. Each round is one aggregate on a stored table.
     """
     number = F.col(value).cast("double")
-    placed = counts.withColumn("_wide", F.struct(group.alias("g"), value_bucket(number).alias("b")))
-    heavy = placed.groupBy(F.col("_wide").alias("_at")).agg(
-        F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_rows")
-    ).where((F.col("_rows") > CELL_ROWS) & (F.col("_low") < F.col("_high")))
-    joined = placed.join(heavy, F.col("_wide") == F.col("_at"), "left")
-    parts = F.ceil(F.col("_rows") / CELL_ROWS)
-    part = F.least(F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts), parts - 1)
-    cell = F.struct(F.col("_wide.g").alias("g"), F.col("_wide.b").alias("b"), F.coalesce(part, F.lit(0)).cast("long").alias("part"))
-    return joined.select(*counts.columns, cell.alias("_cell"))
+    first = F.array(value_bucket(number).cast("long"))
+    split = counts.withColumn("_cell", F.struct(group.alias("g"), first.alias("path")))
+    while True:
+        heavy = split.groupBy(F.col("_cell").alias("_at")).agg(
+            F.min(number).alias("_low"), F.max(number).alias("_high"), F.count("*").alias("_rows")
+        ).where((F.col("_rows") > CELL_ROWS) & (F.col("_low") < F.col("_high")))
+        heavy = materialise(heavy, "ordered-heavy")
+        if heavy.isEmpty():
+            return split
+        joined = split.join(heavy, F.col("_cell") == F.col("_at"), "left")
+        parts = F.greatest(2 * F.ceil(F.col("_rows") / CELL_ROWS), F.lit(256))
+        part = F.least(F.floor((number - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts), parts - 1).cast("long")
+        path = F.when(part.isNull(), F.col("_cell.path")).otherwise(F.concat("_cell.path", F.array(part)))
+        split = materialise(joined.select(
+            *counts.columns, F.struct(F.col("_cell.g").alias("g"), path.alias("path")).alias("_cell")), "ordered-cells")
 
 
 def running_totals(
@@ -65,14 +76,25 @@ def running_totals(
     """Add ``before_<s>`` (sum over smaller values) and ``all_<s>`` (group sum).
 
     ``counts`` holds one row per (group, value, *within*). ``within`` are extra
-    sort keys that break ties of ``value``.
+    sort keys that break ties of ``value``. The counts are stored once; a table
+    of up to ``CELL_ROWS`` rows needs no cells.
     """
     by = list(by)
     # one struct key: NULL groups match, and the window, the bucket sums and the join
     # below all agree on one partitioning
     group = F.struct(*by) if by else F.lit(0)
-    split = with_cells(counts, group, value) if bucket is None else counts.withColumn(
-        "_cell", F.struct(group.alias("g"), bucket.alias("b"), F.lit(0).cast("long").alias("part")))
+    if bucket is None:
+        seen = Observation()
+        counts = materialise(counts.observe(seen, F.count(F.lit(1)).alias("n")), "ordered-counts")
+        if seen.get["n"] <= CELL_ROWS:
+            whole = Window.partitionBy(group)
+            order = whole.orderBy(value, *within).rowsBetween(Window.unboundedPreceding, -1)
+            return counts.select(
+                "*", *[F.coalesce(F.sum(s).over(order), F.lit(0)).alias(f"before_{s}") for s in sums],
+                *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums])
+        split = with_cells(counts, group, value)
+    else:
+        split = counts.withColumn("_cell", F.struct(group.alias("g"), F.array(bucket.cast("long")).alias("path")))
     inside = (
         Window.partitionBy("_cell").orderBy(value, *within).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -81,7 +103,7 @@ def running_totals(
     )
     per_bucket = split.groupBy("_cell").agg(*[F.sum(s).alias(s) for s in sums])
     # at most one row per non-empty bucket: small whatever the group size
-    order = Window.partitionBy("_cell.g").orderBy("_cell.b", "_cell.part")
+    order = Window.partitionBy("_cell.g").orderBy("_cell.path")
     between = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_bucket.select(

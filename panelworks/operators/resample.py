@@ -2,20 +2,32 @@
 
 A replicate is a weight per student, never a copy of rows. Draws are a hash of
 (seed, replicate, position), so a retried task draws the same students.
+
+All replicates are worked on at once, as vectors. Draws travel as packed numbers,
+one row per slab of positions and cell of students. A student gets one row with
+an array of its weights; rows of equal score are added up element by element; and
+the running totals that an AUC needs are prefix sums of arrays, inside a range of
+scores and then between ranges. So no step has a row per replicate and student.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
-from panelworks.functions.numeric import draw_digest, draw_word
-from panelworks.operators.metrics import auc_of_ranked
+from panelworks.functions.arrow import fields, in_batches, reachable
+from panelworks.functions.numeric import draw_digest, draw_word, ratio
 from panelworks.operators.ordered import null_safe_join, running_totals
-from panelworks.session import fan_out
+from panelworks.session import fan_out, materialise
+
+CELL = 4096  # students whose draws meet in one piece of work
+SLAB = 4096  # positions drawn for at a time
 
 
 def numbered(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -27,12 +39,81 @@ def numbered(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     return placed.select(*by, key, F.col("before_n").alias("place"), F.col("all_n").alias("size"))
 
 
-def place_weights(places: DataFrame, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
-    """(replicate, place, weight) from numbered keys; zero weights left out."""
+def _grouped(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of every row and the first row of every group; nulls are equal."""
+    if not by:
+        return np.zeros(batch.num_rows, np.int64), np.zeros(min(1, batch.num_rows), np.int64)
+    numbers = batch.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+    return numbers, np.unique(numbers, return_index=True)[1]
+
+
+def draws(positions: np.ndarray, size: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Drawn places, positions x replicates: 32-bit words of the md5 of (seed, block of four replicates, position)."""
+    blocks = -(-replicates // 4)
+    md5, heads = hashlib.md5, [f"{seed}|{b}|".encode() for b in range(blocks)]
+    digests = b"".join(md5(head + tail).digest() for tail in (b"%d" % p for p in positions.tolist()) for head in heads)
+    words = np.frombuffer(digests, ">u4").reshape(len(positions), 4 * blocks)[:, :replicates]
+    return words.astype(np.int64) % size[:, None]
+
+
+def _packed_draws(by: list[str], replicates: int, seed: int):
+    """Draws of a slab of positions, one row per cell of drawn students: place in the cell and replicate in one number."""
+    def fn(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLAB):
+                slab = batch.slice(at, SLAB)
+                group, first = _grouped(slab, by)
+                place, size = (slab.column(c).to_numpy() for c in ("place", "size"))
+                drawn = draws(place, size, replicates, seed)
+                cells = int(size.max()) // CELL + 1
+                key = (group[:, None] * cells + drawn // CELL).ravel()
+                code = ((drawn % CELL) * replicates + np.arange(replicates)).ravel()
+                order = np.argsort(key, kind="stable")
+                key, code = key[order], code[order]
+                start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+                codes = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(code.astype(np.int32)))
+                rows = pa.array(first[key[start] // cells])
+                yield pa.RecordBatch.from_arrays(
+                    [slab.column(c).take(rows) for c in by] + [pa.array(key[start] % cells), codes], [*by, "cell", "codes"])
+    return fn
+
+
+def _cell_weights(by: list[str], replicates: int):
+    """One row per drawn student of a cell with its weights in all replicates."""
+    def fn(table: pa.Table) -> pa.Table:
+        codes = table.column("codes").combine_chunks()
+        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+        weights = np.bincount(codes.flatten().to_numpy(), minlength=CELL * replicates).reshape(CELL, replicates)
+        some = np.nonzero(weights.any(axis=1))[0]
+        rows = weights[some].astype("<i4")
+        repeat = pa.array(np.zeros(len(some), np.int64))
+        return pa.Table.from_arrays(
+            [table.column(c).take(repeat) for c in by]
+            + [pa.array(some + table.column("cell")[0].as_py() * CELL), pa.array([r.tobytes() for r in rows], pa.binary())],
+            [*by, "place", "weights"])
+    return fn
+
+
+def weight_arrays(places: DataFrame, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
+    """(place, weights): how often a numbered key is drawn in each replicate, as packed 32-bit numbers.
+
+    Keys that no replicate draws have no row.
+    """
+    by = list(by)
+    spread = fan_out(places.select(*by, "place", "size"), "place")
+    packs = in_batches(spread, _packed_draws(by, replicates, seed), f"{fields(places, by)}cell long, codes array<int>")
+    reachable(places.sparkSession)
+    return packs.groupBy(*by, "cell").applyInArrow(
+        _cell_weights(by, replicates), f"{fields(places, by)}place long, weights binary")
+
+
+def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
+    """(replicate, key, weight) in long form: how often each key is drawn in each replicate."""
     by = list(by)
+    places = numbered(df, key, by)
     blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
     spread = fan_out(places.select(*by, "place", "size"), "place")
-    digests = spread.select(*by, "place", "size", F.explode(blocks).alias("_block")).select(
+    digests = spread.select(*by, "size", "place", F.explode(blocks).alias("_block")).select(
         *by, "size", "_block", draw_digest(seed, F.col("_block"), F.col("place")).alias("_d"))
     words = F.array(*[
         F.struct((F.col("_block") * 4 + w).cast("int").alias("replicate"),
@@ -40,35 +121,114 @@ def place_weights(places: DataFrame, replicates: int, seed: int = K.SEED, by: Se
         for w in range(4)
     ])
     drawn = digests.select(*by, F.inline(words)).where(F.col("replicate") < replicates)
-    return drawn.groupBy(*by, "replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
+    counted = drawn.groupBy(*by, "replicate", "place").agg(F.count(F.lit(1)).alias("weight"))
+    joined = null_safe_join(counted, places.select(*by, "place", key), [*by, "place"])
+    return joined.select(*by, "replicate", key, "weight")
 
 
-def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
-    """(replicate, key, weight): how often each key is drawn in each replicate."""
-    by = list(by)
-    places = numbered(df, key, by)
-    joined = null_safe_join(place_weights(places, replicates, seed, by), places.select(*by, "place", key), [*by, "place"])
-    return joined.select(*by, "replicate", key, "weight")
+def _score_sums(by: list[str], scores: list[str], replicates: int):
+    """Weighted positives and negatives of every replicate per distinct score of a batch."""
+    def fn(batches):
+        for batch in batches:
+            weights = np.frombuffer(b"".join(batch.column("weights").to_pylist()), "<i4").reshape(-1, replicates)
+            classes = [batch.column(c).to_numpy()[:, None] for c in ("_pos", "_neg")]
+            group, _ = _grouped(batch, by)
+            for name in scores:
+                value = batch.column(name).to_numpy(zero_copy_only=False)
+                used = np.nonzero(~np.isnan(value))[0]  # a null score comes as NaN
+                if not len(used):
+                    continue
+                used = used[np.lexsort((value[used], group[used]))]
+                new = np.append(True, (value[used][1:] != value[used][:-1]) | (group[used][1:] != group[used][:-1]))
+                start = np.nonzero(new)[0]
+                sums = [np.add.reduceat(weights[used] * c[used], start, axis=0).astype("<i8") for c in classes]
+                rows = pa.array(used[start])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(rows) for c in by]
+                    + [pa.array([name] * len(start), pa.string()), pa.array(value[used][start])]
+                    + [pa.array([r.tobytes() if r.any() else None for r in s], pa.binary()) for s in sums],
+                    [*by, "score", "_s", "pos", "neg"])
+    return fn
+
+
+def _range_sums(by: list[str], replicates: int):
+    """Prefix sums of arrays over one range of sorted scores: totals and wins per group and replicate.
+
+    A win is a positive above a negative, a tie half a win. The sums of one score
+    may come in several rows, also of two batches, so the last score stays open.
+    """
+    zero = np.zeros(replicates)
+
+    def arrays(column: pa.Array) -> np.ndarray:
+        empty = zero.astype("<i8").tobytes()
+        return np.frombuffer(b"".join(x if x is not None else empty for x in column.to_pylist()), "<i8").reshape(-1, replicates).astype(float)
+
+    def fn(batches):
+        state, key, names = None, None, [*by, "score"]
+
+        def close(done):
+            key_row, last, pos, neg, wins, open_pos, open_neg = done
+            wins = wins + open_pos * (neg + open_neg / 2)
+            return pa.RecordBatch.from_arrays(
+                [*key_row, *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in (pos + open_pos, neg + open_neg, wins)]],
+                [*names, "pos", "neg", "wins"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, value = _grouped(batch, names)[0], batch.column("_s").to_numpy()
+            pos, neg = arrays(batch.column("pos")), arrays(batch.column("neg"))
+            edges = np.append(np.nonzero(np.append(True, group[1:] != group[:-1]))[0], batch.num_rows)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                of = tuple(batch.column(c)[a].as_py() for c in names)
+                if state is not None and of != key:
+                    yield close(state)
+                    state = None
+                if state is None:
+                    key, state = of, ([batch.column(c).slice(a, 1) for c in names], None, zero, zero, zero, zero, zero)
+                row, last, all_pos, all_neg, wins, open_pos, open_neg = state
+                start = np.nonzero(np.append(True, value[a + 1 : b] != value[a : b - 1]))[0]
+                p, n = (np.add.reduceat(x[a:b], start, axis=0) for x in (pos, neg))
+                if last is not None and last == value[a]:
+                    p[0] += open_pos
+                    n[0] += open_neg
+                else:
+                    wins = wins + open_pos * (all_neg + open_neg / 2)
+                    all_pos, all_neg = all_pos + open_pos, all_neg + open_neg
+                before = all_neg + np.cumsum(n, axis=0) - n
+                wins = wins + (p[:-1] * (before[:-1] + n[:-1] / 2)).sum(axis=0)
+                state = (row, value[b - 1], all_pos + p[:-1].sum(axis=0), all_neg + n[:-1].sum(axis=0), wins, p[-1], n[-1])
+        if state is not None:
+            yield close(state)
+    return fn
 
 
 def bootstrap_auc(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, key: str = "id", y: str = "y",
                   scores: Sequence[str] = ("p",), seed: int = K.SEED, by: Sequence[str] = ()) -> DataFrame:
     """AUC per (group, replicate, score name); one-class replicates are left out."""
-    by = list(by)
+    by, names = list(by), [f"_s_{k}" for k in range(len(scores))]
     places = numbered(scored, key, by)
     # rows of a student with the same scores count together before they meet the weights
-    folded = scored.groupBy(*by, key, *[F.col(c).cast("double").alias(f"_s_{c}") for c in scores]).agg(
-        F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
+    folded = scored.groupBy(*by, key, *[F.col(c).cast("double").alias(n) for c, n in zip(scores, names)]).agg(
+        F.sum(y).cast("long").alias("_pos"), F.sum(1 - F.col(y)).cast("long").alias("_neg"))
     located = null_safe_join(folded, places.select(*by, key, "place"), [*by, key])
-    weighted = null_safe_join(place_weights(places, replicates, seed, by), located.drop(key), [*by, "place"])
-    names = F.array(*[F.struct(F.lit(c).alias("score"), F.col(f"_s_{c}").alias("_s")) for c in scores])
-    long = weighted.select(
-        *by, "replicate", (F.col("_pos") * F.col("weight")).alias("_pos"),
-        (F.col("_neg") * F.col("weight")).alias("_neg"), F.inline(names))
-    group = [*by, "replicate", "score"]
-    counts = long.groupBy(*group, "_s").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
-    ranked = running_totals(counts, group, "_s", ["pos", "neg"])
-    return auc_of_ranked(ranked, group).where(F.col("auc").isNotNull())
+    weighted = null_safe_join(located.drop(key), weight_arrays(places, replicates, seed, by), [*by, "place"])
+    group = fields(scored, by)
+    sums = materialise(in_batches(weighted.drop("place"), _score_sums(by, names, replicates),
+                                  f"{group}score string, _s double, pos binary, neg binary"), "bootstrap-sums")
+    order = [*by, "score", "_s"]
+    ranges = in_batches(sums.repartitionByRange(*order).sortWithinPartitions(*order), _range_sums(by, replicates),
+                        f"{group}score string, pos array<double>, neg array<double>, wins array<double>")
+    each = ranges.withColumn("_range", F.spark_partition_id()).select(
+        *by, "score", "_range", F.posexplode(F.arrays_zip("pos", "neg", "wins")).alias("replicate", "x")).select(
+        *by, "score", "replicate", "_range", "x.*")
+    # a row per range, few whatever the group size
+    below = Window.partitionBy(*by, "score", "replicate").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0))
+    out = each.select(*by, "score", "replicate", "pos", "neg", wins.alias("wins")).groupBy(*by, "replicate", "score").agg(
+        F.sum("wins").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    named = F.element_at(F.create_map(*[F.lit(x) for n, c in zip(names, scores) for x in (n, c)]), F.col("score"))
+    return out.select(*by, "replicate", named.alias("score"), ratio(F.col("w"), F.col("p") * F.col("n")).alias("auc")).where("auc is not null")
 
 
 def bootstrap_interval(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, key: str = "id",

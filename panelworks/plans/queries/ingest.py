@@ -121,6 +121,33 @@ def src_09(s, d):
     return r6(as_text(rows, "indice_tiempo"), ["ipc_nucleo", "ipc_regulados", "ipc_estacionales"], 4)
 
 
+def _monthly_csv(s, d, name, source, value, missing):
+    """One series over the months of the orders; some cells are empty, and a remark that may be empty comes along."""
+    path = scratch_path(s, f"{name}.csv")
+    monthly = X.table(s, d, "orders").groupBy(
+        F.date_trunc("month", F.col("o_orderdate")).cast("date").cast("string").alias("indice_tiempo")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("long").alias("k"))
+    SK.write_csv(monthly.select(
+        "indice_tiempo", F.when(~missing, value.cast("string")).alias(source),
+        F.when(F.col("n") % 3 != 0, F.lit("provisorio")).alias("observacion")), path)
+    return path
+
+
+def src_09_unemployment(s, d):
+    """Only the rate decides whether a month is kept, an empty remark does not."""
+    n, k = F.col("n"), F.col("k")
+    name = K.SERIES["unemployment_rates"][0][0]
+    path = _monthly_csv(s, d, "unemployment", name, F.concat(F.lit("0."), F.lpad(k % 997, 4, "0")), n % 7 == 0)
+    return r6(as_text(SE.load_series(s, path, "unemployment_rates"), "indice_tiempo"), [name], 8)
+
+
+def src_09_emae(s, d):
+    """Every cell decides: a month with an empty remark goes as well."""
+    n, k = F.col("n"), F.col("k")
+    path = _monthly_csv(s, d, "emae", "s_original_nivel_gral", F.concat((k % 200).cast("string"), F.lit("."), (k % 89).cast("string")), n % 5 == 0)
+    return r6(as_text(SE.load_series(s, path, "emae_indicators"), "indice_tiempo"), ["s_original_nivel_gral"], 8)
+
+
 # sinks
 
 def snk_01(s, d):
@@ -371,6 +398,15 @@ QUERIES = {
           CAST(n AS DOUBLE) AS ipc_regulados, CAST(n * 3 AS DOUBLE) AS ipc_estacionales
         FROM (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS m, count(*) AS n,
                 CAST(sum(o_custkey) AS BIGINT) AS k FROM orders GROUP BY 1) z WHERE n % 5 <> 0"""),
+    "src_09_unemployment": (src_09_unemployment, """
+        SELECT m AS indice_tiempo, CAST(CAST('0.' || lpad(CAST(k % 997 AS VARCHAR), 4, '0') AS DECIMAL(10, 8)) AS DOUBLE)
+            AS eph_continua_tasa_desempleo_total_gran_san_juan
+        FROM (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS m, count(*) AS n,
+                CAST(sum(o_custkey) AS BIGINT) AS k FROM orders GROUP BY 1) z WHERE n % 7 <> 0"""),
+    "src_09_emae": (src_09_emae, """
+        SELECT m AS indice_tiempo, CAST(CAST((k % 200) || '.' || (k % 89) AS DECIMAL(15, 8)) AS DOUBLE) AS s_original_nivel_gral
+        FROM (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS m, count(*) AS n,
+                CAST(sum(o_custkey) AS BIGINT) AS k FROM orders GROUP BY 1) z WHERE n % 5 <> 0 AND n % 3 <> 0"""),
     "snk_01_csv": (snk_01, with_ctes("SELECT * FROM fx_progress")),
     "snk_02_full_refresh": (snk_02, with_ctes("SELECT * FROM students")),
     "snk_03_replace_by_key": (snk_03, with_ctes("""

@@ -78,9 +78,13 @@ def drf_07(s, d):
 CYCLES = ("1998_1C", "1998_2C", "1999_1C")
 
 
+def cube(s, d):
+    """Counts per (feature, value, half-year), stored once for all cycles."""
+    return M._once(s, d, "drift_cube", lambda: DR.drift_cube(M.panel(s, d), unique=True))
+
+
 def cycle_drift(s, d):
-    rows = DR.cycle_rows(M.panel(s, d), DR.shifted_cycles(CYCLES), unique=True)
-    return DR.feature_drift(rows, ["cycle_period", "reference_period"])
+    return DR.cube_drift(cube(s, d), DR.shifted_cycles(CYCLES))
 
 
 def stored_drift(s, d):
@@ -94,8 +98,7 @@ def drf_08(s, d):
     keys = ["cycle_period", "reference_period"]
     rows = stored_drift(s, d)
     SK.replace_by_key(rows, path, keys)
-    again = DR.cycle_rows(M.panel(s, d), DR.shifted_cycles(CYCLES[1:2]), unique=True)
-    SK.replace_by_key(DR.feature_drift(again, keys), path, keys)
+    SK.replace_by_key(DR.cube_drift(cube(s, d), DR.shifted_cycles(CYCLES[1:2])), path, keys)
     return r6(SK.read_table(s, path, rows.schema), _DOUBLES)
 
 
@@ -113,37 +116,39 @@ def _versions(s, d):
     return a, b
 
 
-def _values(s, d):
-    return CP.value_table(*_versions(s, d))
+def _kinds(s, d):
+    return M._once(s, d, "cmp_kinds", lambda: CP.column_kinds(*_versions(s, d)))
+
+
+def _cells(s, d):
+    """Counts of both versions, stored once for all comparisons."""
+    return M._once(s, d, "cmp_cells", lambda: CP.cell_counts(*_versions(s, d), _kinds(s, d)))
 
 
 def cmp_01(s, d):
-    totals = CP.column_totals(_values(s, d))
-    return totals.select("columna", "rows_a", "rows_b")
+    return _kinds(s, d).select("columna", "rows_a", "rows_b")
 
 
 def cmp_02(s, d):
-    return CP.column_totals(_values(s, d)).select("columna", "tipo")
+    return _kinds(s, d).select("columna", "tipo")
 
 
 def cmp_03(s, d):
-    return r6(CP.comparison_table(*_versions(s, d)).select("columna", "missing_a", "missing_b", "unique_a", "unique_b"),
+    return r6(CP.compared(_cells(s, d), _kinds(s, d)).select("columna", "missing_a", "missing_b", "unique_a", "unique_b"),
               ["missing_a", "missing_b"])
 
 
 def cmp_04(s, d):
-    values = _values(s, d)
-    return r6(CP.numeric_distance(values, CP.column_totals(values)).select("columna", "distancia"), ["distancia"])
+    return r6(CP.numeric_distance(_cells(s, d), _kinds(s, d)).select("columna", "distancia"), ["distancia"])
 
 
 def cmp_05(s, d):
-    values = _values(s, d)
-    return r6(CP.categorical_distance(values, CP.column_totals(values)).select("columna", "distancia"), ["distancia"])
+    return r6(CP.categorical_distance(_cells(s, d), _kinds(s, d)).select("columna", "distancia"), ["distancia"])
 
 
 def cmp_06(s, d):
-    values = _values(s, d)
-    return r6(CP.top_categories(values, CP.column_totals(values)), ["pct_a", "pct_b", "diferencia_pp"])
+    kinds = _kinds(s, d)
+    return r6(CP.top_categories(CP.text_counts(*_versions(s, d), kinds), kinds), ["pct_a", "pct_b", "diferencia_pp"])
 
 
 def cmp_07(s, d):

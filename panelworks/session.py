@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_SCRATCH = "/tmp/panelworks"
@@ -17,6 +21,7 @@ def build_session(app: str = "panelworks", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
     )
     if master:
         builder = builder.master(master)
@@ -61,6 +66,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+T = TypeVar("T")
+
+
+def concurrently(spark: SparkSession, jobs: dict[str, Callable[[], T]], at_once: int = 4) -> dict[str, T]:
+    """Results of independent jobs by name, up to ``at_once`` of them at a time.
+
+    Each runs in a scheduler pool of its own, so under fair scheduling many small
+    stages of one fill the cores that another one leaves idle. The first failure
+    is raised once all have ended.
+    """
+    def run(name: str, job: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        return job()
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(jobs)))) as pool:
+        started = {name: pool.submit(inheritable_thread_target(spark)(run), name, job) for name, job in jobs.items()}
+    return {name: future.result() for name, future in started.items()}
+
+
 def fan_out(df: DataFrame, *columns: str) -> DataFrame:
     """Spread a small table over all cores before it is multiplied.
 

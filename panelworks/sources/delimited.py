@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelworks.functions.arrow import in_batches
+
 # ISO-8859-15 differs from ISO-8859-1 in these eight characters only.
 _LATIN9_FROM, _LATIN9_TO = "¤¦¨´¸¼½¾", "€ŠšŽžŒœŸ"
 
@@ -31,15 +36,33 @@ def utf8_or_latin1(raw: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8", header: bool = False) -> DataFrame:
-    """One column ``value``; splittable, any line end. With ``header`` the first line of every file is left out."""
+    """One column ``value``; splittable, any line end, blank lines included.
+
+    With ``header`` the first line of every file is left out, whatever it holds.
+    """
+    raw = spark.read.text(path)
     if header:
-        # a field sign that no line holds and no quotes: whole lines, without each file's first
-        raw = spark.read.option("sep", "\x01").option("quote", "").option("header", True).schema("value STRING").csv(path)
-    else:
-        raw = spark.read.text(path)
+        placed = raw.select(
+            F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"))
+        raw = in_batches(placed, _without_first_lines, "value binary").select(F.col("value").cast("string").alias("value"))
     return raw.select(decoded(F.col("value"), encoding).alias("value"))
 
 
+def _without_first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines but the first one of each file's first block; the blocks of a task come one after the other."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("file"), batch.column("block").to_numpy()
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+        new[0] = last != (file[0].as_py(), int(block[0]))
+        last = (file[-1].as_py(), int(block[-1]))
+        yield batch.select(["value"]).filter(pa.array(~(new & (block == 0))))
+
+
 def header_fields(spark: SparkSession, path: str, delimiter: str = "|") -> list[str]:
     first = spark.read.text(path).head()
     return first[0].split(delimiter) if first else []

@@ -25,10 +25,7 @@ def dataset_of(name: str) -> str | None:
 
 def route(name: Column) -> Column:
     """``dataset_of`` as a column expression."""
-    expr = F
-    for pattern, dataset in K.DELIVERY_ROUTES:
-        expr = expr.when(F.lower(name).contains(pattern), dataset)
-    return expr
+    return F.coalesce(*[F.when(F.lower(name).contains(p), F.lit(dataset)) for p, dataset in K.DELIVERY_ROUTES])
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:

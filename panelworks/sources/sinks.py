@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", encoding: str = "utf-8", header: bool = True) -> None:
@@ -39,6 +40,20 @@ def replaced_by_key(existing: DataFrame, new: DataFrame, keys: Sequence[str]) ->
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def write_documents(df: DataFrame, path: str, key: str, name: str = "version") -> None:
+    """One JSON document per row under ``<path>/<key>=<value>/``; the document repeats its key as ``name``.
+
+    Missing values are written as null, so every document has all fields.
+    """
+    rows = df.select("*", F.col(key).alias(name)).hint("rebalance", key)
+    rows.write.mode("overwrite").option("ignoreNullFields", False).partitionBy(key).json(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Documents read back with the schema they were written with; a field that does not fit it raises."""
+    return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A stored table; with its schema partition values keep their type (half-years are text)."""
     reader = spark.read if schema is None else spark.read.schema(schema)
