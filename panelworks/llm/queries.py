@@ -47,7 +47,7 @@ def op9_language_id(spark, sf_dir):
 
 
 def op10_suffix_dedup(spark, sf_dir):
-    return suffixes.without_repeats(table(spark, sf_dir, "documents")).select(
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

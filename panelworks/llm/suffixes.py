@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import importable, in_arrow, packed
+from panelworks.llm.common import blocks, importable, in_arrow, packed
 from panelworks.session import materialise
 
 LENGTH = 100
 GRAM = 24
 LEFT = LENGTH - GRAM  # most bytes of a string in front of its anchor
+WIDE, WIDE_LEFT = -(-LENGTH // 8) * 8, -(-LEFT // 8) * 8  # rows of whole sort keys: sorted as they stand, without a copy
 GROUP_BYTES = 8 << 20
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -103,9 +104,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def multikey_order(rows: np.ndarray) -> np.ndarray:
     """Order of byte rows by multikey quicksort, eight bytes a key: only ties go on to the next key."""
     n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    keys = padded.view(">u8")
+    if width % 8:
+        padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+        padded[:, :width] = rows
+        rows = padded
+    keys = rows.view(">u8")
     order, group = np.arange(n), np.zeros(n, np.int64)
     tied = np.arange(n)  # places in the order that are not settled
     for k in range(keys.shape[1]):
@@ -178,7 +181,7 @@ def _matrix(raw: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, st
 
 
 def _around(raw, place, least, most):
-    return _matrix(raw, place, LENGTH - least, LENGTH), _matrix(raw, place - 1, most, LEFT, -1)
+    return _matrix(raw, place, LENGTH - least, WIDE), _matrix(raw, place - 1, most, WIDE_LEFT, -1)
 
 
 def _hashes_by_bucket(buckets: int):
@@ -187,8 +190,11 @@ def _hashes_by_bucket(buckets: int):
         for batch in batches:
             raw, at = packed(batch.column("text"))
             groups = batch.column("g").to_numpy()
-            place, hashed, _, _ = anchors(raw, at)
-            of = groups[np.searchsorted(at, place, "right") - 1]
+            parts = [(np.zeros(0, np.uint64), groups[:0])]
+            for a, b in blocks(at):
+                place, hashed, _, _ = anchors(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                parts.append((hashed, groups[np.searchsorted(at, place + at[a], "right") - 1]))
+            hashed, of = (np.concatenate(x) for x in zip(*parts))
             # an anchor's hash is the least of many, so its leading bits are uneven; the trailing ones are not
             bucket = ((hashed & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((of, hashed, bucket))
@@ -253,7 +259,9 @@ def _settle(texts: pa.Table, shared: pa.Table) -> pa.Table:
             keep.append(i)
     keep = np.array(keep, int)
     doc, k1, k2 = doc[keep], k1[keep], k2[keep]
-    column = texts.column("text").take(pa.array(keep))
+    column = texts.column("text")
+    if len(keep) < texts.num_rows or (np.diff(keep) != 1).any():
+        column = column.take(pa.array(keep))
     raw, at = packed(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
     place, hashed, least, most = anchors(raw, at)
     of = np.searchsorted(at, place, "right") - 1
@@ -299,7 +307,7 @@ def _compare(batches):
     doc, k1, k2, place = doc[order], k1[order], k2[order], place[order]
     least, most = (table.column(c).to_numpy().astype(np.int64) for c in ("least", "most"))
     sides = []
-    for name, width in (("after", LENGTH), ("before", LEFT)):
+    for name, width in (("after", WIDE), ("before", WIDE_LEFT)):
         column = table.column(name).combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         raw, at = packed(column.cast(pa.large_binary()).view(pa.large_string()))
@@ -359,39 +367,46 @@ def repeated_ranges(texts: DataFrame, total_bytes: int) -> DataFrame:
     return out
 
 
-def _cut(batches):
-    for batch in batches:
-        raw, at = packed(batch.column("text"))
-        whole = raw.tobytes()
-        lows, highs = batch.column("lows"), batch.column("highs")
-        removed, spans, digests, kept = [], [], [], []
-        for i in range(batch.num_rows):
-            text = whole[at[i] : at[i + 1]]
-            if lows[i].is_valid:
-                low, high = (np.asarray(x[i].values.to_numpy(zero_copy_only=False), np.int64) for x in (lows, highs))
-                order = np.argsort(low, kind="stable")
-                low, high = low[order], np.maximum.accumulate(high[order])
-                new = np.ones(len(low), bool)
-                new[1:] = low[1:] > high[:-1]
-                start = low[new]
-                stop = high[np.append(np.nonzero(new)[0][1:], len(low)) - 1]
-                pieces = [text[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(text)])]
-                rest = b"".join(pieces)
-            else:
-                start, rest = (), text
-            removed.append(len(text) - len(rest))
-            spans.append(len(start))
-            digests.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-             pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(keep_bytes: bool):
+    """What is left of each text without its ranges, block by block."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+    def fn(batches):
+        for batch in batches:
+            raw, at = packed(batch.column("text"))
+            lows, highs = batch.column("lows"), batch.column("highs")
+            for a, b in blocks(at):
+                whole = raw[at[a] : at[b]].tobytes()
+                removed, spans, digests, kept = [], [], [], []
+                for i in range(a, b):
+                    text = whole[at[i] - at[a] : at[i + 1] - at[a]]
+                    if lows[i].is_valid:
+                        low, high = (np.asarray(x[i].values.to_numpy(zero_copy_only=False), np.int64) for x in (lows, highs))
+                        order = np.argsort(low, kind="stable")
+                        low, high = low[order], np.maximum.accumulate(high[order])
+                        new = np.ones(len(low), bool)
+                        new[1:] = low[1:] > high[:-1]
+                        start = low[new]
+                        stop = high[np.append(np.nonzero(new)[0][1:], len(low)) - 1]
+                        rest = b"".join([text[x:y] for x, y in zip([0, *stop.tolist()], [*start.tolist(), len(text)])])
+                    else:
+                        start, rest = (), text
+                    removed.append(len(text) - len(rest))
+                    spans.append(len(start))
+                    digests.append(hashlib.sha256(rest).hexdigest())
+                    if keep_bytes:
+                        kept.append(rest)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at[a : b + 1])), pa.array(removed, pa.int64()),
+                     pa.array(spans, pa.int64()), pa.array(digests, pa.string()),
+                     pa.array(kept, pa.binary()) if keep_bytes else pa.nulls(b - a, pa.binary())], names)
+    return fn
 
 
-def without_repeats(docs: DataFrame, most_listed: int = 1_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row.
+def without_repeats(docs: DataFrame, most_listed: int = 1_000_000, keep_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the kept bytes, of every row.
 
+    Without ``keep_bytes`` the column ``kept`` is null and the bytes stay in their task.
     A null text counts as empty, and nothing is removed from a text of fewer
     than 100 bytes. A text that a smaller doc_id has as well goes as a whole; rows
     with the same id and text count as one document, and get the same result.
@@ -408,11 +423,11 @@ def without_repeats(docs: DataFrame, most_listed: int = 1_000_000) -> DataFrame:
         keyed.where(long_enough).groupBy("k1", "k2").agg(
             F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes")), "text-copies")
     total, number = copies.agg(F.sum("bytes"), F.sum("n")).first()
-    empty = F.lit("").cast("binary")
+    empty, none = F.lit("").cast("binary"), F.lit(None).cast("binary")
     short = keyed.where(~long_enough).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-        F.col("text").cast("binary").alias("kept"))
+        (F.col("text").cast("binary") if keep_bytes else none).alias("kept"))
     if not number:
         return short
     hot = copies.where(F.col("n") > max(64, number // most_listed)).select("k1", "k2", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
@@ -421,9 +436,12 @@ def without_repeats(docs: DataFrame, most_listed: int = 1_000_000) -> DataFrame:
     later = F.coalesce(later, F.lit(False))
     gone = marked.where(later).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("text").cast("long").alias("n_removed"),
-        F.lit(1).cast("long").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), empty.alias("kept"))
-    rest = marked.where(~later).select("doc_id", "text", "k1", "k2")
-    ranges = repeated_ranges(rest.select("k1", "k2", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), "text"), int(total))
+        F.lit(1).cast("long").alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"), (empty if keep_bytes else none).alias("kept"))
+    rest = marked.where(~later).select("doc_id", "text", "k1", "k2", "hot")
+    texts = rest.select("k1", "k2", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), "text", "hot")
+    # a frequent text's rows of one id, or without an id, count as one: each task sends one of them on
+    frequent = texts.where("hot").groupBy("k1", "k2", "doc").agg(F.first("text").alias("text"))
+    ranges = repeated_ranges(texts.where("hot is null").drop("hot").unionByName(frequent), int(total))
     lists = ranges.groupBy("k1", "k2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     known = copies.select("k1", "k2", "first").join(lists, ["k1", "k2"], "left")
     joined = rest.join(known, ["k1", "k2"])
@@ -431,5 +449,5 @@ def without_repeats(docs: DataFrame, most_listed: int = 1_000_000) -> DataFrame:
     cut = joined.select(
         "doc_id", "text", F.when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.col("lows")).alias("lows"),
         F.when(copy, F.array(F.octet_length("text").cast("long"))).otherwise(F.col("highs")).alias("highs"))
-    done = in_arrow(cut, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = in_arrow(cut, _cut(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.unionByName(gone).unionByName(short)
