@@ -21,6 +21,15 @@ def clean_id(column: Column) -> Column:
     return F.nullif(F.regexp_replace(head, "[^0-9]", ""), F.lit(""))
 
 
+# what a text must look like to be read as a double; a cast of any other text fails through an exception, which is slow
+_NUMBER = (r"^[\x00-\x20]*[-+]?((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?[dDfF]?|(?i:inf|infinity|nan)|0[xX].*)[\x00-\x20]*$")
+
+
+def number(column: Column) -> Column:
+    """The text as a double, NULL when it is none: ``try_cast`` without an exception for every other text."""
+    return F.when(column.rlike(_NUMBER), column.try_cast("double"))
+
+
 def decimal_point(column: Column) -> Column:
     """Trimmed text, with a decimal comma written as a point."""
     text = F.trim(column)
@@ -30,14 +39,12 @@ def decimal_point(column: Column) -> Column:
 def strict_number(column: Column) -> Column:
     """Plain unsigned decimal with point or comma; anything else is NULL."""
     text = F.trim(column)
-    number = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(text.rlike(r"^\d+([.,]\d+)?$"), number)
+    return F.when(text.rlike(r"^\d+([.,]\d+)?$"), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
 
 
 def loose_number(column: Column) -> Column:
     """Digits, commas and points only; shapes that are no number give NULL."""
-    number = F.replace(column, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(column.rlike(r"^[0-9,\.]+$"), number)
+    return F.when(column.rlike(r"^[0-9,\.]+$"), number(F.replace(column, F.lit(","), F.lit("."))))
 
 
 def drop_tokens(column: Column, tokens: Iterable[str] = K.NULL_TOKENS) -> Column:
@@ -55,10 +62,9 @@ def map_values(column: Column, mapping: Mapping[str, str]) -> Column:
 
 def day_text(column: Column) -> Column:
     """``d/M/yyyy`` or ``yyyy-M-d`` text as ``yyyy-MM-dd``; NULL for anything else."""
-    parsed = F.coalesce(
-        F.try_to_timestamp(column, F.lit("d/M/yyyy")),
-        F.try_to_timestamp(column, F.lit("yyyy-M-d")),
-    )
+    # each text meets the one format its sign allows: a parse that fails costs an exception
+    parsed = F.when(column.contains("/"), F.try_to_timestamp(column, F.lit("d/M/yyyy"))).when(
+        column.contains("-"), F.try_to_timestamp(column, F.lit("yyyy-M-d")))
     return F.date_format(parsed, "yyyy-MM-dd")
 
 

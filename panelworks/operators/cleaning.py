@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
-from panelworks.functions.text import day_text, drop_tokens, map_values
+from panelworks.functions.text import day_text, drop_tokens, map_values, number
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,11 @@ def cast_columns(df: DataFrame, types: Mapping[str, str], whole: bool = False) -
         if name not in df.columns:
             continue
         column = F.col(f"`{name}`")
-        number = F.trim(column).try_cast("double")
+        value = number(F.trim(column))
         if kind == "float" or (kind == "int" and not whole):
-            exprs[name] = number
+            exprs[name] = value
         elif kind == "int":
-            exprs[name] = number.try_cast("long")
+            exprs[name] = value.try_cast("long")
         else:
             exprs[name] = column.cast({"str": "string"}.get(kind, kind))
     return df.withColumns(exprs) if exprs else df

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import ratio
+from panelworks.functions.text import number
 from panelworks.operators.ordered import exact_quantiles, running_totals
 from panelworks.session import materialise
 
@@ -24,10 +25,25 @@ def _names(a: DataFrame, b: DataFrame, columns: Sequence[str] | None) -> list[st
     return sorted(columns or set(a.columns) | set(b.columns))
 
 
-def _present(column: str) -> Column:
-    """Text of a cell; empty text and a not-a-number count as missing."""
-    text = F.nullif(F.col(f"`{column}`").cast("string"), F.lit(""))
-    return F.when(~F.isnan(F.coalesce(text.try_cast("double"), F.lit(0.0))), text)
+def _melted(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per cell of either side: column number ``_c``, ``side``, its text ``valor`` and as a number ``v``.
+
+    Empty text and a not-a-number are missing. What follows works on this one text
+    column, so the code that is generated for it does not grow with the table's width.
+    """
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("string").alias("t"))
+                          for i, c in enumerate(names) if c in df.columns])
+        return df.select(F.inline(pairs), F.lit(side).alias("side"))
+
+    value = number(F.col("t"))
+    missing = (F.col("t") == "") | F.isnan(F.coalesce(value, F.lit(0.0)))
+    both = cells(a, "a").unionByName(cells(b, "b"))
+    return both.select("_c", "side", F.when(~missing, F.col("t")).alias("valor"), F.when(~missing, value).alias("v"))
+
+
+def _named(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col("_c") + 1).alias("columna")
 
 
 def date_columns(a: DataFrame, b: DataFrame) -> list[str]:
@@ -41,61 +57,36 @@ def column_kinds(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = Non
 
     A column one side lacks has no rows on that side. A column is numeric when every
     present value of side A (of side B when A lacks the column, or has no rows) is a
-    number, and a date when its type says so. No cell is shuffled.
+    number, and a date when its type says so. Sums per column are all that is shuffled.
     """
     names = _names(a, b, columns)
-
-    def totals(df: DataFrame, side: str) -> DataFrame:
-        own = [c for c in names if c in df.columns]
-        sums = [F.count(F.lit(1)).alias("_n")]
-        for i, c in enumerate(own):
-            text = _present(c)
-            sums += [F.count(text).alias(f"_k{i}"), F.count_if(text.isNotNull() & text.try_cast("double").isNull()).alias(f"_o{i}")]
-        cells = [F.struct(F.lit(c).alias("columna"), F.col("_n").alias("n"), (F.col("_n") - F.col(f"_k{i}")).alias("missing"),
-                          F.col(f"_o{i}").alias("odd")) for i, c in enumerate(own)]
-        return df.agg(*sums).select(F.lit(side).alias("side"), F.inline(F.array(*cells)))
-
-    both = totals(a, "a").unionByName(totals(b, "b"))
-
-    def of(side: str, what: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col(what))), F.lit(0))
-
-    out = both.groupBy("columna").agg(*[
-        of(side, what).alias(f"{name}_{side}") for what, name in (("n", "rows"), ("missing", "null"), ("odd", "_odd")) for side in "ab"])
+    present, odd = F.col("valor").isNotNull(), F.col("valor").isNotNull() & F.col("v").isNull()
+    sums = []
+    for side in "ab":
+        here = F.col("side") == side
+        sums += [F.count_if(here).alias(f"rows_{side}"), F.count_if(here & ~present).alias(f"null_{side}"),
+                 F.count_if(here & odd).alias(f"_odd_{side}")]
+    out = _melted(a, b, names).groupBy("_c").agg(*sums).select(_named(names), *[f"{c}_{x}" for c in ("rows", "null", "_odd") for x in "ab"])
     odd = F.when(F.col("rows_a") > 0, F.col("_odd_a")).otherwise(F.col("_odd_b"))
     kind = F.when(F.col("columna").isin(date_columns(a, b)), "datetime").when(odd == 0, "numeric").otherwise("categorical")
     return materialise(out.withColumn("tipo", kind).drop("_odd_a", "_odd_b"), "comparison-kinds")
 
 
-def _melted(df: DataFrame, names: list[str], cell, side: str) -> DataFrame:
-    pairs = F.array(*[cell(i, c) for i, c in enumerate(names) if c in df.columns])
-    return df.select(F.inline(pairs), F.lit(int(side == "a")).alias("_a"), F.lit(int(side == "b")).alias("_b"))
-
-
-def _counted(a: DataFrame, b: DataFrame, names: list[str], cell, keys: Sequence[str]) -> DataFrame:
-    both = _melted(a, names, cell, "a").unionByName(_melted(b, names, cell, "b"))
-    counts = both.groupBy("_c", *keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
-    columna = F.element_at(F.array(*map(F.lit, names)), F.col("_c") + 1)
-    return counts.select(columna.alias("columna"), *keys, "n_a", "n_b")
-
-
 def cell_counts(a: DataFrame, b: DataFrame, kinds: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(columna, v, h1, h2, n_a, n_b), stored: numeric columns by value, others by the digest of their text.
 
     A missing cell has neither.
     """
+    names = _names(a, b, columns)
     numeric = {r[0] for r in kinds.where("tipo = 'numeric'").select("columna").collect()}  # one row per column
-
-    def cell(i: int, c: str) -> Column:
-        text = _present(c)
-        if c in numeric:
-            v, one, two = text.try_cast("double"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        else:
-            v = F.lit(None).cast("double")
-            one, two = (F.when(text.isNotNull(), h) for h in (F.xxhash64(text), F.xxhash64(F.lit("other seed"), text)))
-        return F.struct(F.lit(i).alias("_c"), v.alias("v"), one.alias("h1"), two.alias("h2"))
-
-    return materialise(_counted(a, b, _names(a, b, columns), cell, ["v", "h1", "h2"]), "comparison-counts")
+    is_number = F.col("_c").isin([i for i, c in enumerate(names) if c in numeric])
+    coded = ~is_number & F.col("valor").isNotNull()
+    cells = _melted(a, b, names).select(
+        "_c", "side", F.when(is_number, F.col("v")).alias("v"),
+        F.when(coded, F.xxhash64("valor")).alias("h1"), F.when(coded, F.xxhash64(F.lit("other seed"), "valor")).alias("h2"))
+    keys = ["v", "h1", "h2"]
+    counts = cells.groupBy("_c", *keys).agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "ab"])
+    return materialise(counts.select(_named(names), *keys, "n_a", "n_b"), "comparison-counts")
 
 
 def text_counts(a: DataFrame, b: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -103,8 +94,8 @@ def text_counts(a: DataFrame, b: DataFrame, kinds: DataFrame) -> DataFrame:
     names = sorted(r[0] for r in kinds.where("tipo <> 'numeric'").select("columna").collect())
     if not names:
         return a.sparkSession.createDataFrame([], "columna string, valor string, n_a long, n_b long")
-    cell = lambda i, c: F.struct(F.lit(i).alias("_c"), _present(c).alias("valor"))
-    return materialise(_counted(a, b, names, cell, ["valor"]), "comparison-texts")
+    counts = _melted(a, b, names).groupBy("_c", "valor").agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "ab"])
+    return materialise(counts.select(_named(names), "valor", "n_a", "n_b"), "comparison-texts")
 
 
 def _of_kind(counts: DataFrame, kinds: DataFrame, numeric: bool) -> DataFrame:
@@ -178,7 +169,7 @@ def top_categories(values: DataFrame, kinds: DataFrame, top: int = 10) -> DataFr
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, missing share, mean, sample deviation, minimum, quartiles and maximum per column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).try_cast("double").alias("v")) for c in columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("columna"), number(F.col(c).cast("string")).alias("v")) for c in columns])
     long = df.select(F.inline(pairs))
     base = long.groupBy("columna").agg(
         F.count(F.lit(1)).alias("n"), (F.avg(F.col("v").isNull().cast("double")) * 100).alias("missing_pct"),

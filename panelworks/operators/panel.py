@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
 from panelworks.functions import periods as P
 from panelworks.functions.numeric import ratio
-from panelworks.functions.text import iso_day
+from panelworks.functions.text import iso_day, number
 from panelworks.operators.status import completed_students
 
 
@@ -87,7 +87,7 @@ def _declared_term(history: DataFrame):
 
 
 def _course_sums():
-    grade = F.nullif(F.col("nota"), F.lit("")).try_cast("double")
+    grade = number(F.col("nota"))
     return (
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("resultado").ilike("Promoc%").cast("long")).alias("promoted"),
@@ -126,14 +126,15 @@ def course_cells(history: DataFrame) -> DataFrame:
     return keyed.groupBy("legajo", "real", "declared", "cod_carrera").agg(*_course_sums())
 
 
-def period_facts(history: DataFrame, progress: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+def period_facts(history: DataFrame, progress: DataFrame, spec: PanelSpec = PanelSpec(), last: Column | None = None) -> DataFrame:
     """Sparse facts: one row per (student, half-year) with activity or courses.
 
     Activity before the calendar start becomes one anchor row at the start, so
-    the trajectory begins there without counting as active.
+    the trajectory begins there without counting as active. ``last`` is the last
+    half-year where the caller has it already.
     """
     floor = spec.first_index
-    last = last_period(history, spec).scalar()
+    last = last_period(history, spec).scalar() if last is None else last
     cells = course_cells(history).repartition("legajo")
     real, declared = F.col("real"), F.col("declared")
     inside = real >= floor
@@ -184,8 +185,9 @@ def dense_panel(history: DataFrame, progress: DataFrame, spec: PanelSpec = Panel
     Gaps are filled from the sparse facts: each fact row is repeated up to the
     period before the next one, so no range join and no join with the grid.
     """
-    facts = period_facts(history, progress, spec)
+    # one scalar for both uses, from the date column alone
     last = last_period(history, spec).scalar()
+    facts = period_facts(history, progress, spec, last)
     order = Window.partitionBy("legajo").orderBy("period")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sparse = facts.select(

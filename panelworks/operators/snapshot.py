@@ -50,11 +50,14 @@ def in_whitelist(df: DataFrame, column: str, codes: Sequence[str] = K.PROGRAMME_
 
 
 def canonical_rows(
-    flat: DataFrame, spec: CanonicalSpec, whitelist: Sequence[str] = K.PROGRAMME_WHITELIST
+    flat: DataFrame, spec: CanonicalSpec, whitelist: Sequence[str] = K.PROGRAMME_WHITELIST, several: bool = True
 ) -> DataFrame:
-    """Latest delivery, cleaned ids, whitelist, digest, exact dedup — without load time."""
+    """Latest delivery, cleaned ids, whitelist, digest, exact dedup — without load time.
+
+    ``several`` is off when ``flat`` holds the latest delivery only, as read from its partition.
+    """
     rules = {"legajo": clean_id, **spec.normalise}
-    cleaned = latest_delivery(flat).select(
+    cleaned = (latest_delivery(flat) if several else flat).select(
         "academic_period",
         *[rules.get(c, lambda x: x)(F.col(c)).alias(c) for c in spec.columns],
     )
@@ -78,3 +81,19 @@ def unarchived(current: DataFrame, history: DataFrame) -> DataFrame:
 def archived(current: DataFrame, history: DataFrame) -> DataFrame:
     """History after archiving ``current``."""
     return history.unionByName(unarchived(current, history))
+
+
+ARCHIVE_KEYS = ("row_hash", "academic_period")
+
+
+def append_archive(current: DataFrame, table: str, path: str, buckets: int = 32) -> None:
+    """Add the rows of ``current`` that the stored archive does not hold yet.
+
+    The archive is a table bucketed by (digest, delivery) under ``path``: to find
+    what is new only the new delivery is shuffled, into the archive's buckets, and
+    the archive is read where it lies. A first call creates it.
+    """
+    spark = current.sparkSession
+    new = unarchived(current, spark.table(table)) if spark.catalog.tableExists(table) else current
+    placed = new.repartition(buckets, *ARCHIVE_KEYS)
+    placed.write.bucketBy(buckets, *ARCHIVE_KEYS).mode("append").option("path", path).saveAsTable(table)

@@ -16,7 +16,9 @@ from panelworks.operators import splits as SP
 from panelworks.operators import status as ST
 from panelworks.operators.snapshot import in_whitelist, latest_delivery
 from panelworks.plans import fixtures as X
-from panelworks.session import materialise
+from panelworks.session import materialise, scratch_path
+from panelworks.sources.delivery import latest_partition
+from panelworks.sources.sinks import read_table, replace_table
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -28,9 +30,24 @@ def _once(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
+_staging: dict[tuple[str, str, str], str] = {}
+
+
+def staging(spark: SparkSession, folder: str, name: str, build) -> str:
+    """Path of a dataset's deliveries, stored once in one partition per delivery."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _staging:
+        path = scratch_path(spark, f"staging-{name}")
+        replace_table(build(), path, ["academic_period"])
+        _staging[key] = path
+    return _staging[key]
+
+
 def history_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical history, built from the raw tables (not stored)."""
-    rows = latest_delivery(X.history(spark, folder)).withColumn("legajo", clean_id(F.col("legajo")))
+    """Canonical history from the partition of the last staged delivery (not stored)."""
+    raw = X.history(spark, folder)
+    rows = latest_partition(spark, staging(spark, folder, "history", lambda: raw), raw.schema)
+    rows = rows.select(*raw.columns).withColumn("legajo", clean_id(F.col("legajo")))
     return in_whitelist(rows.where(F.col("legajo").isNotNull()), "cod_carrera", X.WHITELIST).distinct()
 
 
@@ -63,8 +80,14 @@ def status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder, "panel", lambda: PN.student_panel(
-        history(spark, folder), progress(spark, folder), X.SPEC))
+    """The stored panel, in one partition per half-year: a cutoff or a period prunes files."""
+    key = (spark.sparkContext.applicationId, folder, "panel")
+    if key not in _stored:
+        rows = PN.student_panel(history(spark, folder), progress(spark, folder), X.SPEC)
+        path = scratch_path(spark, "panel")
+        replace_table(rows.hint("rebalance", "academic_period"), path, ["academic_period"])
+        _stored[key] = read_table(spark, path, rows.schema).select(*rows.columns)
+    return _stored[key]
 
 
 def modelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -275,8 +275,9 @@ def can_01_absent(s, d):
 
 
 def can_02(s, d):
-    rows = SN.latest_delivery(R.raw_history(s, d))
-    return rows.select("academic_period", "ID", "NRO_ACTA", "COD_MATERIA")
+    """The last delivery by its partition folder: the others are neither listed nor read."""
+    raw = R.raw_history(s, d).select("academic_period", "ID", "NRO_ACTA", "COD_MATERIA")
+    return DV.latest_partition(s, M.staging(s, d, "raw_history", lambda: raw), raw.schema)
 
 
 def can_03(s, d):
@@ -305,7 +306,9 @@ def can_07(s, d):
 
 
 def can_08_history(s, d):
-    return SN.canonical_rows(SN.flatten(R.staged_history(s, d), K.HISTORY_KEYS), SN.HISTORY, X.WHITELIST)
+    staged = R.staged_history(s, d)
+    last = DV.latest_partition(s, M.staging(s, d, "history_payloads", lambda: staged), staged.schema)
+    return SN.canonical_rows(SN.flatten(last, K.HISTORY_KEYS), SN.HISTORY, X.WHITELIST, several=False)
 
 
 def _staged_canonical(rows, keys, spec):
@@ -331,10 +334,15 @@ def _hashed(s, d):
 def can_09(s, d):
     """Archive a snapshot into a history that already holds part of it."""
     rows = _hashed(s, d)
-    current = SN.latest_delivery(rows)
-    held = rows.where((F.col("academic_period") < X.LATEST) | (F.col("nro_acta").cast("long") % 3 == 0))
-    after = SN.archived(current, SN.archived(current, held))
-    return after.groupBy("academic_period").agg(
+    staged = M.staging(s, d, "hashed_history", lambda: rows)
+    current = DV.latest_partition(s, staged, rows.schema).select(*rows.columns)
+    held = SK.read_table(s, staged, rows.schema).select(*rows.columns).where(
+        (F.col("academic_period") < X.LATEST) | (F.col("nro_acta").cast("long") % 3 == 0))
+    path = scratch_path(s, "archive")
+    table = f"archive_{path.rsplit('-', 1)[-1]}"
+    for delivery in (held, current, current):  # a second archiving of the same delivery adds nothing
+        SN.append_archive(delivery, table, path, 8)
+    return s.table(table).groupBy("academic_period").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_hash").alias("n_hashes"))
 
 

@@ -1,4 +1,4 @@
-"""Panel and status queries, built from the raw tables in one plan each."""
+"""Panel and status queries, built from the stored canonical history in one plan each."""
 
 from __future__ import annotations
 
@@ -16,13 +16,13 @@ PANEL_DOUBLES = ("nota_media_en_periodo", "nota_win3", "promo_rate_period", "pro
 
 
 def _dense(s, d):
-    return PN.dense_panel(M.history_rows(s, d), M.progress_rows(s, d), X.SPEC).withColumn(
+    return PN.dense_panel(M.history(s, d), M.progress(s, d), X.SPEC).withColumn(
         "academic_period", P.period_label(F.col("period"))
     )
 
 
 def _panel(s, d):
-    return PN.student_panel(M.history_rows(s, d), M.progress_rows(s, d), X.SPEC)
+    return PN.student_panel(M.history(s, d), M.progress(s, d), X.SPEC)
 
 
 def label_counts(s, d):

@@ -91,5 +91,22 @@ def append_staged(staged: DataFrame, path: str, replace_period: bool = False) ->
         writer.mode("append").parquet(path)
 
 
+def deliveries(spark: SparkSession, path: str, tag: str = "academic_period") -> list[str]:
+    """Partition folders of a stored table, the lexicographically last delivery last; no file is opened."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted((n for n in names if n.startswith(f"{tag}=")), key=lambda n: unquote(n.split("=", 1)[1]))
+
+
+def latest_partition(spark: SparkSession, path: str, schema, tag: str = "academic_period") -> DataFrame:
+    """The last delivery of a stored table: its tag comes from the folder names, and only its files are listed and read."""
+    found = deliveries(spark, path, tag)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path.rstrip('/')}/{found[-1]}")
+
+
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("payload STRING, ingested_at TIMESTAMP, academic_period STRING").parquet(path)
