@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelworks import constants as K
 from panelworks.functions import periods as P
-from panelworks.functions.numeric import rounded
+from panelworks.functions.numeric import ratio, rounded
 from panelworks.operators import metrics as ME
 from panelworks.operators import modeling as MO
 from panelworks.operators import resample as RS
@@ -57,8 +57,14 @@ def train_sizes(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def rolling_backtest(rows: DataFrame, tests: Sequence[str], fit: Fit, replicates: int = K.BOOTSTRAP_REPLICATES
                      ) -> DataFrame:
     """One row of ranking, calibration and top-share metrics per origin."""
-    pairs, by = SP.origins(tests), ["origin", "test_period"]
-    scored = scored_pairs(rows, pairs, fit)
+    pairs = SP.origins(tests)
+    return backtest_table(scored_pairs(rows, pairs, fit), rows, pairs, replicates)
+
+
+def backtest_table(scored: DataFrame, rows: DataFrame, pairs: Sequence[tuple[str, str]], replicates: int = K.BOOTSTRAP_REPLICATES
+                   ) -> DataFrame:
+    """``rolling_backtest`` from the stored scores of every origin."""
+    by = ["origin", "test_period"]
     middle = exact_quantiles(scored, by, "days", {"_m": 0.5})
     based = null_safe_join(scored, middle, by, "left").withColumn("base", F.coalesce(F.col("days").cast("double"), "_m"))
     flat = ME.threshold_metrics(scored, by)
@@ -87,8 +93,14 @@ def rolling_backtest(rows: DataFrame, tests: Sequence[str], fit: Fit, replicates
 def incremental_training(rows: DataFrame, cutoffs: Sequence[str], test: str, fit: Fit,
                          replicates: int = K.BOOTSTRAP_REPLICATES) -> DataFrame:
     """AUC with interval on one test period as the training history grows."""
-    pairs, by = [(c, test) for c in cutoffs], ["origin", "test_period"]
-    scored = scored_pairs(rows, pairs, fit)
+    pairs = [(c, test) for c in cutoffs]
+    return incremental_table(scored_pairs(rows, pairs, fit), rows, pairs, replicates)
+
+
+def incremental_table(scored: DataFrame, rows: DataFrame, pairs: Sequence[tuple[str, str]],
+                      replicates: int = K.BOOTSTRAP_REPLICATES) -> DataFrame:
+    """``incremental_training`` from the stored scores of every cutoff."""
+    by = ["origin", "test_period"]
     out = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test"))
     out = null_safe_join(out, train_sizes(rows, pairs), by)
     out = null_safe_join(out, ME.roc_auc(scored, by), by)
@@ -101,6 +113,11 @@ def incremental_training(rows: DataFrame, cutoffs: Sequence[str], test: str, fit
 def unseen_students(rows: DataFrame, test: str, fit: Fit, horizon: int = K.LABEL_HORIZON,
                     replicates: int = K.BOOTSTRAP_REPLICATES) -> DataFrame:
     """AUC on known and new students, and with the test students removed from training."""
+    return unseen_table(unseen_scores(rows, test, fit, horizon), rows, test, horizon, replicates)
+
+
+def unseen_scores(rows: DataFrame, test: str, fit: Fit, horizon: int = K.LABEL_HORIZON) -> DataFrame:
+    """Test rows scored by the model of all training rows (full) and of other students only (grouped), stored."""
     cutoff = P.shift_label(test, horizon)
     train, tested = _upto(rows, cutoff), _at(rows, test)
     strict = SP.without_students_of(train, tested)
@@ -111,7 +128,15 @@ def unseen_students(rows: DataFrame, test: str, fit: Fit, horizon: int = K.LABEL
     columns = [F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "seen"]
     both = full.select(F.lit("full").alias("kind"), *columns).unionByName(
         apart.select(F.lit("grouped").alias("kind"), *columns))
-    stored = materialise(both, "unseen")
+    return materialise(both, "unseen")
+
+
+def unseen_table(stored: DataFrame, rows: DataFrame, test: str, horizon: int = K.LABEL_HORIZON,
+                 replicates: int = K.BOOTSTRAP_REPLICATES) -> DataFrame:
+    """``unseen_students`` from the stored scores."""
+    cutoff = P.shift_label(test, horizon)
+    train = _upto(rows, cutoff)
+    strict = SP.without_students_of(train, _at(rows, test))
     whole = ME.roc_auc(stored, ["kind"])
     parts = ME.roc_auc(stored.where("kind = 'full'"), ["seen"]).select(
         F.when(F.col("seen"), "seen").otherwise("new").alias("kind"), "auc")
@@ -190,6 +215,12 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     Rows are numbered once and once more per repeat in another hash order; equal
     numbers exchange values. All (feature, repeat) copies are scored in one job.
     """
+    return permutation_table(permuted_scores(model, test, features, repeats, key, label, seed))
+
+
+def permuted_scores(model: PipelineModel, test: DataFrame, features: Sequence[str], repeats: int = K.PERMUTATION_REPEATS,
+                    key: str = "legajo", label: str = "dropout_next", seed: int = K.SEED) -> DataFrame:
+    """(feature, repeat, y, p) of all shuffled copies, stored; the untouched rows have an empty feature."""
     features = list(features)
     rows = test.select(F.col(key).alias("_id"), F.col(label).alias("_y"), *features)
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
@@ -208,7 +239,11 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     ])
     shuffled = met.select("repeat", F.col("_y").alias("y"), F.inline(copies))
     untouched = base.select(F.lit(0).alias("repeat"), F.col("_y").alias("y"), F.lit("").alias("feature"), *features)
-    scored = materialise(MO.score(model, shuffled.unionByName(untouched)).select("feature", "repeat", "y", "p"), "permuted")
+    return materialise(MO.score(model, shuffled.unionByName(untouched)).select("feature", "repeat", "y", "p"), "permuted")
+
+
+def permutation_table(scored: DataFrame) -> DataFrame:
+    """``permutation_importance`` from the stored scores."""
     aucs = ME.roc_auc(scored, ["feature", "repeat"])
     whole = aucs.where("feature = ''").select("auc").scalar()
     return aucs.where("feature <> ''").withColumn("_drop", whole - F.col("auc")).groupBy("feature").agg(
@@ -221,26 +256,55 @@ def versions_scored(models: dict[str, PipelineModel], val: DataFrame) -> DataFra
     out = None
     for version, model in models.items():
         part = MO.score(model, val).select(
-            F.lit(version).alias("version"), F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p")
+            F.lit(version).alias("version"), PERIOD, F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p")
         out = part if out is None else out.unionByName(part)
     return materialise(out, "versions")
 
 
-def version_summary(scored: DataFrame) -> DataFrame:
-    """Ranking, class and size figures per model version."""
-    by = ["version"]
+def version_sizes(rows: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    """Training rows of each version, which is named by its cutoff: one pass for all versions."""
+    tags = F.array(*[F.when(F.col(PERIOD) <= c, F.lit(c)) for c in cutoffs])
+    return rows.select(F.explode(F.array_compact(tags)).alias("version")).groupBy("version").agg(
+        F.count(F.lit(1)).alias("train_size"))
+
+
+def version_summary(scored: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Ranking, the figures of both classes, sizes and validation periods per model version."""
+    by, zero = ["version"], F.lit(0.0)
     flat = ME.threshold_metrics(scored, by)
-    return null_safe_join(ME.ranking_metrics(scored, by), flat, by).select(
+    periods = scored.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(PERIOD)), ", ").alias("val_periods"))
+    both = null_safe_join(null_safe_join(ME.ranking_metrics(scored, by), flat, by), periods, by)
+    if sizes is not None:
+        both = null_safe_join(both, sizes, by, "left")
+    tn, fn, fp = F.col("tn"), F.col("fn"), F.col("fp")
+    f1_0 = F.coalesce(ratio(2 * tn, 2 * tn + fn + fp), zero)
+    return both.select(
         "version", "n", "prevalence", "roc_auc", "pr_auc", "average_precision", "accuracy", "f1", "precision",
-        F.col("tpr").alias("recall")).orderBy("version")
+        F.col("tpr").alias("recall"), f1_0.alias("f1_0"), F.coalesce(ratio(tn, tn + fn), zero).alias("precision_0"),
+        F.coalesce(ratio(tn, tn + fp), zero).alias("recall_0"), ((F.col("f1") + f1_0) / 2).alias("f1_macro"),
+        (F.col("train_size") if sizes is not None else F.lit(None).cast("long")).alias("train_size"), "val_periods").orderBy("version")
+
+
+def labelled_rows(rows: DataFrame, label: str) -> DataFrame:
+    """At-risk rows with a value of one label definition, which becomes the label."""
+    return rows.where((F.col("at_risk") == 1) & F.col(label).isNotNull()).withColumn("dropout_next", F.col(label))
 
 
 def label_evaluation(rows: DataFrame, label: str, cutoff: str, test: str, fit: Fit) -> DataFrame:
     """Size, prevalence and quality of a model trained and tested on one label definition."""
-    known = rows.where((F.col("at_risk") == 1) & F.col(label).isNotNull()).withColumn("dropout_next", F.col(label))
+    known = labelled_rows(rows, label)
+    return label_table(label_scores(known, label, cutoff, test, fit), known, cutoff)
+
+
+def label_scores(known: DataFrame, label: str, cutoff: str, test: str, fit: Fit) -> DataFrame:
+    """Test rows scored by the model of one label definition, stored."""
     model = fit(_upto(known, cutoff), f"{cutoff}-{label}")
-    scored = materialise(MO.score(model, _at(known, test)).select(
+    return materialise(MO.score(model, _at(known, test)).select(
         F.lit(label).alias("etiqueta"), F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p"), "label_eval")
+
+
+def label_table(scored: DataFrame, known: DataFrame, cutoff: str) -> DataFrame:
+    """``label_evaluation`` from the stored scores of one label definition."""
     sizes = known.agg(
         F.count(F.lit(1)).alias("n_filas_etiquetadas"), F.count_if(F.col(PERIOD) <= cutoff).alias("n_train"),
         F.avg("dropout_next").alias("prevalencia_global")).select(F.struct("*").alias("s")).scalar()

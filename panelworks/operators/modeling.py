@@ -106,6 +106,16 @@ def score(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
 def compete(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = TrainSpec()
             ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit the candidates side by side, evaluate all on the same rows, mark the best AUC."""
+    scored, models, facts = compete_scores(train, val, cycle, spec)
+    return evaluations(scored).join(F.broadcast(facts), "model_name"), models
+
+
+def compete_scores(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = TrainSpec()
+                   ) -> tuple[DataFrame, dict[str, PipelineModel], DataFrame]:
+    """Stored validation scores of every candidate, the models, and (model_name, seconds, training rows, time).
+
+    The last is one row per candidate.
+    """
     rows = training_table(train, spec)
     n_train = rows.count()
 
@@ -115,16 +125,15 @@ def compete(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = Trai
 
     done = concurrently(train.sparkSession, {name: partial(timed, name) for name in spec.candidates})
     models = {name: model for name, (model, _) in done.items()}
-    scored, times = None, []
-    for name, (model, seconds) in done.items():
-        times.append(F.struct(F.lit(name).alias("model_name"), F.lit(seconds).alias("training_time_seconds")))
+    scored = None
+    for name, model in models.items():
         part = score(model, val).select(
-            F.lit(cycle).alias("cycle_period"), F.lit(name).alias("model_name"), F.col(spec.label).alias("y"), "p")
+            F.lit(cycle).alias("cycle_period"), F.lit(name).alias("model_name"), *[c for c in spec.keys if c in val.columns],
+            F.col(spec.label).alias("y"), "p")
         scored = part if scored is None else scored.unionByName(part)
-    table = evaluations(materialise(scored, "candidates"))
-    seconds = F.filter(F.array(*times), lambda t: t["model_name"] == F.col("model_name"))[0]["training_time_seconds"]
-    return table.select(
-        "*", seconds.alias("training_time_seconds"), F.lit(n_train).cast("long").alias("train_size")), models
+    facts = train.sparkSession.createDataFrame(
+        [(name, seconds, n_train) for name, (_, seconds) in done.items()], "model_name string, training_time_seconds double, train_size long")
+    return materialise(scored, "candidates"), models, facts.withColumn("evaluated_at", F.current_timestamp())
 
 
 def winner(evaluated: DataFrame) -> str:

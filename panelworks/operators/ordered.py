@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.numeric import value_bucket
@@ -84,9 +84,8 @@ def running_totals(
     # below all agree on one partitioning
     group = F.struct(*by) if by else F.lit(0)
     if bucket is None:
-        seen = Observation()
-        counts = materialise(counts.observe(seen, F.count(F.lit(1)).alias("n")), "ordered-counts")
-        if seen.get["n"] <= CELL_ROWS:
+        counts = materialise(counts, "ordered-counts")
+        if counts.count() <= CELL_ROWS:  # from the files' footers
             whole = Window.partitionBy(group)
             order = whole.orderBy(value, *within).rowsBetween(Window.unboundedPreceding, -1)
             return counts.select(

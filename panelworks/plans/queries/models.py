@@ -1,12 +1,20 @@
-"""Model training, scoring and the model studies. Iterative fits have no SQL twin, so these are checked by rows."""
+"""Model training, scoring and the model studies.
+
+Iterative fits have no SQL twin. Beside every study stands a query that recomputes
+its figures by other means from the scores it stored; its SQL says that all agree.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelworks import constants as K
 from panelworks.functions import periods as P
+from panelworks.operators import audit as AU
+from panelworks.operators import evaluation as EV
 from panelworks.operators import experiments as EX
 from panelworks.operators import fairness as FA
 from panelworks.operators import metrics as ME
@@ -20,13 +28,14 @@ from panelworks.plans import fixtures as X
 from panelworks.plans import marts as M
 from panelworks.plans.oracle import with_ctes
 from panelworks.plans.queries.reporting import TESTS
-from panelworks.session import materialise, scratch_path
+from panelworks.session import concurrently, scratch_path
 
 # the full size of the candidates
 TREES = 100
 SPEC = MO.TrainSpec(trees=TREES, parts=8)
 TEST = TESTS[-1]
 CUTOFFS = ["1995_2C", "1996_1C", "1996_2C", "1997_1C"]
+VERSIONS = ("1995_2C", "1996_2C", "1997_1C")
 
 _fitted: dict[tuple, object] = {}
 
@@ -68,10 +77,137 @@ def _candidate(name):
     return query
 
 
+def _kept(s, d, name, build):
+    """Something that is no table, kept per (application, folder)."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _fitted:
+        _fitted[key] = build()
+    return _fitted[key]
+
+
 def mod_04(s, d):
     return M._once(s, d, "mod_04", lambda: MO.compete(_train(s, d), _test(s, d), X.LATEST, SPEC)[0])
 
 
+def _flags(s, rows):
+    return s.createDataFrame(rows, "study string, part string, figure string, agrees boolean")
+
+
+def _values(s, study, scored, by, published, figures):
+    """Whether the published figures of each part are what other means find in its stored scores."""
+    means = {"auc": AU.area, "brier": AU.squared_error, "p_at_10": AU.top_hits}
+    rows = []
+    for row in published.collect():  # one row per part of a study
+        part = scored.where(F.col(by) == row[by])
+        rows += [(study, row[by], f, AU.close(row[c], means[f](part), digits)) for f, (c, digits) in figures.items()]
+    return _flags(s, rows)
+
+
+def mod_04_values(s, d):
+    scored, models, _ = _kept(s, d, "compete", lambda: MO.compete_scores(_train(s, d), _test(s, d), X.LATEST, SPEC))
+    out = _values(s, "mod_04", scored, "model_name", EV.evaluations(scored), {"auc": ("roc_auc", 9), "brier": ("brier_score", 9)})
+    steep = AU.logistic_gradient(models["LogisticRegression"], _train(s, d)).agg(F.max(F.abs("gradient"))).first()[0]
+    return out.unionByName(_flags(s, [("mod_03", "LogisticRegression", "gradient", steep < 1e-5)]))
+
+
+def mod_06_values(s, d):
+    """Importances next to the gains in the stored nodes of the trees."""
+    model = _fit(s, d)(_train(s, d), X.CUTOFF)
+    both = MO.importances(model, SPEC, s).join(AU.stored_importances(model, SPEC).withColumnRenamed("importance", "other"), "feature", "left")
+    return both.select("feature", (F.abs(F.col("importance") - F.coalesce("other", F.lit(0.0))) < 1e-9).alias("agrees"))
+
+
+def _backtest_scores(s, d):
+    return M._once(s, d, "bkt_01_scores", lambda: EX.scored_pairs(M.modelled(s, d), SP.origins(TESTS), _fit(s, d)))
+
+
+def bkt_01_values(s, d):
+    return _values(s, "bkt_01", _backtest_scores(s, d), "test_period", bkt_01(s, d),
+                   {"auc": ("auc", 4), "brier": ("brier", 4), "p_at_10": ("p_at_10", 4)})
+
+
+def _incremental_scores(s, d):
+    pairs = [(c, TEST) for c in CUTOFFS]
+    return M._once(s, d, "bkt_02_scores", lambda: EX.scored_pairs(M.modelled(s, d), pairs, _fit(s, d)))
+
+
+def bkt_02_values(s, d):
+    scored = _incremental_scores(s, d).withColumnRenamed("origin", "train_cutoff")
+    return _values(s, "bkt_02", scored, "train_cutoff", bkt_02(s, d), {"auc": ("auc", 4)})
+
+
+def _unseen_scores(s, d):
+    return M._once(s, d, "bkt_03_scores", lambda: EX.unseen_scores(M.modelled(s, d), TEST, _fit(s, d)))
+
+
+def bkt_03_values(s, d):
+    scored = _unseen_scores(s, d)
+    full = scored.where("kind = 'full'").withColumn("kind", F.when(F.col("seen"), "seen").otherwise("new"))
+    row = bkt_03(s, d).first()
+    published = s.createDataFrame([(k, row[f"auc_{k}"]) for k in ("full", "grouped", "seen", "new")], "kind string, auc double")
+    # a part without both classes has no area
+    some = scored.unionByName(full).groupBy("kind").agg(F.count_distinct("y").alias("n")).where("n = 2")
+    return _values(s, "bkt_03", scored.unionByName(full), "kind", published.join(some, "kind"), {"auc": ("auc", 4)})
+
+
+def abl_01_values(s, d):
+    long = EV.several_scores(_ablation(s, d).drop("p_linear"), EX.ABLATION_SCORES, "variante")
+    return _values(s, "abl_01", long, "variante", abl_01(s, d), {"auc": ("auc", 4), "p_at_10": ("p_at_10", 4)})
+
+
+def abl_paired_values(s, d):
+    """The mean difference lies in its interval and near the difference on the whole sample, by their own areas."""
+    scores, rows = _ablation(s, d), []
+    names = {name: (first, second) for name, first, second in EX.PAIRS}
+    for row in abl_paired(s, d).collect():
+        first, second = names[row["comparacion"]]
+        gap = AU.area(scores, p=first) - AU.area(scores, p=second)
+        rows.append(("abl_01", row["comparacion"], "delta", row["ci_low"] - 1e-4 <= row["delta"] <= row["ci_high"] + 1e-4 and abs(row["delta"] - gap) < 0.02))
+    return _flags(s, rows)
+
+
+def prm_01_values(s, d):
+    """Drop and deviation of one feature over all repeats."""
+    scored, name = _permuted(s, d), K.RECENCY_FEATURE
+    whole = AU.area(scored.where("feature = ''"))
+    repeats = [r[0] for r in scored.where(F.col("feature") == name).select("repeat").distinct().collect()]
+    drops = [whole - AU.area(scored.where((F.col("feature") == name) & (F.col("repeat") == r))) for r in repeats]
+    row = prm_01(s, d).where(F.col("feature") == name).first()
+    mean = sum(drops) / len(drops)
+    spread = (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5
+    return _flags(s, [("prm_01", name, "drop", AU.close(row["caida_auc_media"], mean, 4)), ("prm_01", name, "deviation", AU.close(row["std"], spread, 4))])
+
+
+def scm_01_values(s, d):
+    scored = _versions(s, d)
+    out = _values(s, "scm_01", scored, "version", EX.version_summary(scored), {"auc": ("roc_auc", 9)})
+    # the ROC points of a version enclose its area
+    points = ME.roc_points(scored, ["version"])
+    order = Window.partitionBy("version").orderBy("fpr", "tpr")  # a point per distinct score of one half-year's rows
+    steps = points.withColumns({"x": F.lag("fpr").over(order), "h": F.lag("tpr").over(order)})
+    areas = steps.groupBy("version").agg(F.sum((F.col("fpr") - F.col("x")) * (F.col("tpr") + F.col("h")) / 2).alias("area"))
+    rows = [("scm_01", r["version"], "curve", AU.close(r["area"], AU.area(scored.where(F.col("version") == r["version"])), 9)) for r in areas.collect()]
+    return out.unionByName(_flags(s, rows))
+
+
+def sen_08_values(s, d):
+    scored = None
+    for label, part in _label_scores(s, d).items():
+        scored = part if scored is None else scored.unionByName(part)
+    return _values(s, "sen_08", scored, "etiqueta", M._once(s, d, "sen_08", lambda: sen_08(s, d)),
+                   {"auc": ("auc", 4), "brier": ("brier", 4), "p_at_10": ("p_at_10", 4)})
+
+
+def fai_model_values(s, d):
+    """Two attributes of the subgroup table on model scores."""
+    stored, rows = _fairness_scores(s, d), []
+    for row in fai_model(s, d).where("atributo in ('Sexo', 'Carrera')").collect():  # one row per group of 150 rows or more
+        column = {"Sexo": "sexo", "Carrera": "cod_carrera"}[row["atributo"]]
+        part = stored.where(F.col(column) == row["valor"])
+        rows += [("fai_02", row["valor"], "auc", AU.close(row["auc"], AU.area(part), 4)), ("fai_02", row["valor"], "brier", AU.close(row["brier"], AU.squared_error(part), 4))]
+    return _flags(s, rows).where("not agrees")
+
+
 def mod_04_sizes(s, d):
     """Candidates, their training rows, and whether one is selected and all areas lie in [0, 1]."""
     return mod_04(s, d).select(
@@ -133,7 +269,7 @@ def sco_03_keys(s, d):
 
 
 def bkt_01(s, d):
-    return M._once(s, d, "bkt_01", lambda: EX.rolling_backtest(M.modelled(s, d), TESTS, _fit(s, d)))
+    return M._once(s, d, "bkt_01", lambda: EX.backtest_table(_backtest_scores(s, d), M.modelled(s, d), SP.origins(TESTS)))
 
 
 def bkt_01_sizes(s, d):
@@ -141,7 +277,8 @@ def bkt_01_sizes(s, d):
 
 
 def bkt_02(s, d):
-    return M._once(s, d, "bkt_02", lambda: EX.incremental_training(M.modelled(s, d), CUTOFFS, TEST, _fit(s, d)))
+    return M._once(s, d, "bkt_02", lambda: EX.incremental_table(
+        _incremental_scores(s, d), M.modelled(s, d), [(c, TEST) for c in CUTOFFS]))
 
 
 def bkt_02_sizes(s, d):
@@ -149,7 +286,7 @@ def bkt_02_sizes(s, d):
 
 
 def bkt_03(s, d):
-    return M._once(s, d, "bkt_03", lambda: EX.unseen_students(M.modelled(s, d), TEST, _fit(s, d)))
+    return M._once(s, d, "bkt_03", lambda: EX.unseen_table(_unseen_scores(s, d), M.modelled(s, d), TEST))
 
 
 def bkt_03_sizes(s, d):
@@ -182,8 +319,12 @@ def abl_paired(s, d):
 
 
 def prm_01(s, d):
+    return M._once(s, d, "prm_01", lambda: EX.permutation_table(_permuted(s, d)))
+
+
+def _permuted(s, d):
     features = [*K.NUMERIC_FEATURES, K.CATEGORY_FEATURE]
-    return M._once(s, d, "prm_01", lambda: EX.permutation_importance(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d), features))
+    return M._once(s, d, "prm_01_scores", lambda: EX.permuted_scores(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d), features))
 
 
 def prm_01_features(s, d):
@@ -192,12 +333,20 @@ def prm_01_features(s, d):
 
 def _versions(s, d):
     fit, rows = _fit(s, d), M.modelled(s, d)
-    return EX.versions_scored(
-        {c: fit(rows.where(F.col("academic_period") <= c), c) for c in ("1995_2C", "1996_2C", "1997_1C")}, _test(s, d))
+
+    def build():
+        jobs = {c: partial(fit, rows.where(F.col("academic_period") <= c), c) for c in VERSIONS}
+        return EX.versions_scored(concurrently(s, jobs), _test(s, d))
+
+    return M._once(s, d, "scm_01_scores", build)
 
 
 def scm_01(s, d):
-    return EX.version_summary(_versions(s, d))
+    return EX.version_summary(_versions(s, d), EX.version_sizes(M.modelled(s, d), VERSIONS))
+
+
+def scm_01_periods(s, d):
+    return scm_01(s, d).select("version", "train_size", F.col("n").alias("val_size"), "val_periods")
 
 
 def scm_01_sizes(s, d):
@@ -212,24 +361,36 @@ def scm_01_pr(s, d):
     return ME.pr_points(_versions(s, d), ["version"])
 
 
-def fai_model(s, d):
-    """Subgroup table on model scores."""
+def _fairness_scores(s, d):
     demo = FA.demographics(M.students(s, d), X.COHORTS).withColumnRenamed("legajo", "id")
-    scored = MO.score(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d)).select(
-        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "cod_carrera")
+    scored = M._once(s, d, "fairness_scores", lambda: MO.score(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d)).select(
+        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "cod_carrera"))
+    return scored.join(demo, "id", "left")
 
-    stored = materialise(scored, "fairness_scores").join(demo, "id", "left")
-    return FA.subgroup_metrics(FA.by_attribute(stored, {
+
+def fai_model(s, d):
+    """Subgroup table on model scores."""
+    return FA.subgroup_metrics(FA.by_attribute(_fairness_scores(s, d), {
         "sexo": "Sexo", "cohorte": "Cohorte de ingreso", "grupo_edad": "Edad al ingreso", "cod_carrera": "Carrera"}))
 
 
 def sen_08(s, d):
     """Model quality with and without the completion rule in the label."""
-    rows = SN.relabelled(M.panel(s, d), PN.activity(M.history(s, d)), ST.completed_students(M.progress(s, d)))
-    parts = [EX.label_evaluation(rows, label, X.CUTOFF, TEST, _fit(s, d)) for label in ("lab_con_grad", "lab_sin_grad")]
+    known = _label_rows(s, d)
+    parts = [EX.label_table(scored, known[label], X.CUTOFF) for label, scored in _label_scores(s, d).items()]
     return parts[0].unionByName(parts[1])
 
 
+def _label_rows(s, d):
+    rows = SN.relabelled(M.panel(s, d), PN.activity(M.history(s, d)), ST.completed_students(M.progress(s, d)))
+    return {label: EX.labelled_rows(rows, label) for label in ("lab_con_grad", "lab_sin_grad")}
+
+
+def _label_scores(s, d):
+    return _kept(s, d, "label_scores", lambda: concurrently(s, {
+        label: partial(EX.label_scores, rows, label, X.CUTOFF, TEST, _fit(s, d)) for label, rows in _label_rows(s, d).items()}))
+
+
 def sen_08_sizes(s, d):
     return M._once(s, d, "sen_08", lambda: sen_08(s, d)).select(
         "etiqueta", "n_filas_etiquetadas", "n_train", "n_test", "prevalencia_global", "prevalencia_test")
@@ -296,6 +457,36 @@ QUERIES = {
         SELECT v AS version, count(*) AS n, round(avg(dropout_next), 6) AS prevalence
         FROM modelled, (SELECT unnest(['1995_2C', '1996_2C', '1997_1C']) AS v) o WHERE academic_period = '{TEST}' GROUP BY 1""")),
     "sen_08_sizes": (sen_08_sizes, with_ctes(_LABEL_SIZES, relabelled=_RELABELLED)),
+    "scm_01_periods": (scm_01_periods, with_ctes(f"""
+        SELECT v AS version, (SELECT count(*) FROM modelled WHERE academic_period <= v) AS train_size,
+          (SELECT count(*) FROM modelled WHERE academic_period = '{TEST}') AS val_size, '{TEST}' AS val_periods
+        FROM (SELECT unnest({list(VERSIONS)!r}) AS v) o""")),
+    "mod_04_values": (mod_04_values, f"""
+        SELECT 'mod_04' AS study, model_name AS part, unnest(['auc', 'brier']) AS figure, true AS agrees FROM ({_NAMES}) m
+        UNION ALL SELECT 'mod_03', 'LogisticRegression', 'gradient', true"""),
+    "mod_06_values": (mod_06_values, f"SELECT feature, true AS agrees FROM ({_FEATURES}) f"),
+    "bkt_01_values": (bkt_01_values, f"""
+        SELECT 'bkt_01' AS study, test_period AS part, unnest(['auc', 'brier', 'p_at_10']) AS figure, true AS agrees FROM ({_ORIGINS}) o"""),
+    "bkt_02_values": (bkt_02_values, f"SELECT 'bkt_02' AS study, unnest({CUTOFFS!r}) AS part, 'auc' AS figure, true AS agrees"),
+    "bkt_03_values": (bkt_03_values, with_ctes(f"""
+        SELECT 'bkt_03' AS study, kind AS part, 'auc' AS figure, true AS agrees FROM (
+          SELECT unnest(['full', 'grouped', CASE WHEN seen THEN 'seen' ELSE 'new' END]) AS kind, dropout_next FROM (
+            SELECT dropout_next, legajo IN (SELECT legajo FROM modelled WHERE academic_period <= '{_HELD}') AS seen
+            FROM modelled WHERE academic_period = '{TEST}') a) b
+        GROUP BY kind HAVING count(DISTINCT dropout_next) = 2""")),
+    "abl_01_values": (abl_01_values, "SELECT 'abl_01' AS study, part, figure, true AS agrees FROM (SELECT unnest([" + ", ".join(
+        f"'{v}'" for v in EX.ABLATION_SCORES) + "]) AS part), (SELECT unnest(['auc', 'p_at_10']) AS figure)"),
+    "abl_01_paired_values": (abl_paired_values, "SELECT 'abl_01' AS study, unnest([" + ", ".join(
+        f"'{p[0]}'" for p in EX.PAIRS) + "]) AS part, 'delta' AS figure, true AS agrees"),
+    "prm_01_values": (prm_01_values, f"""
+        SELECT 'prm_01' AS study, '{K.RECENCY_FEATURE}' AS part, unnest(['drop', 'deviation']) AS figure, true AS agrees"""),
+    "scm_01_values": (scm_01_values, f"""
+        SELECT 'scm_01' AS study, part, figure, true AS agrees
+        FROM (SELECT unnest({list(VERSIONS)!r}) AS part), (SELECT unnest(['auc', 'curve']) AS figure)"""),
+    "sen_08_values": (sen_08_values, """
+        SELECT 'sen_08' AS study, part, figure, true AS agrees
+        FROM (SELECT unnest(['lab_con_grad', 'lab_sin_grad']) AS part), (SELECT unnest(['auc', 'brier', 'p_at_10']) AS figure)"""),
+    "fai_02_model_values": (fai_model_values, "SELECT study, part, figure, agrees FROM (SELECT '' AS study, '' AS part, '' AS figure, true AS agrees) z WHERE false"),
     "mod_01_gradient_boosting": (_candidate("GradientBoosting"), None),
     "mod_02_random_forest": (_candidate("RandomForest"), None),
     "mod_03_logistic_regression": (_candidate("LogisticRegression"), None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelworks import constants as K
 from panelworks.operators import evaluation as EV
@@ -19,6 +20,8 @@ from panelworks.plans.oracle import with_ctes
 from panelworks.plans.queries.common import r6
 from panelworks.plans.queries.metrics import _BIN_LEFT, _CONF, _RANK, histogram_sql, newton_ctes, top_sql
 from panelworks.plans.queries.monitor import CYCLES, DRIFT_SELECT, cycle_drift_sql, stored_drift
+from panelworks.session import scratch_path
+from panelworks.sources import sinks as SK
 
 TESTS = ("1997_2C", "1998_1C", "1998_2C", "1999_1C")
 _FEATS = K.NUMERIC_FEATURES
@@ -238,6 +241,33 @@ def rep_30_drift(s, d):
     return out.withColumn("features", F.concat_ws(",", F.transform("features", lambda f: f["feature_name"])))
 
 
+_CANDIDATE = ("model_name", "roc_auc", "brier_score", "ks_statistic", "f1_dropout", "precision_dropout", "recall_dropout",
+              "val_size", "is_selected_model")
+
+
+def rep_30_model_documents(s, d):
+    """One JSON document per cycle, written, read back with its schema, and taken apart again."""
+    evals = r6(EV.evaluations(S.model_scores(s, d)), _EVAL).select("cycle_period", *_CANDIDATE)
+    summary = RP.selection_summary(evals)
+    path = scratch_path(s, "model-documents")
+    SK.write_documents(summary, path, "cycle_period")
+    back = SK.read_documents(s, path, T.StructType([*summary.schema.fields, T.StructField("version", T.StringType())]))
+    return back.select("version", "cycle_period", "winner", "winner_auc", "winner_ks", F.posexplode("candidates").alias("place", "c")).select(
+        "version", "cycle_period", "winner", "winner_auc", "winner_ks", F.col("place").cast("long").alias("place"),
+        *[F.col(f"c.{c}").alias(c) for c in _CANDIDATE])
+
+
+def rep_30_drift_documents(s, d):
+    """The same for the drift of every cycle."""
+    summary = RP.drift_summary_nested(stored_drift(s, d))
+    path = scratch_path(s, "drift-documents")
+    SK.write_documents(summary, path, "cycle_period")
+    back = SK.read_documents(s, path, T.StructType([*summary.schema.fields, T.StructField("version", T.StringType())]))
+    rows = back.select("version", "psi_max", "n_high", "n_moderate", "n_none", F.posexplode("features").alias("place", "f"))
+    out = rows.select("version", "psi_max", "n_high", "n_moderate", "n_none", F.col("place").cast("long").alias("place"), "f.*")
+    return r6(out, ["psi_max", "psi_value", "mean_reference", "mean_current"])
+
+
 def _simple(fn, *tables, doubles=(), raw=False):
     def query(s, d):
         source = {"history": M.history, "students": M.students, "progress": M.progress, "status": M.status,
@@ -535,6 +565,20 @@ QUERIES = {
           max(ks_statistic) FILTER (WHERE is_selected_model) AS winner_ks,
           string_agg(model_name || ':' || val_size, ';' ORDER BY roc_auc DESC, model_name) AS candidates
         FROM evals GROUP BY 1""", **_EVALS)),
+    "rep_30_model_documents": (rep_30_model_documents, with_ctes("""
+        SELECT cycle_period AS version, cycle_period, max(model_name) FILTER (WHERE is_selected_model) OVER c AS winner,
+          max(roc_auc) FILTER (WHERE is_selected_model) OVER c AS winner_auc,
+          max(ks_statistic) FILTER (WHERE is_selected_model) OVER c AS winner_ks,
+          row_number() OVER (PARTITION BY cycle_period ORDER BY roc_auc DESC, model_name) - 1 AS place,
+          model_name, roc_auc, brier_score, ks_statistic, f1_dropout, precision_dropout, recall_dropout, val_size, is_selected_model
+        FROM evals WINDOW c AS (PARTITION BY cycle_period)""", **_EVALS)),
+    "rep_30_drift_documents": (rep_30_drift_documents, cycle_drift_sql(f"""
+        SELECT version, psi_max, n_high, n_moderate, n_none, place, feature_name, psi_value, drift_level, mean_reference, mean_current,
+          n_reference, n_current FROM (
+          SELECT cycle_period AS version, round(max(psi) OVER c, 6) AS psi_max, count(*) FILTER (WHERE psi >= 0.25) OVER c AS n_high,
+            count(*) FILTER (WHERE psi >= 0.10 AND psi < 0.25) OVER c AS n_moderate, count(*) FILTER (WHERE psi < 0.10) OVER c AS n_none,
+            row_number() OVER (PARTITION BY cycle_period ORDER BY round(psi, 6) DESC, feature_name) - 1 AS place, {DRIFT_SELECT}
+          FROM drift WINDOW c AS (PARTITION BY cycle_period)) z""")),
     "rep_30_drift_summary": (rep_30_drift, cycle_drift_sql("""
         SELECT cycle_period, round(max(psi), 6) AS psi_max, count(*) FILTER (WHERE psi >= 0.25) AS n_high,
           count(*) FILTER (WHERE psi >= 0.10 AND psi < 0.25) AS n_moderate, count(*) FILTER (WHERE psi < 0.10) AS n_none,
