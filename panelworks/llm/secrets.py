@@ -156,24 +156,61 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+FOLD = 256  # elements a fold puts together before it adds them to what it has
+
+
+def folded(steps: Column, step, kind: str, around=None) -> Column:
+    """All elements that ``step`` gives from left to right, flat.
+
+    ``step`` takes the place reached so far, an element of ``steps`` and what holds
+    for its block, and returns the next place and an array of new elements, of type
+    ``kind``. A block's own struct has the place it begins at (``base``) and what
+    ``around`` makes of that place and the block's steps (``held``). A growing array is
+    copied at every step, so steps are folded in blocks and only the blocks' results
+    are added to a long array: the work is linear in the number of steps, but for a
+    square of the number of blocks that stays far below it.
+    """
+    none = f"cast(array() as {kind})"
+
+    def inner(part: Column, own: Column) -> Column:
+        def grown(done: Column, x: Column) -> Column:
+            at, new = step(done["at"], x, own)
+            return F.struct(at.alias("at"), F.concat(done["out"], new).alias("out"))
+
+        return F.aggregate(part, F.struct(own["base"].alias("at"), F.expr(none).alias("out")), grown)
+
+    def block(done: Column, part: Column) -> Column:
+        held = around(done["at"], part) if around else F.lit(None)
+        # arrays of one bind what a block has and what its fold gives, so that each is made once
+        own = F.array(F.struct(done["at"].alias("base"), held.alias("held")))
+        return F.transform(F.transform(own, lambda o: inner(part, o)), lambda r: F.struct(
+            r["at"].alias("at"), F.concat(done["out"], F.array(r["out"])).alias("out")))[0]
+
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(steps), F.lit(1)) - 1) / FOLD).cast("int"))
+    parts = F.transform(starts, lambda b: F.slice(steps, b * FOLD + 1, FOLD))
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out")), block)
+    return F.flatten(whole["out"])
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Sorted spans of one rule: the texts between matches and the matches give the places."""
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,kind:string>>)")
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(hits.alias("hit"), kept.alias("kept"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    steps = F.arrays_zip(
+        F.transform(hits, F.length).alias("hit"), F.transform(kept, F.length).alias("kept"), F.transform(gaps, F.length).alias("gap"))
+    none = F.expr(f"cast(array() as {SPANS})")
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.length(x["gap"])
-        end = begin + F.length(F.coalesce(x["hit"], F.lit("")))
+    def step(at: Column, x: Column, own: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
+        end = begin + F.coalesce(x["hit"], F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("stop"), F.lit(rule.kind).alias("kind"))
-        good = F.length(x["kept"]) >= rule.least
-        spans = F.when(good, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return end, F.when(x["kept"] >= rule.least, F.array(span)).otherwise(none)
 
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(steps, start, step)["spans"]).otherwise(none)
+    # one array binds the steps, so that the expression runs once over the text
+    found = F.transform(F.array(steps), lambda s: folded(s, step, SPANS))[0]
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -195,7 +232,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_broadcast: int =
     else:
         rows = rows.withColumn("kinds", F.expr("cast(null as array<string>)"))
     text = F.col("row.text")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,kind:string>>)")
+    none = F.expr(f"cast(array() as {SPANS})")
     parts = []
     for rank, rule in enumerate(rules):
         spans = _spans(text, rule, rank)
@@ -222,17 +259,27 @@ def digests(scanned: DataFrame, base: int = len(BASE)) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every secret replaced by ``[kind]``; overlapping secrets become one mark."""
+    """``docs`` with every secret replaced by ``[kind]``; overlapping secrets become one mark.
+
+    A null or empty text stays as it is, rows repeat as they come, and n_chars, where
+    the table has it, is counted again for changed texts and the others.
+    """
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), out.alias("out"))
+    def last(spans) -> Column:
+        return F.array_max(F.transform(spans, lambda s: s["stop"]))
+
+    def region(at: Column, spans: Column) -> Column:
+        """The text of a block's spans: a place in it is found by counting from its own begin."""
+        return F.substring(text, at + 1, last(spans) - at)
+
+    def step(at: Column, s: Column, own: Column) -> tuple[Column, Column]:
+        gap = F.substring(own["held"], at - own["base"] + 1, s["start"] - at)
+        pieces = F.array(gap, F.concat(F.lit("["), s["kind"], F.lit("]")))
+        return F.greatest(at, s["stop"]), F.when(s["start"] >= at, pieces).otherwise(F.expr("cast(array() as array<string>)"))
 
-    ended = F.aggregate("spans", start, step)
-    clean = F.concat(ended["out"], F.substring(text, ended["at"] + 1, F.length(text)))
+    pieces = folded(F.col("spans"), step, "array<string>", region)
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, last("spans") + 1, F.length(text)))
     new = F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text"))
     fresh = {"text": new} | ({"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return scan(docs, rules).select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
