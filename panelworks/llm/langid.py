@@ -222,10 +222,14 @@ def language_of(docs: DataFrame, spec: LangSpec = LangSpec(), modulus: int = 4,
 
 
 def known_language(docs: DataFrame, spec: LangSpec = LangSpec()) -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, with all their columns; no shuffle."""
+    """The rows of ``docs`` whose language is not rejected, with all their columns; no shuffle.
+
+    Rows with a null text or without a letter are rejected. Where no row is labelled
+    there is nothing to judge by, and all rows stay.
+    """
     model = fit(docs.where(~held_out(4, 2)), spec)
     if model is None:
-        return docs.limit(0)
+        return docs
     rows = docs.select(F.struct("*").alias("row"), _has_letter().alias("known"))
     schema = StructType([StructField("row", docs.schema)])
     return in_arrow(rows, _keep(model), schema).select("row.*")
