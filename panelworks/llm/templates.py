@@ -122,14 +122,26 @@ def _hashes(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
     return total
 
 
-def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.ndarray, size: int) -> Iterator[tuple]:
+def _bits(flags: np.ndarray, size: int, n: int) -> np.ndarray:
+    """For each window of ``size`` words the places of its marked words, as bits of one number."""
+    out = np.zeros(n, np.int64)
+    for k in range(size):
+        out |= flags[k : k + n].astype(np.int64) << k
+    return out
+
+
+def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.ndarray, size: int,
+             wanted_names: np.ndarray | None = None) -> Iterator[tuple]:
     """(exact, opened, starts, hashes, slots) of the windows of ``size`` words in one document, for each way to read them.
 
     Every window is read by its own words. One with slots is also read as a
     template, and so with its names left literal, as letter case may differ; a
     template counts when half its words or more are literal. Capitalised words
-    that open a sentence are literal or names, in every combination (``opened``). ``slots`` takes
-    places in ``starts`` and gives which words of these windows it reads as slots.
+    that open a sentence are literal or names (``opened``): in every combination, or, with
+    ``wanted_names``, only so that a window's names lie where one of these bit patterns has
+    them. A match needs names at the same places, so the patterns of the items' windows are
+    all a document needs. ``slots`` takes places in ``starts`` and gives which words of these
+    windows it reads as slots.
     """
     n = len(own) - size + 1
     if n <= 0:
@@ -153,6 +165,18 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.n
     slot = np.isin(canon, SLOTS)
     rank, count = (np.concatenate([[0], np.cumsum(x)]) for x in (opener, slot))
     openers, count = (rank[size:] - rank[:-size])[:n], (count[size:] - count[:-size])[:n]
+    if wanted_names is not None:
+        fixed, free = _bits(names, size, n), _bits(opener, size, n)
+        masks = sliding_window_view(slot, size)
+        for pattern in wanted_names.tolist():
+            more = pattern & ~fixed  # the openers that this pattern reads as names
+            fits = inside & ((fixed & ~pattern) == 0) & ((more & ~free) == 0) & (more != 0)
+            starts = np.nonzero(fits & (2 * (count + np.bitwise_count(more)) <= size))[0]
+            if len(starts):
+                chosen = (more[starts][:, None] >> np.arange(size) & 1).astype(bool)
+                total = _hashes((np.where(chosen[:, k], NAME, canon[starts + k]) for k in range(size)), len(starts), size)
+                yield False, True, starts, total, lambda at, m=chosen | masks[starts]: m[at]
+        return
     having = [np.nonzero(inside & (openers >= k) & (2 * (count + 1) <= size))[0] for k in range(size + 1)]
     for choice in range(1, 1 << max((k for k in range(size + 1) if len(having[k])), default=0)):
         starts = having[choice.bit_length()]
@@ -169,7 +193,7 @@ def _lists(values: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int64)))
 
 
-def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
+def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool, patterns: dict[int, np.ndarray] | None = None):
     """Windows of each text: all of an item's, or those of a document that pass the filter."""
     def fn(batches):
         for batch in batches:
@@ -180,9 +204,10 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                 slot = np.isin(canon, SLOTS)
                 first = np.searchsorted(owner, np.arange(b - a))
                 number = np.bincount(owner, minlength=b - a)
-                ids, sizes_out, kinds, opens, hashes, places, lengths, values, held = [], [], [], [], [], [], [], [], []
+                ids, sizes_out, kinds, opens, hashes, places, lengths, values, held, named = [], [], [], [], [], [], [], [], [], []
                 for size in sizes:
-                    for exact, opened, starts, total, slots in readings(canon, own, owner, opener, size):
+                    wanted = None if patterns is None else patterns.get(size, np.zeros(0, np.int64))
+                    for exact, opened, starts, total, slots in readings(canon, own, owner, opener, size, wanted):
                         usable = np.ones(len(starts), bool)
                         if whole_items:
                             n_words = number[owner[starts]]
@@ -203,17 +228,21 @@ def _emit(sizes: list[int], chosen: np.ndarray | None, whole_items: bool):
                         marks = slots(used)
                         values += [own[w : w + size][m].view(np.int64) for w, m in zip(at_word.tolist(), marks)]
                         if whole_items:
+                            # slots that are names by their capital alone, or openers read as names
+                            is_name = marks & ~np.isin(canon[at_word[:, None] + np.arange(size)], SLOTS[SLOTS != NAME])
+                            named.append((is_name << np.arange(size)).sum(axis=1))
                             held += [own[w : w + size][m | slot[w : w + size]].view(np.int64) for w, m in zip(at_word.tolist(), marks)]
                 of = np.concatenate([np.zeros(0, np.int64), *ids])
                 joined = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(a, b - a).take(pa.array(of)), joined(sizes_out, np.int32), joined(kinds, bool), joined(opens, bool),
-                     joined(hashes, np.int64), joined(places, np.int64), joined(lengths, np.int64), _lists(values), _lists(held or [[]] * len(of))],
-                    ["id", "size", "exact", "opened", "hash", "place", "n_words", "slots", "held"])
+                     joined(hashes, np.int64), joined(places, np.int64), joined(lengths, np.int64), _lists(values), _lists(held or [[]] * len(of)),
+                     joined(named or [np.zeros(len(of))], np.int64)],
+                    ["id", "size", "exact", "opened", "hash", "place", "n_words", "slots", "held", "names"])
     return fn
 
 
-_WINDOW = "id long, size int, exact boolean, opened boolean, hash long, place long, n_words long, slots array<long>, held array<long>"
+_WINDOW = "id long, size int, exact boolean, opened boolean, hash long, place long, n_words long, slots array<long>, held array<long>, names long"
 
 
 def _filter(items: DataFrame) -> np.ndarray:
@@ -227,6 +256,12 @@ def _filter(items: DataFrame) -> np.ndarray:
     return chosen
 
 
+def _patterns(items: DataFrame) -> dict[int, np.ndarray]:
+    """Where the items' template windows have names, as bit patterns per window size; 2**8 of a size at most."""
+    rows = items.where("not exact and names > 0").select("size", "names").distinct().collect()
+    return {size: np.array(sorted(r["names"] for r in rows if r["size"] == size)) for size in {r["size"] for r in rows}}
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
     """(doc_id, item_id, n_windows, share, doc_word, item_word) of every document that holds part of an item.
 
@@ -242,7 +277,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.
     items = materialise(items, "template-items")
     sizes = sorted((r["size"] for r in items.select("size").distinct().collect()), reverse=True) or [WINDOW]
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = in_arrow(rows, _emit(sizes, _filter(items), False), _WINDOW).drop("held")
+    found = in_arrow(rows, _emit(sizes, _filter(items), False, _patterns(items)), _WINDOW).drop("held", "names")
     right = items.select(
         "size", "exact", "hash", F.col("id").alias("item_id"), F.col("opened").alias("item_opened"), F.col("place").alias("item_word"), F.col("slots").alias("item_slots"), F.col("held").alias("item_held"),
         (F.col("n_words") - F.col("size") + 1).alias("of"))
