@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from cases import LONG, documents, prose, rows
 from oracle_check import compare, connect
@@ -268,3 +270,45 @@ def test_pipeline_edge_rows(spark, tmp_path):
     documents(spark, []).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_name_patterns_give_the_readings_that_can_match():
+    """Reading by the items' name patterns finds each combination that has one of them, and no other."""
+    rng = random.Random(8)
+    vocabulary = ["Anna", "Otto", "Ulm", "has", "three", "12", "kg", "apples.", "Eva", "buys", "7", "more.", "so"]
+    text = "\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 6))) for _ in range(80))
+    data = np.frombuffer(text.encode(), np.uint8)
+    canon, own, owner, opener = templates.template(data, np.array([0, len(data)]))
+    for size in (5, 8):
+        masks = {}
+        for exact, opened, starts, total, slots in templates.readings(canon, own, owner, opener, size):
+            if opened:
+                marks = slots(np.arange(len(starts)))
+                other = np.isin(canon[starts[:, None] + np.arange(size)], templates.SLOTS[templates.SLOTS != templates.NAME])
+                for s, h, m in zip(starts.tolist(), total.tolist(), ((marks & ~other) << np.arange(size)).sum(axis=1).tolist()):
+                    masks.setdefault(m, set()).add((s, h))
+        chosen = sorted(masks)[::2]
+        assert len(chosen) > 5
+        got = {(s, h) for exact, opened, starts, total, _ in templates.readings(canon, own, owner, opener, size, np.array(chosen))
+               if opened for s, h in zip(starts.tolist(), total.tolist())}
+        assert got == set().union(*(masks[m] for m in chosen))
+
+
+def test_unlabelled_corpus_keeps_its_documents(spark):
+    docs = documents(spark, [(i, t, None) for i, t, _ in rows()])
+    assert langid.known_language(docs).count() == docs.count()
+
+
+def test_very_many_matches_in_one_text(spark):
+    """More matches than a fold takes at once, with texts between them and overlapping rules."""
+    parts = [f"é{i} token=deadbeef{i:016x}0123456789abcdef x" if i % 3 else f"{i:024x}" for i in range(700)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c")], "doc_id long, text string, kind string")
+    got = {r["doc_id"]: r for r in secrets.digests(secrets.scan(df)).collect()}
+    spans = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [s for s in got[1]["spans"].split(",") if s.startswith("hex")] == [f"hex:{a}:{b}" for a, b in spans]
+    assign = [(m.start(), m.end()) for m in re.finditer(r"token=[A-Za-z0-9+/_.=-]{6,}", text)]
+    assert got[1]["n_assign"] == len(assign) and got[2]["spans"] == got[3]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    marked = re.sub("[0-9a-f]{24,}", "[hex]", re.sub(r"token=[A-Za-z0-9+/_.=-]{6,}", "[assign]", text))
+    assert clean[1] == marked and clean[2] is None and clean[3] == ""
