@@ -17,6 +17,8 @@ from panelworks.functions.numeric import ratio
 from panelworks.operators.ordered import exact_quantiles, null_safe_join, running_totals, value_counts
 from panelworks.session import materialise
 
+STEPS_AT_ONCE = 3  # steps of an iterative fit that one job takes
+
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p",
                  weight: str | None = None) -> DataFrame:
@@ -229,8 +231,9 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
 
     Newton steps over all groups at once, until the gradient of every group is
     below ``tolerance`` per row; a step that raises the loss is halved. Each step
-    is one stored aggregate of a few sums over the distinct scores, so no group is
-    ever fitted in a single task. A group with one class has no fit. Raises when
+    is an aggregate of a few sums over the distinct scores, so no group is ever
+    fitted in a single task; ``STEPS_AT_ONCE`` of them make one stored table, and a
+    settled group stays where it is. A group with one class has no fit. Raises when
     ``most_steps`` do not suffice.
     """
     keys = list(by) or ["_all"]
@@ -246,7 +249,8 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
         *keys, *[zero.alias(c) for c in ("slope", "intercept", "w0", "b0", "dw", "db")],
         F.lit(float("inf")).alias("loss0")), "calibration_step")
     w, b, x = F.col("slope"), F.col("intercept"), F.col("_x")
-    for _ in range(most_steps):
+
+    def advanced(trial: DataFrame) -> DataFrame:
         # the parameters are one row per group; without groups that is a single row
         at = null_safe_join(points, trial if by else F.broadcast(trial), keys)
         z = w * x + b
@@ -273,9 +277,14 @@ def calibration_fit(scored: DataFrame, by: Sequence[str] = (), y: str = "y", p:
             F.when(done, 0.0).when(better, -ratio(ww * gb - wb * gw, det)).otherwise(F.col("db") / 2).alias("db"),
             F.when(done, w).alias("_w"), F.when(done, b).alias("_b"),
         )
-        trial = materialise(judged.select(
+        return judged.select(
             *keys, "w0", "b0", "dw", "db", "loss0", "done", F.coalesce("_w", F.col("w0") + F.col("dw")).alias("slope"),
-            F.coalesce("_b", F.col("b0") + F.col("db")).alias("intercept")), "calibration_step")
+            F.coalesce("_b", F.col("b0") + F.col("db")).alias("intercept"))
+
+    for _ in range(-(-most_steps // STEPS_AT_ONCE)):
+        for _ in range(STEPS_AT_ONCE):
+            trial = advanced(trial)
+        trial = materialise(trial, "calibration_step")
         if not trial.where(~F.col("done")).limit(1).count():
             break
     else:
