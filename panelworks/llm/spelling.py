@@ -259,10 +259,11 @@ words AS (
   SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
 v AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
 cut AS (
-  SELECT DISTINCT word, n, unnest(list_append([word[1 : i - 1] || word[i + 1 :] for i in range(1, length(word) + 1)], word)) AS part FROM v),
+  SELECT word, n, k, CASE WHEN k = 0 THEN word ELSE word[1 : k - 1] || word[k + 1 :] END AS part
+  FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS k FROM v) z),
 near AS (
   SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.part = b.part AND a.word <> b.word
-  WHERE abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1),
+  WHERE (a.k = b.k AND a.k > 0) OR (a.k = 0 AND b.k > 0) OR (a.k > 0 AND b.k = 0)),
 best AS (
   SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word),
 known AS (
