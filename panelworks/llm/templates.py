@@ -122,14 +122,6 @@ def _hashes(columns: Iterable[np.ndarray], n: int, size: int) -> np.ndarray:
     return total
 
 
-def _bits(flags: np.ndarray, size: int, n: int) -> np.ndarray:
-    """For each window of ``size`` words the places of its marked words, as bits of one number."""
-    out = np.zeros(n, np.int64)
-    for k in range(size):
-        out |= flags[k : k + n].astype(np.int64) << k
-    return out
-
-
 def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.ndarray, size: int,
              wanted_names: np.ndarray | None = None) -> Iterator[tuple]:
     """(exact, opened, starts, hashes, slots) of the windows of ``size`` words in one document, for each way to read them.
@@ -166,16 +158,27 @@ def readings(canon: np.ndarray, own: np.ndarray, owner: np.ndarray, opener: np.n
     rank, count = (np.concatenate([[0], np.cumsum(x)]) for x in (opener, slot))
     openers, count = (rank[size:] - rank[:-size])[:n], (count[size:] - count[:-size])[:n]
     if wanted_names is not None:
-        fixed, free = _bits(names, size, n), _bits(opener, size, n)
-        masks = sliding_window_view(slot, size)
-        for pattern in wanted_names.tolist():
-            more = pattern & ~fixed  # the openers that this pattern reads as names
-            fits = inside & ((fixed & ~pattern) == 0) & ((more & ~free) == 0) & (more != 0)
-            starts = np.nonzero(fits & (2 * (count + np.bitwise_count(more)) <= size))[0]
-            if len(starts):
-                chosen = (more[starts][:, None] >> np.arange(size) & 1).astype(bool)
-                total = _hashes((np.where(chosen[:, k], NAME, canon[starts + k]) for k in range(size)), len(starts), size)
-                yield False, True, starts, total, lambda at, m=chosen | masks[starts]: m[at]
+        at = np.nonzero(inside & (openers > 0) & (2 * (count + 1) <= size))[0] if len(wanted_names) else count[:0]
+        # windows by where their names and openers are: each combination is judged once
+        code = np.zeros(len(at), np.int32)
+        for k in range(size):
+            code |= names[at + k].astype(np.int32) << k | opener[at + k].astype(np.int32) << (k + size)
+        order = np.argsort(code, kind="stable")
+        kinds, edge = np.unique(code[order], return_index=True)
+        read: dict[int, list[np.ndarray]] = {}
+        for kind, windows in zip(kinds.tolist(), np.split(at[order], edge[1:])):
+            fixed, free = kind & ((1 << size) - 1), kind >> size
+            for pattern in wanted_names.tolist():
+                more = pattern & ~fixed  # the openers that this pattern reads as names
+                if more and not (fixed & ~pattern or more & ~free):
+                    read.setdefault(more, []).append(windows)
+        masks = sliding_window_view(slot, size) if read else None
+        for more, parts in read.items():
+            starts = np.concatenate(parts)
+            starts = starts[2 * (count[starts] + more.bit_count()) <= size]
+            chosen = np.array([more >> k & 1 == 1 for k in range(size)])
+            total = _hashes((np.full(len(starts), NAME) if chosen[k] else canon[starts + k] for k in range(size)), len(starts), size)
+            yield False, True, starts, total, lambda at, s=starts, m=masks, c=chosen: m[s[at]] | c
         return
     having = [np.nonzero(inside & (openers >= k) & (2 * (count + 1) <= size))[0] for k in range(size + 1)]
     for choice in range(1, 1 << max((k for k in range(size + 1) if len(having[k])), default=0)):
