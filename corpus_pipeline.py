@@ -15,27 +15,39 @@ from panelworks.session import materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence."""
+    """Documents whose language is told with enough confidence.
+
+    A null text, an empty one and one without a letter go; repeated rows are judged
+    alike; a null doc_id is no reason to go. Without any labelled row all rows stay.
+    """
     return langid.known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of near-equal documents."""
+    """The smallest doc_id of every group of near-equal documents.
+
+    A row without doc_id stays. Texts without words are one group. Rows that repeat
+    the smallest doc_id stay as often as they stand there.
+    """
     return simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no part of a benchmark item."""
+    """Documents that hold no part of a benchmark item.
+
+    A row without doc_id, a null text and an empty one stay; null items and an empty
+    benchmark match nothing; rows of one doc_id go together.
+    """
     return templates.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks in place of their secrets."""
+    """All documents, with marks in place of their secrets, and n_chars counted again; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document's ids and decoded text."""
+    """Token counts and digests of every row's ids and decoded text; a null text counts as empty."""
     return bpe.digests(bpe.round_trip(docs))
 
 
