@@ -126,6 +126,15 @@ def draw_weights(df: DataFrame, key: str, replicates: int, seed: int = K.SEED, b
     return joined.select(*by, "replicate", key, "weight")
 
 
+def _with_weights(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with the weights of their place.
+
+    The planner takes a packed array for a few bytes, so by size it would collect the
+    weights of all students at the driver to broadcast them: both sides are shuffled.
+    """
+    return null_safe_join(rows.hint("merge"), weights.hint("merge"), [*by, "place"])
+
+
 def _score_sums(by: list[str], scores: list[str], replicates: int):
     """Weighted positives and negatives of every replicate per distinct score of a batch."""
     def fn(batches):
@@ -212,7 +221,7 @@ def bootstrap_auc(scored: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, k
     folded = scored.groupBy(*by, key, *[F.col(c).cast("double").alias(n) for c, n in zip(scores, names)]).agg(
         F.sum(y).cast("long").alias("_pos"), F.sum(1 - F.col(y)).cast("long").alias("_neg"))
     located = null_safe_join(folded, places.select(*by, key, "place"), [*by, key])
-    weighted = null_safe_join(located.drop(key), weight_arrays(places, replicates, seed, by), [*by, "place"])
+    weighted = _with_weights(located.drop(key), weight_arrays(places, replicates, seed, by), by)
     group = fields(scored, by)
     sums = materialise(in_batches(weighted.drop("place"), _score_sums(by, names, replicates),
                                   f"{group}score string, _s double, pos binary, neg binary"), "bootstrap-sums")

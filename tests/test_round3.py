@@ -248,3 +248,13 @@ def test_models_do_not_depend_on_company(spark, competition):
     alone = MO.score(MO.fit(train, "GradientBoosting", spec), test).select("legajo", "academic_period", F.col("p").alias("q"))
     both = scored.where("model_name = 'GradientBoosting'").join(alone, ["legajo", "academic_period"])
     assert both.count() == test.count() and both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-12
+
+
+def test_bootstrap_weights_are_never_broadcast(spark, monkeypatch):
+    seen, plain = [], RS.in_batches
+    monkeypatch.setattr(RS, "in_batches", lambda df, fn, schema: (seen.append(df), plain(df, fn, schema))[1])
+    df = spark.range(40).selectExpr("cast(id as string) id", "cast(id % 2 as int) y", "id / 40.0 p")
+    assert RS.bootstrap_auc(df, 5).count() == 5
+    weighted = next(x for x in seen if "weights" in x.columns)
+    joins = [line for line in weighted._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0] and "Broadcast" not in joins[0]
