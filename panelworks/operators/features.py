@@ -10,33 +10,37 @@ from pyspark.sql import functions as F
 
 from panelworks import constants as K
 from panelworks.functions.numeric import ratio
-from panelworks.operators.ordered import exact_quantiles, melt
+from panelworks.operators.ordered import melt, null_safe_join, quantiles_of_counts, value_counts
 
 
-def numeric_parameters(train: DataFrame, features: Sequence[str] = K.NUMERIC_FEATURES) -> DataFrame:
+def numeric_parameters(train: DataFrame, features: Sequence[str] = K.NUMERIC_FEATURES, weight: str | None = None) -> DataFrame:
     """Per feature: median, and mean and population deviation after median imputation.
 
-    A feature without deviation keeps a scale of one.
+    A feature without deviation keeps a scale of one. ``weight`` is the column that
+    tells how many rows a row stands for. Sums run over the distinct values.
     """
-    long = melt(train, [], features)
-    base = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("_k"), F.avg("value").alias("_m"),
-        F.var_pop("value").alias("_v"))
-    middle = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
-    joined = base.join(middle, "feature", "left")
-    n, k, gap = F.col("n"), F.col("_k"), F.col("n") - F.col("_k")
-    known, centre = F.coalesce("_m", F.lit(0.0)), F.coalesce("median", F.lit(0.0))
-    mean = ratio(k * known + gap * centre, n)
-    spread = k * (F.coalesce("_v", F.lit(0.0)) + (known - mean) * (known - mean)) + gap * (centre - mean) * (centre - mean)
-    scale = F.sqrt(ratio(spread, n))
+    weighted = train.withColumn("_w", F.col(weight) if weight else F.lit(1))
+    long = melt(weighted, ["_w"], features)
+    counts = long.groupBy("feature", "value").agg(F.sum("_w").alias("_n"))
+    known = value_counts(counts, ["feature"], "value", _n=F.col("_n"))
+    middle = quantiles_of_counts(known, ["feature"], "value", "_n", {"median": 0.5})
+    # deviations from the median, which missing values take, so these add nothing
+    off = F.coalesce(F.col("value") - F.coalesce("median", F.lit(0.0)), F.lit(0.0))
+    joined = null_safe_join(counts, middle, ["feature"], "left").groupBy("feature").agg(
+        F.sum("_n").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("_n")).otherwise(0)).alias("_k"),
+        F.max("median").alias("median"), F.sum(F.col("_n") * off).alias("_s"), F.sum(F.col("_n") * off * off).alias("_q"))
+    n, centre = F.col("n"), F.coalesce("median", F.lit(0.0))
+    shift = ratio(F.col("_s"), n)
+    mean = centre + shift
+    scale = F.sqrt(F.greatest(ratio(F.col("_q"), n) - shift * shift, F.lit(0.0)))
     return joined.select(
         "feature", "n", F.col("_k").alias("n_known"), "median", mean.alias("mean"),
         F.when(scale == 0, 1.0).otherwise(scale).alias("scale"))
 
 
-def most_frequent(train: DataFrame, column: str = K.CATEGORY_FEATURE) -> DataFrame:
+def most_frequent(train: DataFrame, column: str = K.CATEGORY_FEATURE, weight: str | None = None) -> DataFrame:
     """Most frequent value, the smallest of equals."""
-    counted = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counted = train.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(weight or F.lit(1)).alias("n"))
     return counted.orderBy(F.desc("n"), column).limit(1)
 
 
@@ -49,11 +53,12 @@ class Preparation:
     usual: str | None
 
     @classmethod
-    def fit(cls, train: DataFrame, features: Sequence[str], category: str | None = K.CATEGORY_FEATURE) -> Preparation:
+    def fit(cls, train: DataFrame, features: Sequence[str], category: str | None = K.CATEGORY_FEATURE,
+            weight: str | None = None) -> Preparation:
         # one row per feature and one category come to the driver
-        rows = {r["feature"]: r for r in numeric_parameters(train, features).collect()}
+        rows = {r["feature"]: r for r in numeric_parameters(train, features, weight).collect()}
         numeric = {f: (rows[f]["median"] or 0.0, rows[f]["mean"], rows[f]["scale"]) for f in features}
-        usual = most_frequent(train, category).head() if category else None
+        usual = most_frequent(train, category, weight).head() if category else None
         return cls(numeric, category, usual[0] if usual else None)
 
     def expressions(self) -> list[str]:

@@ -20,6 +20,8 @@ from panelworks.operators.features import Preparation
 from panelworks.session import concurrently, materialise
 
 LABEL = "dropout_next"
+WEIGHT = "x_weight"
+PART_ROWS = 65_536  # stored training rows that one task works on, about
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,7 @@ class TrainSpec:
 
 def classifier(name: str, spec: TrainSpec, n_train: int):
     """One of the three candidates."""
-    common = {"featuresCol": "features", "labelCol": "x_label"}
+    common = {"featuresCol": "features", "labelCol": "x_label", "weightCol": WEIGHT}
     if name == "GradientBoosting":
         return GBTClassifier(maxIter=spec.trees, maxDepth=3, subsamplingRate=0.8, stepSize=0.1, seed=spec.seed, **common)
     if name == "RandomForest":
@@ -68,20 +70,33 @@ def training_table(train: DataFrame, spec: TrainSpec) -> DataFrame:
     """The training columns, stored once: a fit passes over them many times.
 
     Rows are placed by a hash of their key (student and half-year), so equal
-    feature rows are spread, in ``spec.parts`` parts whatever the cluster, and
-    ordered inside a part. ``fit`` deals them out by part again.
+    feature rows are spread, in ``spec.parts`` parts whatever the cluster. Rows of a
+    part that are equal in all features and the label are one row with their number
+    as weight: features are small counts, shares and days, so their distinct rows
+    grow far slower than the students. No row is left out.
     """
     columns = [*spec.numeric, *([spec.category] if spec.category else [])]
     keys = [c for c in spec.keys if c in train.columns] or columns
     part = F.pmod(F.xxhash64(*keys), F.lit(spec.parts)).cast("int")
     rows = train.select(*columns, F.col(spec.label).cast("double").alias("x_label"), part.alias("x_part"), F.xxhash64(*keys).alias("x_row"))
-    return materialise(rows, "train")
+    return materialise(rows.groupBy(*columns, "x_label", "x_part").agg(
+        F.min("x_row").alias("x_row"), F.count(F.lit(1)).alias(WEIGHT)), "train")
+
+
+def training_rows(stored: DataFrame) -> int:
+    """How many rows a stored training table stands for."""
+    return stored.agg(F.sum(WEIGHT)).first()[0] or 0
 
 
 def _dealt(rows: DataFrame, spec: TrainSpec) -> DataFrame:
-    """Training rows in the same partitions and order on any number of cores: fits sample by partition."""
-    order = [c for c in rows.columns if c != "x_part"]
-    return rows.repartition(spec.parts, "x_part").sortWithinPartitions("x_part", "x_row", *[c for c in order if c != "x_row"])
+    """Training rows in the same partitions and order on any number of cores: fits sample by partition.
+
+    There are ``spec.parts`` of them, and more where these would be too large for a task.
+    """
+    parts = max(spec.parts, -(-rows.count() // PART_ROWS))  # counted from the files' footers
+    order = [c for c in rows.columns if c not in ("x_part", "x_row")]
+    dealt = rows.repartitionById(parts, F.pmod("x_row", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("x_row", *order)
 
 
 def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = TrainSpec(), stored: bool = False
@@ -90,8 +105,8 @@ def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = Trai
     # dealt once for all passes of this fit; a lost part is dealt again from the stored table
     rows = _dealt(train if stored else training_table(train, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        prepared = Preparation.fit(rows, spec.numeric, spec.category)
-        stages = [*preparation_stages(prepared, spec), classifier(name, spec, rows.count())]
+        prepared = Preparation.fit(rows, spec.numeric, spec.category, WEIGHT)
+        stages = [*preparation_stages(prepared, spec), classifier(name, spec, training_rows(rows))]
         return Pipeline(stages=stages).fit(rows)
     finally:
         rows.unpersist()
@@ -117,7 +132,7 @@ def compete_scores(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec
     The last is one row per candidate.
     """
     rows = training_table(train, spec)
-    n_train = rows.count()
+    n_train = training_rows(rows)
 
     def timed(name: str) -> tuple[PipelineModel, float]:
         start = time.time()

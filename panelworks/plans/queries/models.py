@@ -62,7 +62,7 @@ def _test(s, d):
 def fea_04(s, d):
     """One-hot width and non-zero entries of test rows; unseen programmes are all zero."""
     train = MO.training_table(_train(s, d).where(F.col("cod_carrera") != "Brand#7"), SPEC)
-    prepared = MO.Preparation.fit(train, SPEC.numeric, SPEC.category)
+    prepared = MO.Preparation.fit(train, SPEC.numeric, SPEC.category, MO.WEIGHT)
     fitted = MO.Pipeline(stages=MO.preparation_stages(prepared, SPEC)).fit(train)
     codes = F.aggregate(MO.vector_to_array("x_codes"), F.lit(0.0), lambda a, x: a + x)
     return fitted.transform(_test(s, d)).groupBy("cod_carrera").agg(

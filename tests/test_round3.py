@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import duckdb
@@ -258,3 +259,37 @@ def test_bootstrap_weights_are_never_broadcast(spark, monkeypatch):
     weighted = next(x for x in seen if "weights" in x.columns)
     joins = [line for line in weighted._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert "SortMergeJoin" in joins[0] and "Broadcast" not in joins[0]
+
+
+def test_equal_training_rows_are_stored_once_with_their_number(spark, folder):
+    rows = M.modelled(spark, folder).select(*MO.TrainSpec().numeric, "cod_carrera", "dropout_next", "legajo", "academic_period")
+    copies = rows.crossJoin(spark.range(12)).withColumn("legajo", F.concat_ws("-", "legajo", "id")).drop("id")
+    spec = MO.TrainSpec(trees=2, parts=4)
+    table = MO.training_table(copies, spec)
+    assert table.count() <= 4 * rows.count() < MO.training_rows(table) == copies.count()
+    # the weights say what the rows say
+    plain, folded = MO.Preparation.fit(copies, spec.numeric, spec.category), MO.Preparation.fit(table, spec.numeric, spec.category, MO.WEIGHT)
+    assert plain.usual == folded.usual
+    for name, values in plain.numeric.items():
+        assert folded.numeric[name] == pytest.approx(values, rel=1e-9)
+    gradients = AU.logistic_gradient(MO.fit(copies, "LogisticRegression", spec), copies).collect()
+    assert max(abs(r["gradient"]) for r in gradients) < 1e-5
+
+
+def test_large_training_tables_have_more_parts(spark, folder, monkeypatch):
+    spec = MO.TrainSpec(parts=3)
+    table = MO.training_table(M.modelled(spark, folder), spec)
+    assert MO._dealt(table, spec).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(MO, "PART_ROWS", 20)
+    sizes = MO._dealt(table, spec).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == table.count() and max(r["count"] for r in sizes) < 60
+
+
+def test_top_hits_orders_one_range_only(spark):
+    rows = [(f"s{i}", int(i % 3 == 0), (i * 37 % 50) / 50) for i in range(431)]
+    scored = spark.createDataFrame(rows, "id string, y int, p double")
+    order = sorted(rows, key=lambda r: (-r[2], hashlib.md5(r[0].encode()).hexdigest(), r[0]))
+    for share in (1, 10, 50, 100):
+        k = 431 * share // 100
+        assert AU.top_hits(scored, share) == pytest.approx(sum(r[1] for r in order[:k]) / k)
+    assert AU.top_hits(scored.limit(5)) is None
