@@ -25,9 +25,17 @@ def clean_id(column: Column) -> Column:
 _NUMBER = (r"^[\x00-\x20]*[-+]?((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?[dDfF]?|(?i:inf|infinity|nan)|0[xX].*)[\x00-\x20]*$")
 
 
+# the code points such a text can begin with: blanks, digits, + - . and i I n N
+_FIRST = tuple(map(ord, "+-.0123456789iInN"))
+
+
 def number(column: Column) -> Column:
-    """The text as a double, NULL when it is none: ``try_cast`` without an exception for every other text."""
-    return F.when(column.rlike(_NUMBER), column.try_cast("double"))
+    """The text as a double, NULL when it is none: ``try_cast`` without an exception for every other text.
+
+    The shape is not matched where the first sign already rules a number out.
+    """
+    first = F.ascii(column)
+    return F.when(((first <= 32) | first.isin(*_FIRST)) & column.rlike(_NUMBER), column.try_cast("double"))
 
 
 def decimal_point(column: Column) -> Column:

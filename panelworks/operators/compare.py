@@ -1,9 +1,8 @@
 """Comparison of two versions of a table: missing values, distinct values, distance.
 
-A first aggregate over whole rows, one row per side, tells the kind of every
-column. Then all columns are melted and counted per value in one shuffle whose
-keys have a fixed width: a number, or a 128-bit digest of a text. The counts are
-stored, and all figures of the comparison derive from them.
+All columns are melted and counted per value in one shuffle whose keys have a fixed
+width: the 128-bit digest of a text and its number. Both tables are read once; the
+counts are stored, and the kinds and all figures of the comparison derive from them.
 """
 
 from __future__ import annotations
@@ -36,10 +35,9 @@ def _melted(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
                           for i, c in enumerate(names) if c in df.columns])
         return df.select(F.inline(pairs), F.lit(side).alias("side"))
 
-    value = number(F.col("t"))
-    missing = (F.col("t") == "") | F.isnan(F.coalesce(value, F.lit(0.0)))
-    both = cells(a, "a").unionByName(cells(b, "b"))
-    return both.select("_c", "side", F.when(~missing, F.col("t")).alias("valor"), F.when(~missing, value).alias("v"))
+    both = cells(a, "a").unionByName(cells(b, "b")).withColumn("x", number(F.col("t")))  # read as a number once
+    missing = (F.col("t") == "") | F.isnan(F.coalesce("x", F.lit(0.0)))
+    return both.select("_c", "side", F.when(~missing, F.col("t")).alias("valor"), F.when(~missing, F.col("x")).alias("v"))
 
 
 def _named(names: Sequence[str]) -> Column:
@@ -52,41 +50,55 @@ def date_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return sorted(c for c, kind in types.items() if kind in ("date", "timestamp", "timestamp_ntz"))
 
 
-def column_kinds(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def value_cells(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(columna, v, h1, h2, n_a, n_b), stored: cells counted by the digest of their text and its number.
+
+    The only pass over both tables. A missing cell has neither digest nor number. A column
+    without any cell has no row here.
+    """
+    names = _names(a, b, columns)
+    present = F.col("valor").isNotNull()
+    keys = ["v", "h1", "h2"]
+    cells = _melted(a, b, names).select(
+        "_c", "side", "v", F.when(present, F.xxhash64("valor")).alias("h1"),
+        F.when(present, F.xxhash64(F.lit("other seed"), "valor")).alias("h2"))
+    counts = cells.groupBy("_c", *keys).agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "ab"])
+    return materialise(counts.select(_named(names), *keys, "n_a", "n_b"), "comparison-cells")
+
+
+def column_kinds(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(columna, rows_a, rows_b, null_a, null_b, tipo) over the union of columns, stored: one row per column.
 
     A column one side lacks has no rows on that side. A column is numeric when every
     present value of side A (of side B when A lacks the column, or has no rows) is a
-    number, and a date when its type says so. Sums per column are all that is shuffled.
+    number, and a date when its type says so. ``cells`` are stored ``value_cells``.
     """
-    names = _names(a, b, columns)
-    present, odd = F.col("valor").isNotNull(), F.col("valor").isNotNull() & F.col("v").isNull()
+    cells = value_cells(a, b, columns) if cells is None else cells
+    present, zero = F.col("h1").isNotNull(), F.lit(0)
     sums = []
-    for side in "ab":
-        here = F.col("side") == side
-        sums += [F.count_if(here).alias(f"rows_{side}"), F.count_if(here & ~present).alias(f"null_{side}"),
-                 F.count_if(here & odd).alias(f"_odd_{side}")]
-    out = _melted(a, b, names).groupBy("_c").agg(*sums).select(_named(names), *[f"{c}_{x}" for c in ("rows", "null", "_odd") for x in "ab"])
+    for x in "ab":
+        n = F.col(f"n_{x}")
+        sums += [F.sum(n).alias(f"rows_{x}"), F.sum(F.when(present, zero).otherwise(n)).alias(f"null_{x}"),
+                 F.sum(F.when(present & F.col("v").isNull(), n).otherwise(zero)).alias(f"_odd_{x}")]
+    out = cells.groupBy("columna").agg(*sums).select("columna", *[f"{c}_{x}" for c in ("rows", "null", "_odd") for x in "ab"])
     odd = F.when(F.col("rows_a") > 0, F.col("_odd_a")).otherwise(F.col("_odd_b"))
     kind = F.when(F.col("columna").isin(date_columns(a, b)), "datetime").when(odd == 0, "numeric").otherwise("categorical")
     return materialise(out.withColumn("tipo", kind).drop("_odd_a", "_odd_b"), "comparison-kinds")
 
 
-def cell_counts(a: DataFrame, b: DataFrame, kinds: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def cell_counts(a: DataFrame, b: DataFrame, kinds: DataFrame, columns: Sequence[str] | None = None, cells: DataFrame | None = None
+                ) -> DataFrame:
     """(columna, v, h1, h2, n_a, n_b), stored: numeric columns by value, others by the digest of their text.
 
-    A missing cell has neither.
+    A missing cell has neither. ``cells`` are stored ``value_cells``; texts of one number are added up.
     """
-    names = _names(a, b, columns)
-    numeric = {r[0] for r in kinds.where("tipo = 'numeric'").select("columna").collect()}  # one row per column
-    is_number = F.col("_c").isin([i for i, c in enumerate(names) if c in numeric])
-    coded = ~is_number & F.col("valor").isNotNull()
-    cells = _melted(a, b, names).select(
-        "_c", "side", F.when(is_number, F.col("v")).alias("v"),
-        F.when(coded, F.xxhash64("valor")).alias("h1"), F.when(coded, F.xxhash64(F.lit("other seed"), "valor")).alias("h2"))
-    keys = ["v", "h1", "h2"]
-    counts = cells.groupBy("_c", *keys).agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "ab"])
-    return materialise(counts.select(_named(names), *keys, "n_a", "n_b"), "comparison-counts")
+    cells = value_cells(a, b, columns) if cells is None else cells
+    numeric = [r[0] for r in kinds.where("tipo = 'numeric'").select("columna").collect()]  # one row per column
+    is_number, keys = F.col("columna").isin(numeric), ["columna", "v", "h1", "h2"]
+    texts = cells.where(~is_number).withColumn("v", F.lit(None).cast("double"))
+    numbers = cells.where(is_number).groupBy("columna", "v").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    none = F.lit(None).cast("long")
+    return materialise(texts.unionByName(numbers.withColumns({"h1": none, "h2": none})).select(*keys, "n_a", "n_b"), "comparison-counts")
 
 
 def text_counts(a: DataFrame, b: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -126,8 +138,9 @@ def categorical_distance(counts: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def comparison_table(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column, largest distance first, unknown distance last."""
-    kinds = column_kinds(a, b, columns)
-    return compared(cell_counts(a, b, kinds, columns), kinds)
+    cells = value_cells(a, b, columns)
+    kinds = column_kinds(a, b, columns, cells)
+    return compared(cell_counts(a, b, kinds, columns, cells), kinds)
 
 
 def compared(counts: DataFrame, kinds: DataFrame) -> DataFrame:

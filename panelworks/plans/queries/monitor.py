@@ -116,13 +116,17 @@ def _versions(s, d):
     return a, b
 
 
+def _values(s, d):
+    """Counts of both versions by text and number, stored once for all comparisons."""
+    return M._once(s, d, "cmp_values", lambda: CP.value_cells(*_versions(s, d)))
+
+
 def _kinds(s, d):
-    return M._once(s, d, "cmp_kinds", lambda: CP.column_kinds(*_versions(s, d)))
+    return M._once(s, d, "cmp_kinds", lambda: CP.column_kinds(*_versions(s, d), cells=_values(s, d)))
 
 
 def _cells(s, d):
-    """Counts of both versions, stored once for all comparisons."""
-    return M._once(s, d, "cmp_cells", lambda: CP.cell_counts(*_versions(s, d), _kinds(s, d)))
+    return M._once(s, d, "cmp_cells", lambda: CP.cell_counts(*_versions(s, d), _kinds(s, d), cells=_values(s, d)))
 
 
 def cmp_01(s, d):
