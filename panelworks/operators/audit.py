@@ -18,10 +18,11 @@ from panelworks.operators.modeling import LABEL, TrainSpec
 from panelworks.session import materialise, scratch_path
 
 
-def area(scored: DataFrame, y: str = "y", p: str = "p") -> float:
-    """ROC area by Spark ML, every distinct score a threshold."""
-    rows = scored.select(F.col(y).cast("double").alias("label"), F.col(p).cast("double").alias("p"))
-    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", numBins=0).evaluate(rows)
+def area(scored: DataFrame, y: str = "y", p: str = "p", weight: str | None = None) -> float:
+    """ROC area by Spark ML, every distinct score a threshold; ``weight`` tells how many rows a row stands for."""
+    rows = scored.select(F.col(y).cast("double").alias("label"), F.col(p).cast("double").alias("p"),
+                         (F.col(weight) if weight else F.lit(1)).cast("double").alias("w"))
+    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", weightCol="w", numBins=0).evaluate(rows)
 
 
 def squared_error(scored: DataFrame, y: str = "y", p: str = "p") -> float:

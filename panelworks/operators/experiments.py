@@ -18,7 +18,7 @@ from panelworks.operators import resample as RS
 from panelworks.operators import splits as SP
 from panelworks.operators.evaluation import several_scores
 from panelworks.operators.ordered import exact_quantiles, null_safe_join, running_totals
-from panelworks.session import concurrently, materialise
+from panelworks.session import concurrently, fan_out, materialise
 
 Fit = Callable[[DataFrame, str], PipelineModel]
 PERIOD = SP.PERIOD
@@ -220,7 +220,10 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
 
 def permuted_scores(model: PipelineModel, test: DataFrame, features: Sequence[str], repeats: int = K.PERMUTATION_REPEATS,
                     key: str = "legajo", label: str = "dropout_next", seed: int = K.SEED) -> DataFrame:
-    """(feature, repeat, y, p) of all shuffled copies, stored; the untouched rows have an empty feature."""
+    """(feature, repeat, y, p, n) of all shuffled copies, stored; the untouched rows have an empty feature.
+
+    ``n`` copies with equal features and label are scored once, over all repeats of a feature.
+    """
     features = list(features)
     rows = test.select(F.col(key).alias("_id"), F.col(label).alias("_y"), *features)
     bucket = F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
@@ -233,18 +236,23 @@ def permuted_scores(model: PipelineModel, test: DataFrame, features: Sequence[st
     repeated = rows.select(*["_id", *features], F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     donors = placed(repeated, ["repeat"], F.concat_ws("-", F.lit(str(seed)), F.col("repeat").cast("string"))).select(
         "_place", "repeat", *[F.col(f).alias(f"d_{f}") for f in features])
-    met = base.join(donors, "_place")
+    met = fan_out(base.join(donors, "_place"))  # each row turns into one per feature
     copies = F.array(*[
         F.struct(F.lit(f).alias("feature"), *[F.col(f"d_{g}" if g == f else g).alias(g) for g in features]) for f in features
     ])
     shuffled = met.select("repeat", F.col("_y").alias("y"), F.inline(copies))
     untouched = base.select(F.lit(0).alias("repeat"), F.col("_y").alias("y"), F.lit("").alias("feature"), *features)
-    return materialise(MO.score(model, shuffled.unionByName(untouched)).select("feature", "repeat", "y", "p"), "permuted")
+    turns = range(repeats + 1)
+    equal = shuffled.unionByName(untouched).groupBy("feature", "y", *features).agg(
+        *[F.count_if(F.col("repeat") == r).alias(f"_n{r}") for r in turns])
+    scored = MO.score(model, fan_out(equal))
+    counts = F.filter(F.array(*[F.struct(F.lit(r).alias("repeat"), F.col(f"_n{r}").alias("n")) for r in turns]), lambda c: c["n"] > 0)
+    return materialise(scored.select("feature", "y", "p", F.inline(counts)), "permuted")
 
 
 def permutation_table(scored: DataFrame) -> DataFrame:
     """``permutation_importance`` from the stored scores."""
-    aucs = ME.roc_auc(scored, ["feature", "repeat"])
+    aucs = ME.roc_auc(scored, ["feature", "repeat"], weight="n")
     whole = aucs.where("feature = ''").select("auc").scalar()
     return aucs.where("feature <> ''").withColumn("_drop", whole - F.col("auc")).groupBy("feature").agg(
         rounded(F.avg("_drop"), 4).alias("caida_auc_media"), rounded(F.stddev_pop("_drop"), 4).alias("std"),

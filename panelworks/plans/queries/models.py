@@ -169,9 +169,9 @@ def abl_paired_values(s, d):
 def prm_01_values(s, d):
     """Drop and deviation of one feature over all repeats."""
     scored, name = _permuted(s, d), K.RECENCY_FEATURE
-    whole = AU.area(scored.where("feature = ''"))
+    whole = AU.area(scored.where("feature = ''"), weight="n")
     repeats = [r[0] for r in scored.where(F.col("feature") == name).select("repeat").distinct().collect()]
-    drops = [whole - AU.area(scored.where((F.col("feature") == name) & (F.col("repeat") == r))) for r in repeats]
+    drops = [whole - AU.area(scored.where((F.col("feature") == name) & (F.col("repeat") == r)), weight="n") for r in repeats]
     row = prm_01(s, d).where(F.col("feature") == name).first()
     mean = sum(drops) / len(drops)
     spread = (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5

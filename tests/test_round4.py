@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelworks.functions import text as TX
+from panelworks.operators import audit as AU
 from panelworks.operators import compare as CP
+from panelworks.operators import experiments as EX
+from panelworks.operators import metrics as ME
 
 
 def test_comparison_melts_both_tables_once(spark, monkeypatch):
@@ -25,3 +29,23 @@ def test_first_sign_of_a_number(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "t string")
     wide = rows.selectExpr("t", "try_cast(t AS double) AS c").withColumn("v", TX.number(rows["t"]))
     assert all(r["c"] == r["v"] or repr(r["c"]) == repr(r["v"]) for r in wide.collect())
+
+
+def test_equal_shuffled_rows_are_scored_once(spark, monkeypatch):
+    sizes = []
+
+    def score(model, rows):
+        sizes.append(rows.count())
+        return rows.withColumn("p", (F.col("a") + 2 * F.length("c")) / 10.0)
+
+    monkeypatch.setattr(EX.MO, "score", score)
+    n, repeats = 600, 4
+    test = spark.range(n).select("id", (F.col("id") % 3).alias("a"), F.substring(F.lit("xy"), 1, (F.col("id") % 2 + 1).cast("int")).alias("c"),
+                                 (F.col("id") % 7 < 3).cast("int").alias("y"))
+    got = EX.permuted_scores(None, test, ["a", "c"], repeats, key="id", label="y")
+    assert sizes[0] <= 3 * 6 * 2  # kinds of (feature, a, c, y)
+    sums = {(r[0], r[1]): (r[2], r[3]) for r in got.groupBy("feature", "repeat").agg(F.sum("n"), F.sum(F.col("n") * F.col("y"))).collect()}
+    assert set(sums) == {("", 0), *((f, r) for f in "ac" for r in range(1, repeats + 1))}
+    assert set(sums.values()) == {(n, test.where("y = 1").count())}
+    one = got.where("feature = 'a' and repeat = 2")
+    assert ME.roc_auc(one, weight="n").first()["auc"] == pytest.approx(AU.area(one, weight="n"))
