@@ -50,9 +50,10 @@ def _grouped(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarr
 def draws(positions: np.ndarray, size: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """Drawn places, positions x replicates: 32-bit words of the md5 of (seed, block of four replicates, position)."""
     blocks = -(-replicates // 4)
+    once, at = np.unique(positions, return_inverse=True)  # groups that have a position share its words
     md5, heads = hashlib.md5, [f"{seed}|{b}|".encode() for b in range(blocks)]
-    digests = b"".join(md5(head + tail).digest() for tail in (b"%d" % p for p in positions.tolist()) for head in heads)
-    words = np.frombuffer(digests, ">u4").reshape(len(positions), 4 * blocks)[:, :replicates]
+    digests = b"".join(md5(head + tail).digest() for tail in (b"%d" % p for p in once.tolist()) for head in heads)
+    words = np.frombuffer(digests, ">u4").reshape(len(once), 4 * blocks)[at, :replicates]
     return words.astype(np.int64) % size[:, None]
 
 
@@ -66,10 +67,9 @@ def _packed_draws(by: list[str], replicates: int, seed: int):
                 place, size = (slab.column(c).to_numpy() for c in ("place", "size"))
                 drawn = draws(place, size, replicates, seed)
                 cells = int(size.max()) // CELL + 1
-                key = (group[:, None] * cells + drawn // CELL).ravel()
-                code = ((drawn % CELL) * replicates + np.arange(replicates)).ravel()
-                order = np.argsort(key, kind="stable")
-                key, code = key[order], code[order]
+                drawn += (group * (cells * CELL))[:, None]
+                drawn = np.sort(drawn * replicates + np.arange(replicates), axis=None)
+                key, code = np.divmod(drawn, CELL * replicates)
                 start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
                 codes = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(code.astype(np.int32)))
                 rows = pa.array(first[key[start] // cells])
@@ -100,7 +100,8 @@ def weight_arrays(places: DataFrame, replicates: int, seed: int = K.SEED, by: Se
     Keys that no replicate draws have no row.
     """
     by = list(by)
-    spread = fan_out(places.select(*by, "place", "size"), "place")
+    # equal places of all groups lie side by side
+    spread = fan_out(places.select(*by, "place", "size"), "place").sortWithinPartitions("place")
     packs = in_batches(spread, _packed_draws(by, replicates, seed), f"{fields(places, by)}cell long, codes array<int>")
     reachable(places.sparkSession)
     return packs.groupBy(*by, "cell").applyInArrow(
