@@ -172,12 +172,10 @@ ABLATION_SCORES = dict(zip([*ABLATIONS, BASELINE], ["p_full", "p_no_days", "p_no
 def ablation_scores(train: DataFrame, test: DataFrame, fit_with: Callable[[DataFrame, tuple[str, ...], str], PipelineModel]
                     ) -> DataFrame:
     """Test rows with one score column per variant, the recency baseline and the linear model."""
-    rows = ME.recency_scores(test, out="p_base")
+    rows = fan_out(ME.recency_scores(test, out="p_base"))  # spread once for all models
     jobs = {ABLATION_SCORES[v]: partial(fit_with, train, f, "GradientBoosting") for v, f in ABLATIONS.items()}
     jobs["p_linear"] = partial(fit_with, train, K.NUMERIC_FEATURES, "LogisticRegression")
-    for column, model in concurrently(train.sparkSession, jobs).items():
-        rows = MO.score(model, rows, column)
-    return materialise(rows.select(
+    return materialise(MO.scored(rows, concurrently(train.sparkSession, jobs)).select(
         F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), *jobs, "p_base"), "ablation")
 
 
@@ -245,7 +243,7 @@ def permuted_scores(model: PipelineModel, test: DataFrame, features: Sequence[st
     turns = range(repeats + 1)
     equal = shuffled.unionByName(untouched).groupBy("feature", "y", *features).agg(
         *[F.count_if(F.col("repeat") == r).alias(f"_n{r}") for r in turns])
-    scored = MO.score(model, fan_out(equal))
+    scored = MO.score(model, equal)
     counts = F.filter(F.array(*[F.struct(F.lit(r).alias("repeat"), F.col(f"_n{r}").alias("n")) for r in turns]), lambda c: c["n"] > 0)
     return materialise(scored.select("feature", "y", "p", F.inline(counts)), "permuted")
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelworks import constants as K
 from panelworks.operators.evaluation import evaluations
 from panelworks.operators.features import Preparation
-from panelworks.session import concurrently, materialise
+from panelworks.session import concurrently, fan_out, materialise
 
 LABEL = "dropout_next"
 WEIGHT = "x_weight"
@@ -113,16 +113,26 @@ def fit(train: DataFrame, name: str = "GradientBoosting", spec: TrainSpec = Trai
 
 
 def score(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
-    """Rows with the probability of the positive class."""
-    scored = model.transform(rows)
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias(out))
+    """Rows with the probability of the positive class.
+
+    A half-year of the stored panel is one small file of very many rows, which a scan
+    gives to one task; its rows are spread before a hundred trees meet each of them.
+    """
+    return scored(fan_out(rows), {out: model})
+
+
+def scored(rows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
+    """Rows, where they lie, with one probability column per model."""
+    for out, model in models.items():
+        rows = model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias(out))
+    return rows
 
 
 def compete(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = TrainSpec()
             ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Fit the candidates side by side, evaluate all on the same rows, mark the best AUC."""
-    scored, models, facts = compete_scores(train, val, cycle, spec)
-    return evaluations(scored).join(F.broadcast(facts), "model_name"), models
+    stacked, models, facts = compete_scores(train, val, cycle, spec)
+    return evaluations(stacked).join(F.broadcast(facts), "model_name"), models
 
 
 def compete_scores(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec = TrainSpec()
@@ -140,15 +150,15 @@ def compete_scores(train: DataFrame, val: DataFrame, cycle: str, spec: TrainSpec
 
     done = concurrently(train.sparkSession, {name: partial(timed, name) for name in spec.candidates})
     models = {name: model for name, (model, _) in done.items()}
-    scored = None
+    stacked = None
     for name, model in models.items():
         part = score(model, val).select(
             F.lit(cycle).alias("cycle_period"), F.lit(name).alias("model_name"), *[c for c in spec.keys if c in val.columns],
             F.col(spec.label).alias("y"), "p")
-        scored = part if scored is None else scored.unionByName(part)
+        stacked = part if stacked is None else stacked.unionByName(part)
     facts = train.sparkSession.createDataFrame(
         [(name, seconds, n_train) for name, (_, seconds) in done.items()], "model_name string, training_time_seconds double, train_size long")
-    return materialise(scored, "candidates"), models, facts.withColumn("evaluated_at", F.current_timestamp())
+    return materialise(stacked, "candidates"), models, facts.withColumn("evaluated_at", F.current_timestamp())
 
 
 def winner(evaluated: DataFrame) -> str:
