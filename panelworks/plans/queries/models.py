@@ -85,8 +85,14 @@ def _kept(s, d, name, build):
     return _fitted[key]
 
 
+def _competition(s, d):
+    """Stored scores of all candidates, the models and their facts: one training table, fits side by side."""
+    return _kept(s, d, "compete", lambda: MO.compete_scores(_train(s, d), _test(s, d), X.LATEST, SPEC))
+
+
 def mod_04(s, d):
-    return M._once(s, d, "mod_04", lambda: MO.compete(_train(s, d), _test(s, d), X.LATEST, SPEC)[0])
+    stacked, _, facts = _competition(s, d)
+    return M._once(s, d, "mod_04", lambda: EV.evaluations(stacked).join(F.broadcast(facts), "model_name"))
 
 
 def _flags(s, rows):
@@ -104,7 +110,7 @@ def _values(s, study, scored, by, published, figures):
 
 
 def mod_04_values(s, d):
-    scored, models, _ = _kept(s, d, "compete", lambda: MO.compete_scores(_train(s, d), _test(s, d), X.LATEST, SPEC))
+    scored, models, _ = _competition(s, d)
     out = _values(s, "mod_04", scored, "model_name", EV.evaluations(scored), {"auc": ("roc_auc", 9), "brier": ("brier_score", 9)})
     steep = AU.logistic_gradient(models["LogisticRegression"], _train(s, d)).agg(F.max(F.abs("gradient"))).first()[0]
     return out.unionByName(_flags(s, [("mod_03", "LogisticRegression", "gradient", steep < 1e-5)]))
@@ -215,17 +221,11 @@ def mod_04_sizes(s, d):
         (F.sum(F.col("is_selected_model").cast("int")).over(Window.partitionBy(F.lit(1))) == 1).alias("one_selected"))
 
 
-def _counts(scored):
-    """Rows, positives and valid probabilities per half-year."""
-    return scored.groupBy("academic_period").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("dropout_next") == 1).alias("n_pos"),
-        F.count_if(F.col("p").between(0, 1)).alias("n_valid"))
-
-
 def mod_scored(s, d):
-    """Size of the test rows each candidate has scored."""
-    parts = [_counts(_candidate(name)(s, d)).withColumn("model_name", F.lit(name)) for name in MO.TrainSpec().candidates]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Size of the test rows each candidate has scored: rows, positives and valid probabilities per half-year."""
+    return _competition(s, d)[0].groupBy("model_name", "academic_period").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"),
+        F.count_if(F.col("p").between(0, 1)).alias("n_valid"))
 
 
 def mod_06(s, d):

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelworks.operators import modeling as MO
+from panelworks.plans import marts as M
+from panelworks.plans.queries import models as Q
+
+
+@pytest.fixture
+def own_models(monkeypatch):
+    """Two trees instead of a hundred, and no models or tables kept for or from other tests."""
+    monkeypatch.setattr(Q, "SPEC", MO.TrainSpec(trees=2, parts=8))
+    monkeypatch.setattr(Q, "_fitted", {})
+    monkeypatch.setattr(M, "_stored", dict(M._stored))
 
 
 def test_test_rows_of_one_file_are_scored_in_many_tasks(spark):
@@ -14,3 +25,15 @@ def test_test_rows_of_one_file_are_scored_in_many_tasks(spark):
     filled = scored.select(F.spark_partition_id().alias("part")).distinct().count()
     assert filled > 1
     assert scored.count() == 400 and scored.where("p > 0.5").count() == rows.where("a < 3").count()
+
+
+def test_candidates_share_one_training_table(spark, folder, monkeypatch, own_models):
+    made, real = [], MO.training_table
+    monkeypatch.setattr(MO, "training_table", lambda *args: made.append(1) or real(*args))
+    sizes = Q.mod_scored(spark, folder).collect()
+    names = Q.mod_04_sizes(spark, folder).collect()
+    assert len(made) == 1
+    test = Q._test(spark, folder)
+    n, n_pos = test.count(), test.where("dropout_next = 1").count()
+    assert {r["model_name"] for r in sizes} == {r["model_name"] for r in names} == set(Q.SPEC.candidates)
+    assert {(r["academic_period"], r["n"], r["n_pos"], r["n_valid"]) for r in sizes} == {(Q.TEST, n, n_pos, n)}
