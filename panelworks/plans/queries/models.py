@@ -382,7 +382,9 @@ def sen_08(s, d):
 
 
 def _label_rows(s, d):
-    rows = SN.relabelled(M.panel(s, d), PN.activity(M.history(s, d)), ST.completed_students(M.progress(s, d)))
+    # stored: two fits, two scorings and both tables read it
+    rows = M._once(s, d, "relabelled", lambda: SN.relabelled(
+        M.panel(s, d), PN.activity(M.history(s, d)), ST.completed_students(M.progress(s, d))))
     return {label: EX.labelled_rows(rows, label) for label in ("lab_con_grad", "lab_sin_grad")}
 
 

@@ -37,3 +37,11 @@ def test_candidates_share_one_training_table(spark, folder, monkeypatch, own_mod
     n, n_pos = test.count(), test.where("dropout_next = 1").count()
     assert {r["model_name"] for r in sizes} == {r["model_name"] for r in names} == set(Q.SPEC.candidates)
     assert {(r["academic_period"], r["n"], r["n_pos"], r["n_valid"]) for r in sizes} == {(Q.TEST, n, n_pos, n)}
+
+
+def test_both_labels_read_one_stored_table(spark, folder, own_models):
+    for label, rows in Q._label_rows(spark, folder).items():
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        assert rows.where(F.col(label).isNull() | (F.col(label) != F.col("dropout_next"))).count() == 0
+    assert sum(key[2] == "relabelled" for key in M._stored) == 1
