@@ -99,14 +99,24 @@ def _flags(s, rows):
     return s.createDataFrame(rows, "study string, part string, figure string, agrees boolean")
 
 
+def _agrees(published, other, part, digits):
+    return AU.close(published, other(part), digits)
+
+
+def _side_by_side(s, jobs):
+    """Results of independent checks, named by (part, figure)."""
+    done = concurrently(s, {"-".join(at): job for at, job in jobs.items()})
+    return {at: done["-".join(at)] for at in jobs}
+
+
 def _values(s, study, scored, by, published, figures):
     """Whether the published figures of each part are what other means find in its stored scores."""
     means = {"auc": AU.area, "brier": AU.squared_error, "p_at_10": AU.top_hits}
-    rows = []
+    jobs = {}
     for row in published.collect():  # one row per part of a study
         part = scored.where(F.col(by) == row[by])
-        rows += [(study, row[by], f, AU.close(row[c], means[f](part), digits)) for f, (c, digits) in figures.items()]
-    return _flags(s, rows)
+        jobs |= {(row[by], f): partial(_agrees, row[c], means[f], part, digits) for f, (c, digits) in figures.items()}
+    return _flags(s, [(study, *at, agrees) for at, agrees in _side_by_side(s, jobs).items()])
 
 
 def mod_04_values(s, d):
@@ -206,12 +216,13 @@ def sen_08_values(s, d):
 
 def fai_model_values(s, d):
     """Two attributes of the subgroup table on model scores."""
-    stored, rows = _fairness_scores(s, d), []
+    stored, jobs = _fairness_scores(s, d), {}
     for row in fai_model(s, d).where("atributo in ('Sexo', 'Carrera')").collect():  # one row per group of 150 rows or more
         column = {"Sexo": "sexo", "Carrera": "cod_carrera"}[row["atributo"]]
         part = stored.where(F.col(column) == row["valor"])
-        rows += [("fai_02", row["valor"], "auc", AU.close(row["auc"], AU.area(part), 4)), ("fai_02", row["valor"], "brier", AU.close(row["brier"], AU.squared_error(part), 4))]
-    return _flags(s, rows).where("not agrees")
+        for figure, other in (("auc", AU.area), ("brier", AU.squared_error)):
+            jobs[row["valor"], figure] = partial(_agrees, row[figure], other, part, 4)
+    return _flags(s, [("fai_02", *at, agrees) for at, agrees in _side_by_side(s, jobs).items()]).where("not agrees")
 
 
 def mod_04_sizes(s, d):
@@ -242,8 +253,9 @@ def mod_07(s, d):
     """Save two versions, load the newest, score: version and rows per period."""
     path = scratch_path(s, "models")
     fit = _fit(s, d)
-    MO.save_model(fit(M.modelled(s, d).where(F.col("academic_period") <= "1996_2C"), "1996_2C"), path)
-    MO.save_model(fit(_train(s, d), X.CUTOFF), path)
+    parts = {"1996_2C": M.modelled(s, d).where(F.col("academic_period") <= "1996_2C"), X.CUTOFF: _train(s, d)}
+    for model in concurrently(s, {cutoff: partial(fit, part, cutoff) for cutoff, part in parts.items()}).values():
+        MO.save_model(model, path)
     model, version = MO.load_model(path)
     return MO.score(model, _test(s, d)).groupBy("academic_period").agg(
         F.lit(version).alias("version"), F.count("p").alias("n"), F.avg("p").alias("mean_p"))
@@ -363,9 +375,9 @@ def scm_01_pr(s, d):
 
 def _fairness_scores(s, d):
     demo = FA.demographics(M.students(s, d), X.COHORTS).withColumnRenamed("legajo", "id")
-    scored = M._once(s, d, "fairness_scores", lambda: MO.score(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d)).select(
-        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "cod_carrera"))
-    return scored.join(demo, "id", "left")
+    # stored with the attributes: the table and its checks read it once per subgroup
+    return M._once(s, d, "fairness_scores", lambda: MO.score(_fit(s, d)(_train(s, d), X.CUTOFF), _test(s, d)).select(
+        F.col("legajo").alias("id"), F.col("dropout_next").alias("y"), "p", "cod_carrera").join(demo, "id", "left"))
 
 
 def fai_model(s, d):

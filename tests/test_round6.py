@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,21 @@ def test_both_labels_read_one_stored_table(spark, folder, own_models):
         assert "Join" not in plan and "Aggregate" not in plan
         assert rows.where(F.col(label).isNull() | (F.col(label) != F.col("dropout_next"))).count() == 0
     assert sum(key[2] == "relabelled" for key in M._stored) == 1
+
+
+def test_subgroup_checks_read_one_stored_table(spark, folder, own_models):
+    stored = Q._fairness_scores(spark, folder)
+    assert "Join" not in stored._jdf.queryExecution().optimizedPlan().toString()
+    assert {"sexo", "cohorte", "grupo_edad", "cod_carrera"} <= set(stored.columns)
+    assert stored.count() == Q._test(spark, folder).count()
+
+
+def test_versions_are_fitted_side_by_side(spark, folder, monkeypatch, own_models):
+    met, real = threading.Barrier(2, timeout=60), MO.fit
+
+    def fit(*args):
+        met.wait()  # passes only if both fits are under way
+        return real(*args)
+
+    monkeypatch.setattr(MO, "fit", fit)
+    assert [r["version"] for r in Q.mod_07_versions(spark, folder).collect()] == [2]
