@@ -65,15 +65,23 @@ def backtest_table(scored: DataFrame, rows: DataFrame, pairs: Sequence[tuple[str
                    ) -> DataFrame:
     """``rolling_backtest`` from the stored scores of every origin."""
     by = ["origin", "test_period"]
-    middle = exact_quantiles(scored, by, "days", {"_m": 0.5})
-    based = null_safe_join(scored, middle, by, "left").withColumn("base", F.coalesce(F.col("days").cast("double"), "_m"))
-    flat = ME.threshold_metrics(scored, by)
-    out = null_safe_join(flat, ME.ranking_metrics(scored, by), by)
+
+    def baseline() -> DataFrame:
+        middle = exact_quantiles(scored, by, "days", {"_m": 0.5})
+        based = null_safe_join(scored, middle, by, "left").withColumn("base", F.coalesce(F.col("days").cast("double"), "_m"))
+        return ME.roc_auc(based, by, p="base").withColumnRenamed("auc", "baseline_recency_auc")
+
+    # each stores tables on its way; the many small jobs of some run beside the bootstrap
+    jobs = {
+        "interval": partial(RS.bootstrap_interval, scored, replicates, by=by), "ranking": partial(ME.ranking_metrics, scored, by),
+        "calibration": partial(ME.calibration_fit, scored, by), "shares": partial(ME.top_share, scored, by), "baseline": baseline}
+    parts = concurrently(scored.sparkSession, jobs, at_once=len(jobs))
+    out = null_safe_join(ME.threshold_metrics(scored, by), parts["ranking"], by)
     out = null_safe_join(out, train_sizes(rows, pairs), by)
-    out = null_safe_join(out, RS.bootstrap_interval(scored, replicates, by=by), by)
-    out = null_safe_join(out, ME.roc_auc(based, by, p="base").withColumnRenamed("auc", "baseline_recency_auc"), by)
-    out = null_safe_join(out, ME.calibration_fit(scored, by), by)
-    tops = ME.top_share(scored, by).groupBy(*by).agg(*[
+    out = null_safe_join(out, parts["interval"], by)
+    out = null_safe_join(out, parts["baseline"], by)
+    out = null_safe_join(out, parts["calibration"], by)
+    tops = parts["shares"].groupBy(*by).agg(*[
         F.max(F.when(F.col("top_pct") == k, F.col(c))).alias(f"{s}_at_{k}")
         for s, c in (("p", "precision_at"), ("r", "recall_at")) for k in K.TOP_SHARES])
     out = null_safe_join(out, tops, by)
